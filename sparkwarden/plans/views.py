@@ -84,6 +84,27 @@ def div(a: str, b: int | str) -> str:
     return f"cast(floor({a} / {b}) AS bigint)"
 
 
+def jstr(text: str) -> str:
+    """SQL for a JSON string around a SQL text."""
+    return f"concat('\"', {text}, '\"')"
+
+
+def jobj(**members: str) -> str:
+    """SQL for a JSON object from SQL values that are JSON already (``_`` in a name is a dash if doubled)."""
+    parts = []
+    for i, (key, value) in enumerate(members.items()):
+        parts += [f"'{', ' if i else ''}\"{key.replace('__', '-')}\": '", value]
+    return "concat('{', " + ", ".join(parts + ["'}'"]) + ")"
+
+
+def jarr(*values: str) -> str:
+    """SQL for a JSON array."""
+    parts = ["'['"]
+    for i, value in enumerate(values):
+        parts += ([ "', '"] if i else []) + [value]
+    return "concat(" + ", ".join(parts + ["']'"]) + ")"
+
+
 def views(engine: str) -> dict[str, str]:
     """Definitions in dependency order; a few functions differ between the engines."""
     spark = engine == "spark"
@@ -312,6 +333,52 @@ def views(engine: str) -> dict[str, str]:
         CASE k % 6 WHEN 0 THEN 'context7' WHEN 1 THEN 'web_search' WHEN 2 THEN 'osv' WHEN 3 THEN 'deps_dev' WHEN 4 THEN 'scorecard' ELSE 'provenance' END AS source,
         concat('report ', cast(k AS varchar(20))) AS report, k
       FROM v_packages)"""
+    def when(test: str, a: str, b: str) -> str:
+        return f"CASE WHEN {test} THEN {a} ELSE {b} END"
+
+    release = {
+        "author": when("k % 5 = 0", jstr("author"), jobj(name=jstr("author"))),
+        "homepage": jstr("homepage"),
+        "repository": when("k % 4 = 0", jstr("repository"), jobj(type="'\"git\"'", url=jstr("repository"))),
+        "scripts": when("k % 7 < 2", jobj(postinstall=jstr("'node x.js'")), jobj(test=jstr("'t'"))),
+        "dependencies": when("k % 3 = 0", jobj(left=jstr("'1'"), right=jstr("'2'")), "'{}'"),
+    }
+    packument = (
+        f"concat('{{\"dist-tags\": {{\"latest\": \"', version, '\"}}, \"versions\": {{\"0.9\": {{}}, \"', version, '\": ', {jobj(**release)}, '}}}}')"
+    )
+    pubspec = jobj(version=jstr("version"), publisher=jstr("author"), repository=jstr("repository"), homepage=jstr("homepage"), dependencies=jobj(http=jstr("'any'")))
+    docs = {
+        0: jobj(
+            info=jobj(
+                version=jstr("version"), author=jstr("author"), author_email=jstr("'mail@example.org'"), home_page=jstr("homepage"),
+                project_url=jstr("'https://p'"), requires_dist=when("k % 2 = 0", jarr(jstr("'dep>=1'"), jstr("'other'")), "'null'"),
+                project_urls=jobj(Homepage=jstr("homepage"), Source=jstr(when("k % 5 = 0", "'https://example.org/s'", "repository"))),
+            ),
+            urls=jarr(jobj(packagetype=jstr(when("k % 3 = 0", "'sdist'", "'bdist_wheel'")))),
+        ),
+        1: packument,
+        2: when("k % 4 = 2", pubspec.join(["concat('{\"version\": \"', version, '\", \"pubspec\": ', ", ", '}')"]),
+                pubspec.join(["concat('{\"latest\": {\"version\": \"', version, '\", \"pubspec\": ', ", ", '}}')"])),
+        3: jobj(
+            crate=jobj(max_stable_version=when("k % 5 = 0", "'null'", jstr(when("k % 5 = 1", "'7.7'", "version"))), homepage=jstr("homepage"), repository=jstr("repository")),
+            versions=jarr(
+                jobj(num=jstr("'9.9'"), yanked="'true'"),
+                jobj(num=jstr("version"), yanked="'false'", authors=when("k % 4 = 3", jarr(jstr("'a1'"), jstr("'a2'")), "'null'"), published_by=jobj(login=jstr("'log'"))),
+            ),
+            version=jobj(num=jstr("version"), published_by=jobj(name=jstr("author"))),
+        ),
+        4: jobj(
+            authors=when("k % 4 = 0", jobj(ann=jstr("'a@x'"), bob=jstr("'b@x'")), jstr("author")), source=jobj(git=jstr("repository")), homepage=jstr("homepage"),
+            prepare_command=when("k % 3 = 0", jstr("'make'"), "'null'"), script_phases=when("k % 5 = 0", jarr(jobj(name=jstr("'p'"))), "'[]'"),
+            dependencies=jobj(Core=jarr()),
+        ),
+        5: packument,
+    }
+    doc_cases = " ".join(f"WHEN {i} THEN {d}" for i, d in docs.items())
+    v["v_registry"] = f"""v_registry AS (
+      SELECT CASE k % 6 WHEN 0 THEN 'pypi' WHEN 1 THEN 'npm' WHEN 2 THEN 'pub' WHEN 3 THEN 'crates' WHEN 4 THEN 'cocoapods' ELSE 'jsr' END AS ecosystem,
+        k, name, CASE WHEN k % 6 = 4 OR (k % 4 = 2 AND k % 6 = 2) OR (k % 6 = 3 AND k % 9 = 0) THEN version ELSE '' END AS version,
+        CASE k % 6 {doc_cases} END AS doc FROM v_packages)"""
     v["v_user_rules"] = """v_user_rules AS (
       SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'eval-call' ELSE concat('site-', cast(s_suppkey % 40 AS varchar(20))) END AS id,
         CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat('token', cast(s_suppkey AS varchar(20))) END AS pattern,
