@@ -1 +1,155 @@
+"""Queries over reviewer votes, decisions and reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkwarden.operators import decisions as DC
+from sparkwarden.operators import prefilter as PF
+from sparkwarden.operators import votes as VT
+from sparkwarden.plans.queries import query
+from sparkwarden.plans.queries_files import prefiltered, source_flags
+from sparkwarden.plans.views import spark_view
+
+
+def _votes(spark, sf):
+    return spark_view(spark, sf, "v_votes").withColumn("signals", F.array("signal"))
+
+
+# One reviewer (m3) is not configured and so weighs 1.
+WEIGHTS = {"m0": 1.0, "m1": 0.9, "m2": 0.8}
+
+
+def _consensus(spark, sf):
+    return VT.consensus(_votes(spark, sf), WEIGHTS)
+
+
+@query
+def normalise_votes(spark, sf):
+    votes = VT.normalise_votes(spark_view(spark, sf, "v_replies"))
+    return votes.withColumn("signals", F.array_join("signals", ";"))
+
+
+@query
+def contradicted_votes(spark, sf):
+    votes = spark_view(spark, sf, "v_votes").select(
+        "package_id", "model", "pos", "verdict", F.array("signal").alias("signals"),
+        F.when(F.col("k") % 5 == 0, F.concat(F.lit("It Steals data, a Backdoor "), F.col("signal")))
+        .when(F.col("k") % 5 == 1, F.lit("Reads SSH key and sends data to a host")).otherwise("nothing wrong").alias("reasoning"),
+    )
+    return VT.contradicted_votes(votes).withColumn("signals", F.array_join("signals", ";"))
+
+
+@query
+def consensus_vote(spark, sf):
+    return _consensus(spark, sf).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def signal_union(spark, sf):
+    return VT.signal_union(_votes(spark, sf))
+
+
+@query
+def decide_consensus(spark, sf):
+    return DC.decide_consensus(_consensus(spark, sf))
+
+
+def _package_consensus(spark, sf):
+    """Consensus of the votes on the order whose number is that of the package."""
+    return _consensus(spark, sf).withColumn("package_id", F.concat(F.lit("pkg"), F.col("package_id").cast("string")))
+
+
+def _overridden(spark, sf):
+    return PF.uninspected_override(prefiltered(spark, sf), source_flags(spark, sf))
+
+
+def _enrichment_decisions(spark, sf):
+    packages = spark_view(spark, sf, "v_packages")
+    none = F.array().cast("array<string>")
+    k = F.col("k")
+    evidence = packages.select(
+        "package_id",
+        F.when(k % 12 == 0, F.array(F.lit("ADV-1"), F.col("name"))).otherwise(none).alias("high_advisories"),
+        F.when(k % 4 == 1, (k % 10).cast("double")).alias("score"),
+        F.when(k % 9 == 0, "invalid").otherwise("available").alias("provenance_status"),
+        F.when(k % 14 == 0, False).alias("provenance_verified"),
+        F.when(k % 2 == 0, "signature mismatch").otherwise("").alias("provenance_details"),
+        F.when(k % 15 == 0, F.array(F.concat(F.lit("osv: "), F.col("name")))).otherwise(none).alias("errors"),
+    )
+    return DC.decide_enrichment(evidence)
+
+
+@query
+def decide_enrichment(spark, sf):
+    return _enrichment_decisions(spark, sf)
+
+
+def _reports(spark, sf):
+    prefilter = _overridden(spark, sf)
+    decided = PF.decide_prefilter(prefiltered(spark, sf))
+    packages = spark_view(spark, sf, "v_packages")
+    traces = packages.filter("k % 33 = 0").select(
+        "package_id", F.lit("malicious").alias("outcome"), F.lit("Sandbox canary file(s) read during install: x").alias("reason")
+    )
+    voted = _package_consensus(spark, sf)
+    return prefilter, DC.decide_report(prefilter, decided, DC.decide_consensus(voted), _enrichment_decisions(spark, sf), traces)
+
+
+@query
+def decide_report(spark, sf):
+    return _reports(spark, sf)[1]
+
+
+def _scans(spark, sf):
+    """Scans of 50 packages each, and as many empty ones."""
+    packages = spark_view(spark, sf, "v_packages")
+    scans = packages.select(F.floor(F.col("k") / 50).alias("scan_id")).distinct()
+    return scans.union(scans.select(-1 - F.col("scan_id")))
+
+
+def _scan_rows(spark, sf):
+    packages = spark_view(spark, sf, "v_packages").select("package_id", F.floor(F.col("k") / 50).alias("scan_id"), F.col("k").alias("ord"))
+    return DC.decide_consensus(_package_consensus(spark, sf)).join(packages, "package_id")
+
+
+@query
+def scan_summary(spark, sf):
+    return DC.scan_summary(_scan_rows(spark, sf))
+
+
+@query
+def scan_decisions(spark, sf):
+    return DC.scan_decisions(_scans(spark, sf), _scan_rows(spark, sf))
+
+
+def _report_rows(spark, sf):
+    packages = spark_view(spark, sf, "v_packages").select("package_id", "name", "version", "ecosystem", "k")
+    voted = _package_consensus(spark, sf).select("package_id", "verdict", F.round("confidence", 3).alias("confidence"))
+    decided = DC.decide_consensus(_package_consensus(spark, sf)).select("package_id", "outcome", "reason", "exit_code", "should_block_install")
+    meta = PF.metadata_anomalies(spark_view(spark, sf, "v_packages")).groupBy("package_id").agg(
+        F.array_sort(F.collect_set("category")).alias("signals")
+    )
+    return (
+        packages.join(voted, "package_id", "left").join(decided, "package_id", "left").join(meta, "package_id", "left")
+        .withColumn("outcome", F.coalesce("outcome", F.lit("safe"))).withColumn("reason", F.coalesce("reason", F.lit("No risk signals detected")))
+        .withColumn("exit_code", F.coalesce("exit_code", F.lit(0))).withColumn("should_block_install", F.coalesce("should_block_install", F.lit(False)))
+        .withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
+        .withColumn("level", F.lit("LOW")).withColumn("passed", F.lit(True)).withColumn("source_unavailable", F.col("k") % 19 == 0)
+        .withColumn("prefilter_reason", F.concat(F.lit("Found "), F.size("signals").cast("string"), F.lit(" risk signal(s)")))
+    )
+
+
+@query
+def report_json(spark, sf):
+    return DC.report_json(_report_rows(spark, sf))
+
+
+@query
+def report_sarif(spark, sf):
+    return DC.report_sarif(_report_rows(spark, sf))
+
+
+@query
+def sarif_result(spark, sf):
+    return DC.sarif_result(DC.report_sarif(_report_rows(spark, sf)))
