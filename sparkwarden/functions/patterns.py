@@ -48,7 +48,8 @@ def lines(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower-case form in which every anchor literal of a match is visible."""
-    return F.when(text.rlike(f"[{_FOLDING}]"), F.lower(F.translate(text, _FOLDING, _FOLDED))).otherwise(F.lower(text))
+    foreign = any_of([F.contains(text, F.lit(c)) for c in _FOLDING])
+    return F.when(foreign, F.lower(F.translate(text, _FOLDING, _FOLDED))).otherwise(F.lower(text))
 
 
 def let(value: Column, body) -> Column:
@@ -66,35 +67,59 @@ def kept(columns: dict[str, Column], condition) -> Column:
     return F.explode(F.filter(F.array(row), condition))
 
 
-def matching(text: Column, tests: list[tuple[list, str]]) -> Column:
+def literals_of(tests: list[tuple[list, str]]) -> list[str]:
+    """Every anchor literal of some tests."""
+    flat = [x for anchors, _ in tests for a in anchors for x in (a if isinstance(a, list) else [a])]
+    return sorted(set(flat))
+
+
+def literals_in(text: Column, literals: list[str]) -> Column:
+    """Which of some lower-case literals a text contains, each looked for once.
+
+    Measured against one alternation over all literals, separate byte searches are three times
+    faster and need no regular expression.
+    """
+    if not literals:
+        return F.array().cast("array<string>")
+    return let(folded(text), lambda t: F.filter(strings(literals), lambda x: F.contains(t, x)))
+
+
+def matching(text: Column, tests: list[tuple[list, str]], found_literals: Column | None = None) -> Column:
     """Indices of the tests, ``(anchors, Java pattern)``, that match a text.
 
     The tests are one constant array walked by a filter: a few dozen unrolled expressions would
-    exceed what one generated method may hold, and a pattern is only compiled for a text that
-    contains its anchors.
+    exceed what one generated method may hold, and a pattern only runs on a text that contains
+    its anchors.  ``found_literals`` may come from a wider :func:`literals_in`.
     """
+    if not tests:
+        return F.array().cast("array<int>")
     rows = [
         F.struct(
             F.lit(i).alias("i"),
             strings([a for a in anchors if not isinstance(a, list)]).alias("every"),
-            strings(next((a for a in anchors if isinstance(a, list)), [""])).alias("some"),
+            strings(next((a for a in anchors if isinstance(a, list)), [])).alias("some"),
             F.lit(pattern).alias("pattern"),
         )
         for i, (anchors, pattern) in enumerate(tests)
     ]
-    if not rows:
-        return F.array().cast("array<int>")
 
     def hits(t: Column) -> Column:
         matched = F.filter(
             F.array(*rows),
-            lambda r: F.forall(r["every"], lambda a: F.contains(t["lowered"], a))
-            & F.exists(r["some"], lambda a: F.contains(t["lowered"], a))
+            lambda r: (F.size(F.array_except(r["every"], t["found"])) == 0)
+            & ((F.size(r["some"]) == 0) | F.arrays_overlap(r["some"], t["found"]))
             & F.rlike(t["text"], r["pattern"]),
         )
         return F.transform(matched, lambda r: r["i"])
 
-    return let(text, lambda t: let(F.struct(t.alias("text"), folded(t).alias("lowered")), hits))
+    if found_literals is None:
+        found_literals = literals_in(text, literals_of(tests))
+    return let(F.struct(text.alias("text"), found_literals.alias("found")), hits)
+
+
+def once(column: Column) -> Column:
+    """The column behind a generator, which the optimizer never inlines or repeats."""
+    return F.explode(F.array(column))
 
 
 def any_of(conditions: list[Column]) -> Column:

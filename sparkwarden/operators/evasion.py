@@ -22,10 +22,18 @@ def evasion(category: str, severity: str, description: Column) -> Column:
     return signal(category, severity, text, evasion=True)
 
 
+ANCHORS = [x for group in V.EVASION_ANCHORS.values() for x in group]
+
+
+def present(detector: str) -> Column:
+    """Whether the staged file holds a literal the detector needs (column ``found``)."""
+    return F.arrays_overlap(F.col("found"), P.strings(V.EVASION_ANCHORS[detector]))
+
+
 def env_mutation(as_of: int) -> Column:
     """Assignments to sensitive environment variables, one signal per match."""
     matches = F.when(
-        F.lower(F.col("content")).contains("os.environ["), P.every(F.col("content"), V.ENV_MUTATION, ignore_case=True)
+        present("env_mutation"), P.every(F.col("content"), V.ENV_MUTATION, ignore_case=True)
     ).otherwise(F.array().cast("array<string>"))
     return F.transform(
         matches,
@@ -38,8 +46,8 @@ def env_mutation(as_of: int) -> Column:
 def time_bomb(as_of: int) -> Column:
     """Clock comparisons with an epoch after ``as_of`` or a year after the last plain one."""
     empty = F.array().cast("array<string>")
-    epochs = F.when(F.contains("content", F.lit("time.time()")), P.every(F.col("content"), V.FUTURE_EPOCH, 1)).otherwise(empty)
-    years = F.when(F.contains("content", F.lit("datetime.")), P.every(F.col("content"), V.FUTURE_YEAR, 1)).otherwise(empty)
+    epochs = F.when(present("future_epoch"), P.every(F.col("content"), V.FUTURE_EPOCH, 1)).otherwise(empty)
+    years = F.when(present("future_year"), P.every(F.col("content"), V.FUTURE_YEAR, 1)).otherwise(empty)
     # Past 38 digits the number cannot be held, but it is certainly in the future.
     later = F.filter(epochs, lambda e: F.coalesce(e.try_cast("decimal(38,0)") > as_of, F.lit(True)))
     gated = F.transform(
@@ -62,7 +70,7 @@ def build_hooks(as_of: int) -> Column:
         command = F.element_at(scripts, key)
         text = F.concat(F.lit("npm lifecycle hook in "), path, F.lit(f": {key}="), F.substring(command, 1, 60))
         parts.append(F.when(manifest & command.isNotNull(), evasion("build_hooks", "MEDIUM", text)))
-    spawns = path.endswith("setup.py") & P.found(content, V.SETUP_EXEC)
+    spawns = path.endswith("setup.py") & present("setup_exec") & P.found(content, V.SETUP_EXEC)
     parts.append(F.when(spawns, evasion("build_hooks", "MEDIUM", F.concat(F.lit("setup.py invokes subprocess: "), path))))
     parts.append(
         F.when(path.endswith("build.rs"), evasion("build_hooks", "MEDIUM", F.concat(F.lit("Rust build script present: "), path)))
@@ -73,8 +81,7 @@ def build_hooks(as_of: int) -> Column:
 def derived_exfil(as_of: int) -> Column:
     """Content that is encoded next to a network call, outside bundles."""
     path, content = F.col("path"), F.col("content")
-    encodes = P.contains_any(content, ["b64encode", "zlib.compress", "hexlify", ".hex()", "btoa"])
-    hit = encodes & (P.found(content, V.ENCODE_THEN_SEND, dotall=True) | P.found(content, V.READ_THEN_ENCODE, dotall=True))
+    hit = present("derived_exfil") & (P.found(content, V.ENCODE_THEN_SEND, dotall=True) | P.found(content, V.READ_THEN_ENCODE, dotall=True))
     text = F.concat(F.lit("derived exfil pattern in "), path, F.lit(" (encode+send)"))
     return gather([F.when(~P.contains_any(path, V.BUNDLE_PATH_PARTS) & hit, evasion("derived_exfil", "HIGH", text))])
 
@@ -82,8 +89,8 @@ def derived_exfil(as_of: int) -> Column:
 def direct_xpc(as_of: int) -> Column:
     """Direct system IPC: XPC or Mach ports, and raw D-Bus."""
     path, content = F.col("path"), F.col("content")
-    xpc = P.contains_any(content, ["xpc_", "NSXPC", "CFMessagePort", "mach_port_"]) & P.found(content, V.XPC_TOKENS)
-    dbus = P.contains_any(content, ["dbus", "org.freedesktop", "DBus"]) & P.found(content, V.DBUS_TOKENS)
+    xpc = present("xpc") & P.found(content, V.XPC_TOKENS)
+    dbus = present("dbus") & P.found(content, V.DBUS_TOKENS)
     return gather(
         [
             F.when(xpc, evasion("direct_xpc", "MEDIUM", F.concat(F.lit("macOS XPC bypass tokens in "), path))),
@@ -95,7 +102,7 @@ def direct_xpc(as_of: int) -> Column:
 def anti_debug(as_of: int) -> Column:
     """Checks for a debugger or a tracer."""
     path, content = F.col("path"), F.col("content")
-    hit = P.contains_any(content, ["ptrace", "PTRACE_", "DebuggerPresent", "TracerPid"]) & P.found(content, V.ANTI_DEBUG)
+    hit = present("anti_debug") & P.found(content, V.ANTI_DEBUG)
     text = F.concat(F.lit("anti-debug/anti-trace pattern in "), path)
     return gather([F.when(hit, evasion("anti_debug", "HIGH", text))])
 
@@ -104,14 +111,15 @@ DETECTORS: list[Callable[[int], Column]] = [env_mutation, time_bomb, build_hooks
 
 
 def evasion_signals_of(as_of: int, detectors: list[Callable[[int], Column]] | None = None) -> Column:
-    """Signals of every detector for a staged file (needs ``path, content``)."""
+    """Signals of every detector for a staged file (needs ``path, content, found``)."""
     arrays = [d(as_of) for d in (DETECTORS if detectors is None else detectors)]
     return F.concat(*arrays) if arrays else no_signals()
 
 
 def evasion_static(files: DataFrame, as_of: int, detectors: list[Callable[[int], Column]] | None = None) -> DataFrame:
     """One row per static evasion signal of every file; ``as_of`` is the epoch that counts as now."""
-    staged = files.select("package_id", "path", "content")
+    found = P.once(P.literals_in(F.col("content"), ANCHORS)).alias("found")
+    staged = files.select("package_id", "path", "content", found)
     return exploded(staged, evasion_signals_of(as_of, detectors)).drop("evasion")
 
 

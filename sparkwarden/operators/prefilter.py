@@ -65,15 +65,21 @@ def file_signals(
 ) -> DataFrame:
     """Every signal of every file from one pass over the contents."""
     rules = select_rules() if rules is None else rules
-    staged = SC.with_behaviours(SC.prepared(files, rules))
-    staged = staged.withColumn("tag_hits", SC.tag_hits()).withColumn("detected", FL.content_type(F.col("content")))
+    staged = SC.with_literals(files, SC.rule_tests(rules) + SC.BEHAVIOUR_TESTS, EV.ANCHORS)
+    facts = F.struct(
+        SC.hits_of(rules, "ecosystem" in files.columns).alias("hits"),
+        SC.behaviours_of().alias("behaviours"),
+        FL.content_type(F.col("content")).alias("detected"),
+    )
+    staged = staged.select("*", P.once(facts).alias("_facts")).select("*", "_facts.*").drop("_facts")
+    tagged = SC.tag_hits()
     signals = F.concat(
         SC.rule_signals(rules),
         EV.evasion_signals_of(as_of),
         SC.crate_signals_of(),
         SC.pod_signals_of(),
         SC.mismatch_signals_of(F.col("detected")),
-        SC.compound_signals_of(F.size("tag_hits"), SC.hit_tags(rules, F.col("tag_hits"))),
+        SC.compound_signals_of(F.size(tagged), SC.hit_tags(rules, tagged)),
         SC.chain_signals_of(F.col("behaviours")),
         SC.entropy_signals_of(F.col("content"), entropy_threshold),
     )

@@ -42,10 +42,17 @@ def no_signals() -> Column:
 
 
 # -- rules ------------------------------------------------------------------------------
-def rule_hits(rules: list[Rule], ecosystem: Column, is_install: Column, content: Column) -> Column:
+def rule_tests(rules: list[Rule]) -> list[tuple[list, str]]:
+    return [(r.anchors, P.java(r.pattern, ignore_case=not r.case_sensitive)) for r in rules]
+
+
+BEHAVIOUR_TESTS = [(anchors, P.java(p, ignore_case=True)) for tests in V.BEHAVIOURS.values() for anchors, p in tests]
+BEHAVIOUR_NAMES = [name for name, tests in V.BEHAVIOURS.items() for _ in tests]
+
+
+def rule_hits(rules: list[Rule], ecosystem: Column, is_install: Column, content: Column, found: Column) -> Column:
     """Indices of the rules that match and that apply to the file's scope and ecosystem."""
-    tests = [(r.anchors, P.java(r.pattern, ignore_case=not r.case_sensitive)) for r in rules]
-    hits = P.matching(content, tests)
+    hits = P.matching(content, rule_tests(rules), found)
     if any(r.scope != "any" for r in rules):
         scopes = P.strings([r.scope for r in rules])
         other = F.when(is_install, "source").otherwise("install_script")
@@ -60,20 +67,33 @@ def pick(constants: Column, index: Column) -> Column:
     return F.element_at(constants, index + 1)
 
 
-def prepared(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Files with their path classes and rule hits."""
-    rules = select_rules() if rules is None else rules
+def with_literals(files: DataFrame, tests: list[tuple[list, str]], extra: list[str] | None = None) -> DataFrame:
+    """Files with their path classes and ``found``, the anchor literals their text contains."""
     path, content = F.col("path"), F.col("content")
-    staged = files.select(
+    literals = sorted(set(P.literals_of(tests)) | set(extra or []))
+    return files.select(
         *[c for c in ("package_id", "ecosystem", "path", "content", "ord") if c in files.columns],
         FL.is_install_path(path).alias("is_install"),
         FL.in_skipped_dir(path).alias("skip_dir"),
         FL.has_skipped_suffix(path).alias("skip_ext"),
+        P.once(P.literals_in(content, literals)).alias("found"),
     )
-    ecosystem = F.col("ecosystem") if "ecosystem" in files.columns else F.lit("*")
+
+
+def hits_of(rules: list[Rule], has_ecosystem: bool) -> Column:
+    """Rule hits of a staged file; skipped directories and suffixes have none."""
+    ecosystem = F.col("ecosystem") if has_ecosystem else F.lit("*")
     scanned = ~F.col("skip_dir") & (~F.col("skip_ext") | F.col("is_install"))
-    hits = rule_hits(rules, ecosystem, F.col("is_install"), content)
-    return staged.withColumn("hits", F.when(scanned, hits).otherwise(F.array().cast("array<int>")))
+    hits = rule_hits(rules, ecosystem, F.col("is_install"), F.col("content"), F.col("found"))
+    return F.when(scanned, hits).otherwise(F.array().cast("array<int>"))
+
+
+def prepared(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Files with their path classes and rule hits, without their contents."""
+    staged = with_literals(files, rule_tests(rules))
+    return staged.select(
+        "package_id", "path", "is_install", "skip_dir", "skip_ext", P.once(hits_of(rules, "ecosystem" in files.columns)).alias("hits")
+    )
 
 
 def rule_signals(rules: list[Rule]) -> Column:
@@ -128,9 +148,9 @@ def file_tags(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Matched rule ids and their tags of every install-time file with a hit."""
     rules = select_rules() if rules is None else rules
     ids = P.strings([r.id for r in rules])
-    row = P.kept({"hits": tag_hits()}, lambda r: F.size(r["hits"]) > 0)
-    hits = F.col("_t.hits")
-    return prepared(files, rules).select("package_id", "path", row.alias("_t")).select(
+    hits = F.col("_t")
+    tagged = prepared(files, rules).select("package_id", "path", P.once(tag_hits()).alias("_t")).filter(F.size("_t") > 0)
+    return tagged.select(
         "package_id",
         "path",
         F.size(hits).alias("n_hits"),
@@ -160,24 +180,23 @@ def compound_signals(files: DataFrame, rules: list[Rule] | None = None) -> DataF
 
 
 # -- behaviours and chains --------------------------------------------------------------
-def behaviours_of(content: Column) -> Column:
-    """Behaviours that occur in a text; one matching pattern is enough."""
-    tests = [(anchors, P.java(p, ignore_case=True)) for tests in V.BEHAVIOURS.values() for anchors, p in tests]
-    names = P.strings([name for name, tests in V.BEHAVIOURS.items() for _ in tests])
-    return F.array_distinct(F.transform(P.matching(content, tests), lambda i: pick(names, i)))
+def behaviours_of() -> Column:
+    """Behaviours of a staged install-time file; one matching pattern is enough for each."""
+    chained = F.col("is_install") & ~F.col("skip_dir") & ~F.col("skip_ext")
+    names = P.strings(BEHAVIOUR_NAMES)
+    hits = P.matching(F.col("content"), BEHAVIOUR_TESTS, F.col("found"))
+    found = F.array_distinct(F.transform(hits, lambda i: pick(names, i)))
+    return F.when(chained, found).otherwise(F.array().cast("array<string>"))
 
 
-def with_behaviours(staged: DataFrame) -> DataFrame:
-    chained = F.col("is_install") & ~F.col("skip_dir") & ~F.col("skip_ext")
-    found = behaviours_of(F.col("content"))
-    return staged.withColumn("behaviours", F.when(chained, found).otherwise(F.array().cast("array<string>")))
+def with_behaviours(files: DataFrame) -> DataFrame:
+    staged = with_literals(files, BEHAVIOUR_TESTS)
+    return staged.select("package_id", "path", P.once(F.array_sort(behaviours_of())).alias("behaviours"))
 
 
 def behaviour_sets(files: DataFrame) -> DataFrame:
     """Behaviours of every install-time file that shows any."""
-    found = P.kept({"behaviours": F.array_sort("behaviours")}, lambda r: F.size(r["behaviours"]) > 0)
-    staged = with_behaviours(prepared(files, []))
-    return staged.select("package_id", "path", found.alias("_b")).select("package_id", "path", "_b.behaviours")
+    return with_behaviours(files).filter(F.size("behaviours") > 0)
 
 
 def chain_signals_of(behaviours: Column) -> Column:
@@ -194,24 +213,16 @@ def chain_signals_of(behaviours: Column) -> Column:
 
 
 def attack_chains(files: DataFrame) -> DataFrame:
-    staged = with_behaviours(prepared(files, []))
-    return exploded(staged, chain_signals_of(F.col("behaviours")))
+    return exploded(with_behaviours(files), chain_signals_of(F.col("behaviours")))
 
 
 # -- entropy ----------------------------------------------------------------------------
 def shannon(text: Column) -> Column:
     """Shannon entropy of the characters of a text, in bits; one pass per distinct character."""
-    length = F.length(text).cast("double")
-    symbols = F.array_distinct(F.split(text, ""))
-    return -F.aggregate(
-        symbols,
-        F.lit(0.0),
-        lambda acc, c: acc + F.when(
-            F.length(c) > 0,
-            ((F.length(text) - F.length(F.replace(text, c, F.lit("")))) / length)
-            * F.log2((F.length(text) - F.length(F.replace(text, c, F.lit("")))) / length),
-        ).otherwise(0.0),
-    )
+    symbols = F.filter(F.array_distinct(F.split(text, "")), lambda c: F.length(c) > 0)
+    counts = F.transform(symbols, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    shares = F.transform(counts, lambda n: n / F.length(text))
+    return -F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
 
 
 def entropy_lines_of(content: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:
@@ -220,9 +231,11 @@ def entropy_lines_of(content: Column, threshold: float = ENTROPY_THRESHOLD) -> C
     A text of n characters has at most log2(n) bits per character, and at most the logarithm of
     its distinct characters; both bounds are tested first so most lines never reach the sum.
     """
-    numbered = F.transform(P.lines(content), lambda line, i: F.struct((i + 1).alias("line"), P.strip(line).alias("text")))
+    numbered = F.transform(P.lines(content), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
+    candidates = F.filter(numbered, lambda x: F.length(x["text"]) >= ENTROPY_MIN_CHARS)
+    stripped = F.transform(candidates, lambda x: F.struct(x["line"].alias("line"), P.strip(x["text"]).alias("text")))
     long = F.filter(
-        numbered,
+        stripped,
         lambda x: (F.length(x["text"]) >= ENTROPY_MIN_CHARS)
         & (F.size(F.array_distinct(F.split(x["text"], ""))) > int(2**threshold)),
     )

@@ -12,7 +12,7 @@ from sparkwarden.operators import prefilter as PF
 from sparkwarden.operators import scan as SC
 from sparkwarden.operators import texts as TX
 from sparkwarden.plans.queries import query
-from sparkwarden.plans.views import AS_OF, spark_view, tables
+from sparkwarden.plans.views import AS_OF, spark_view, texts
 
 # Prose lines stay below the default of 5.5 bits; 4.5 makes the query say something.
 QUERY_ENTROPY = 4.5
@@ -108,7 +108,7 @@ def attack_chains(spark, sf):
 
 @query
 def entropy_lines(spark, sf):
-    docs = tables(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = texts(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return SC.entropy_lines(docs, QUERY_ENTROPY).withColumn("entropy", F.round("entropy", 6))
 
 
@@ -154,7 +154,7 @@ def review_context(spark, sf):
 
 @query
 def truncate_context(spark, sf):
-    docs = tables(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = texts(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return FL.truncate_context(docs)
 
 
@@ -274,14 +274,14 @@ def suspicious_findings(spark, sf):
 
 @query
 def hidden_text(spark, sf):
-    docs = tables(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return TX.hidden_text(docs)
 
 
 @query
 def encoded_runs(spark, sf):
-    pages = tables(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
-    docs = tables(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    pages = texts(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return TX.encoded_runs(docs.unionByName(pages))
 
 

@@ -251,6 +251,17 @@ ANTI_DEBUG = (
     r"/proc/self/status.*TracerPid|TracerPid\s*:\s*[^0])"
 )
 COLLAPSE_THRESHOLD = 5
+# Literals (lower case) one of which every match of a detector contains; ours, like the rule anchors.
+EVASION_ANCHORS = {
+    "env_mutation": ["os.environ["],
+    "future_epoch": ["time.time()"],
+    "future_year": ["datetime."],
+    "setup_exec": ["os.system", "subprocess."],
+    "derived_exfil": ["b64encode", "zlib.compress", "hexlify", ".hex()", "btoa"],
+    "xpc": ["xpc_", "nsxpc", "cfmessageport", "mach_port_"],
+    "dbus": ["dbus", "org.freedesktop"],
+    "anti_debug": ["ptrace", "debuggerpresent", "tracerpid"],
+}
 
 # --------------------------------------------------------------------------------------
 # Package names
