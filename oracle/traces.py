@@ -32,7 +32,7 @@ CALLS = SPLIT + """, o_calls AS (SELECT run_id, line_no, pid, regexp_extract(tai
       FROM (SELECT *, CASE WHEN contains(a, 'sa_family=AF_INET,') THEN regexp_extract(a, 'sin_port=htons\\((\\d+)\\)', 1) ELSE '' END AS port, regexp_extract(a, 'inet_addr\\("([^"]+)"\\)', 1) AS ip FROM o_calls WHERE c = 'connect') k
     UNION ALL SELECT run_id, line_no, pid, CASE WHEN contains(a, 'O_WRONLY') THEN 'write' ELSE 'open' END, regexp_extract(a, '"([^"]+)"', 1), '', NULL, 'openat(' || a || ')' FROM o_calls WHERE c = 'openat'
     UNION ALL SELECT run_id, line_no, pid, 'exec', regexp_extract(a, '^"([^"]+)"', 1), array_to_string(regexp_extract_all(regexp_extract(a, '\\[(.*)\\]', 1), '"([^"]*)"', 1), ' '), NULL, 'execve(' || substring(a, 1, 120) || ')' FROM o_calls WHERE c = 'execve'
-    UNION ALL SELECT run_id, line_no, pid, 'write', 'fd=' || regexp_extract(a, '^(\\d+),', 1), '', NULL, 'write(' || substring(a, 1, 80) || ')' FROM o_calls WHERE c = 'write'
+    UNION ALL SELECT run_id, line_no, pid, 'write', 'fd=' || coalesce(nullif(regexp_extract(a, '^(\\d+),', 1), ''), '?'), '', NULL, 'write(' || substring(a, 1, 80) || ')' FROM o_calls WHERE c = 'write'
     UNION ALL SELECT run_id, line_no, pid, 'clone', 'child_pid=' || regexp_extract(r, '^(\\d+)', 1), '', NULL, 'clone(' || substring(a, 1, 80) || ')' FROM o_calls WHERE c = 'clone' AND regexp_matches(r, '^\\d'))"""
 
 TOUCH = f"(target IN ({lits(V.DECOY_PATHS + V.DECOY_AUTOSTART_DIRS)}) OR " + " OR ".join(f"starts_with(target, {lit(d + '/')})" for d in V.DECOY_AUTOSTART_DIRS) + ")"
@@ -63,7 +63,7 @@ COVER = f"""o_cov AS (SELECT run_id, platform, skipped_unexpected <> '' AS drift
   FROM (SELECT r.*, CASE WHEN duration_ms % 5 = 0 THEN 0 ELSE (SELECT count(*) FROM v_trace_events e WHERE e.run_id = r.run_id AND {REAL}) END AS nr FROM v_runs r) t),
   o_seen AS (SELECT *, CASE WHEN platform = 'Linux' AND error IS NULL THEN ['fs_writes', 'network_capture', 'dns', 'process_tree'] ELSE ['fs_writes'] END AS observed FROM o_cov)"""
 
-DENSE = """o_ticks AS (SELECT run_id, floor(ts_ms / 30)::BIGINT AS ts, NOT (user_id % 3 = 0 AND seq % 4 < 3) AS ev FROM v_trace_events),
+DENSE = """o_ticks AS (SELECT run_id, floor(ts_ms / 8)::BIGINT AS ts, NOT (user_id % 3 = 0 AND seq % 4 < 3) AS ev FROM v_trace_events),
   o_act AS (SELECT run_id, ts // 1000 AS sec, count(*) FILTER (WHERE ev) AS n FROM o_ticks GROUP BY ALL),
   o_secs AS (SELECT run_id, sec FROM o_act UNION SELECT run_id, min(ts) // 1000 - 1 FROM o_ticks GROUP BY run_id UNION SELECT run_id, max(ts) // 1000 + 1 FROM o_ticks GROUP BY run_id),
   o_gap AS (SELECT run_id, coalesce(max(sec - prev), 0) AS gap FROM (SELECT *, lag(sec) OVER (PARTITION BY run_id ORDER BY sec) AS prev FROM o_secs) t GROUP BY run_id),

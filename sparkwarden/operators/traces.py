@@ -80,8 +80,11 @@ def syscall_lines(lines: DataFrame) -> DataFrame:
         .when(P.found(F.col("tail"), _UNFINISHED, dotall=True), "unfinished")
         .when(P.found(F.col("tail"), _CALL, dotall=True), "complete")
     )
-    split = lines.filter(P.found(line, _PID)).select("run_id", "line_no", pid.cast("bigint").alias("pid"), tail.alias("tail"))
-    return split.withColumn("form", form).filter("form IS NOT NULL")
+    parts = P.once(F.struct(pid.alias("pid"), tail.alias("tail"))).alias("_p")
+    split = lines.select("run_id", "line_no", parts).select("run_id", "line_no", "_p.*")
+    row = {"pid": F.col("pid").try_cast("bigint"), "tail": F.col("tail"), "form": form}
+    kept = P.kept(row, lambda r: r["pid"].isNotNull() & r["form"].isNotNull())
+    return split.select("run_id", "line_no", kept.alias("_l")).select("run_id", "line_no", "_l.*")
 
 
 def unfinished_args(tail: Column) -> Column:
@@ -104,67 +107,69 @@ def stitch_syscalls(split: DataFrame) -> DataFrame:
     marks = previous(marks, ["run_id", "pid"], "line_no", F.struct("form", "tail"), "_before")
     matched = marks.filter((F.col("form") == "resumed") & (F.col("_before.form") == "unfinished"))
     text = resumed_text(F.col("tail"), unfinished_args(F.col("_before.tail")))
-    return matched.select("run_id", "line_no", "pid", text.alias("tail")).filter(P.found(F.col("tail"), _CALL, dotall=True))
-
-
-def call_event(tail: Column, marker: str = CANARY_MARKER) -> Column:
-    """An event from the text of a complete call, null for calls that yield none."""
-    call = P.first(tail, _CALL, 1, dotall=True)
-    args = P.first(tail, _CALL, 2, dotall=True)
-    ret = P.strip(P.first(tail, _CALL, 3, dotall=True))
-
-    def build(t: Column) -> Column:
-        c, a, r = t["call"], t["args"], t["ret"]
-        none = F.array().cast("array<string>")
-        text = lambda v: v.cast("string")
-
-        def event(kind: Column | str, target: Column, raw: Column, source: Column | None = None, argv: Column = none) -> Column:
-            k = F.lit(kind) if isinstance(kind, str) else kind
-            s = F.lit(None).cast("string") if source is None else source
-            return F.struct(k.alias("kind"), target.alias("target"), argv.alias("argv"), text(s).alias("source"), raw.alias("raw"))
-
-        port4, ip4, port6 = P.first(a, _INET4, 1), P.first(a, _INET4, 2), P.first(a, _INET6, 1)
-        path = P.first(a, _UNIX, 1)
-        raw = F.concat(F.lit("connect("), a, F.lit(")"))
-        connect = (
-            F.when((port4 != "") & (port4.try_cast("bigint") == 53), event("dns", F.concat(F.lit("resolver="), ip4), raw))
-            .when(port4 != "", event("connect", F.concat(ip4, F.lit(":"), text(port4.try_cast("bigint"))), raw))
-            .when((port6 != "") & (port6.try_cast("bigint") == 53), event("dns", F.lit("resolver=[ipv6]"), raw))
-            .when(port6 != "", event("connect", F.concat(F.lit("[ipv6]:"), text(port6.try_cast("bigint"))), raw))
-            .when(path != "", event("connect", F.concat(F.lit("unix:"), path), raw))
-            .otherwise(event("connect", F.substring(a, 1, 80), raw))
-        )
-        opened, flags = P.first(a, _OPENAT, 1), P.first(a, _OPENAT, 2)
-        open_raw = F.concat(F.lit("openat("), a, F.lit(")"))
-        kind = F.when(F.arrays_overlap(F.split(flags, r"\|"), P.strings(V.WRITE_FLAGS)), "write").otherwise("open")
-        openat = F.when(opened == marker, event("observer_canary", opened, open_raw, F.lit("observer_canary"))).when(
-            opened != "", event(kind, opened, open_raw)
-        )
-        program = P.first(a, r'^\s*"([^"]+)"')
-        listed = P.first(a, r"^[^\[]*\[(.*)\]", 1, dotall=True)
-        argv = F.regexp_extract_all(listed, F.lit(_QUOTED), F.lit(1))
-        execve = F.when(
-            program != "", event("exec", program, F.concat(F.lit("execve("), F.substring(a, 1, 120), F.lit(")")), argv=argv)
-        )
-        fd = P.first(a, r"^\s*(\d+),")
-        write = event(
-            "write", F.concat(F.lit("fd="), F.when(fd == "", "?").otherwise(fd)), F.concat(F.lit("write("), F.substring(a, 1, 80), F.lit(")"))
-        )
-        child = P.first(r, r"^(-?\d+)").try_cast("bigint")
-        clone = F.when(
-            child > 0, event("clone", F.concat(F.lit("child_pid="), text(child)), F.concat(F.lit("clone("), F.substring(a, 1, 80), F.lit(")")))
-        )
-        return (
-            F.when(c == "connect", connect).when(c == "openat", openat).when(c == "execve", execve).when(c == "write", write)
-            .when(c.isin("clone", "clone3"), clone)
-        )
-
-    return P.let(F.struct(call.alias("call"), args.alias("args"), ret.alias("ret")), build)
+    whole = P.kept({"tail": text}, lambda r: P.found(r["tail"], _CALL, dotall=True))
+    return matched.select("run_id", "line_no", "pid", whole.alias("_t")).select("run_id", "line_no", "pid", "_t.tail")
 
 
 def events_of_calls(calls: DataFrame, marker: str = CANARY_MARKER) -> DataFrame:
-    found = F.filter(F.array(call_event(F.col("tail"), marker)), lambda e: e.isNotNull())
-    return calls.select("run_id", "line_no", "pid", F.explode(found).alias("_e")).select("run_id", "line_no", "pid", "_e.*")
+    """Events from the texts of complete calls; calls of other kinds and failed clones yield none."""
+    ids = ["run_id", "line_no", "pid"]
+    row = {
+        "call": P.first(F.col("tail"), _CALL, 1, dotall=True),
+        "args": P.first(F.col("tail"), _CALL, 2, dotall=True),
+        "ret": P.strip(P.first(F.col("tail"), _CALL, 3, dotall=True)),
+    }
+    wanted = lambda r: r["call"].isin("connect", "openat", "execve", "write", "clone", "clone3")
+    parts = calls.select(*ids, P.kept(row, wanted).alias("_c")).select(*ids, "_c.*")
+    c, a = F.col("call"), F.col("args")
+    only = lambda call, value: F.when(c == call, value).otherwise("")
+    found = F.struct(
+        only("connect", P.first(a, _INET4, 1)).alias("port4"),
+        only("connect", P.first(a, _INET4, 2)).alias("ip4"),
+        only("connect", P.first(a, _INET6, 1)).alias("port6"),
+        only("connect", P.first(a, _UNIX, 1)).alias("unix"),
+        only("openat", P.first(a, _OPENAT, 1)).alias("opened"),
+        only("openat", P.first(a, _OPENAT, 2)).alias("flags"),
+        only("execve", P.first(a, r'^\s*"([^"]+)"')).alias("program"),
+        only("execve", P.first(a, r"^[^\[]*\[(.*)\]", 1, dotall=True)).alias("listed"),
+        only("write", P.first(a, r"^\s*(\d+),")).alias("fd"),
+        P.first(F.col("ret"), r"^(-?\d+)").try_cast("bigint").alias("child"),
+    )
+    fields = parts.select(*ids, "call", "args", P.once(found).alias("_f")).select(*ids, "call", "args", "_f.*")
+    port = F.coalesce(*[F.when(F.col(p) != "", F.col(p)) for p in ("port4", "port6")]).try_cast("bigint")
+    address = F.when(F.col("port4") != "", F.col("ip4")).otherwise("[ipv6]")
+    connect = (
+        F.when(port == 53, F.concat(F.lit("resolver="), address))
+        .when(port.isNotNull(), F.concat(address, F.lit(":"), port.cast("string")))
+        .when(F.col("unix") != "", F.concat(F.lit("unix:"), F.col("unix")))
+        .otherwise(F.substring(a, 1, 80))
+    )
+    canary = F.col("opened") == marker
+    writes = F.arrays_overlap(F.split("flags", r"\|"), P.strings(V.WRITE_FLAGS))
+    kind = (
+        F.when(c == "connect", F.when(port == 53, "dns").otherwise("connect"))
+        .when((c == "openat") & (F.col("opened") != ""), F.when(canary, "observer_canary").when(writes, "write").otherwise("open"))
+        .when((c == "execve") & (F.col("program") != ""), "exec")
+        .when(c == "write", "write")
+        .when(c.isin("clone", "clone3") & (F.col("child") > 0), "clone")
+    )
+    target = (
+        F.when(c == "connect", connect)
+        .when(c == "openat", F.col("opened"))
+        .when(c == "execve", F.col("program"))
+        .when(c == "write", F.concat(F.lit("fd="), F.when(F.col("fd") == "", "?").otherwise(F.col("fd"))))
+        .otherwise(F.concat(F.lit("child_pid="), F.col("child").cast("string")))
+    )
+    kept = F.when(c == "execve", F.substring(a, 1, 120)).when(c.isin("write", "clone", "clone3"), F.substring(a, 1, 80)).otherwise(a)
+    event = {
+        "kind": kind,
+        "target": target,
+        "argv": F.regexp_extract_all("listed", F.lit(_QUOTED), F.lit(1)),
+        "source": F.when((c == "openat") & canary, "observer_canary"),
+        "raw": F.concat(F.when(c == "clone3", "clone").otherwise(c), F.lit("("), kept, F.lit(")")),
+    }
+    events = fields.select(*ids, P.kept(event, lambda e: e["kind"].isNotNull()).alias("_e"))
+    return events.select(*ids, "_e.*")
 
 
 def trace_syscall_events(lines: DataFrame, marker: str = CANARY_MARKER) -> DataFrame:

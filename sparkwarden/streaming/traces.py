@@ -31,8 +31,16 @@ def stream_complete_calls(lines: DataFrame) -> DataFrame:
     return T.events_of_calls(complete.select("run_id", "line_no", "pid", "tail"))
 
 
-def _stitch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the arguments of the last unfinished line of this process, if still unused."""
+def stitcher(ttl_ms: int | None):
+    """State function: the arguments of the last unfinished line of a process, if still unused."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _stitch(key, frames, state, ttl_ms)
+
+    return step
+
+
+def _stitch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
     run_id, pid = key
     if state.hasTimedOut:
         state.remove()
@@ -51,13 +59,19 @@ def _stitch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
             state.remove()
     else:
         state.update((pending,))
-        state.setTimeoutDuration(3_600_000)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
     if out:
         yield pd.DataFrame(out, columns=["run_id", "line_no", "pid", "tail"])
 
 
-def stream_stitch(lines: DataFrame) -> DataFrame:
-    """Stitched system calls of a stream.
+def timeout(live: bool) -> str:
+    """Timers of wall-clock time keep a query running for ever, so only a live one has them."""
+    return GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
+
+
+def stream_stitch(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stitched system calls of a stream; ``ttl_ms`` forgets unfinished lines nobody resumes.
 
     Only unfinished and resumed lines reach the state, already split by native functions; a
     micro-batch bounds how many of one process meet, the source's rate limit bounds that.
@@ -70,12 +84,12 @@ def stream_stitch(lines: DataFrame) -> DataFrame:
         T.P.first(F.col("tail"), T._RESUMED, 2, dotall=True).alias("rest"),
     )
     whole = split.groupBy("run_id", "pid").applyInPandasWithState(
-        _stitch, STITCHED, "pending string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        stitcher(ttl_ms), STITCHED, "pending string", "append", timeout(ttl_ms is not None)
     )
     return whole.filter(T.P.found(F.col("tail"), T._CALL, dotall=True))
 
 
-def stuck_seconds(limit: int):
+def stuck_seconds(limit: int, live: bool):
     """State function: last closed second, drifting seconds in a row, the open second."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -109,26 +123,27 @@ def stuck_seconds(limit: int):
             stuck = True
             yield pd.DataFrame({"run_id": [run_id], "reason": [reason]})
         state.update((last, streak, sec, events, stuck))
-        state.setTimeoutDuration((limit + 1) * 1000)
+        if live:
+            state.setTimeoutDuration((limit + 1) * 1000)
 
     return step
 
 
-def stream_stuck(ticks: DataFrame, timeout_s: int = V.STUCK_SECONDS) -> DataFrame:
+def stream_stuck(ticks: DataFrame, timeout_s: int = V.STUCK_SECONDS, live: bool = False) -> DataFrame:
     """Runs of a stream as soon as they are seen to be stuck, once each.
 
-    ``ticks`` as for :func:`operators.traces.stuck_runs`.  A run that goes silent for good is
-    reported by the processing-time timeout.
+    ``ticks`` as for :func:`operators.traces.stuck_runs`.  With ``live`` a run that goes silent
+    for good is reported by a wall-clock timer.
     """
     low, high = V.STUCK_SECONDS_RANGE
     limit = max(low, min(timeout_s, high))
     seconds = ticks.select("run_id", F.floor(F.col("ts_ms") / 1000).alias("sec"), F.col("is_event").cast("bigint").alias("n_events"))
     return seconds.groupBy("run_id").applyInPandasWithState(
-        stuck_seconds(limit),
+        stuck_seconds(limit, live),
         "run_id string, reason string",
         "last bigint, streak bigint, sec bigint, events bigint, stuck boolean",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        timeout(live),
     )
 
 
