@@ -356,6 +356,23 @@ def sql() -> dict[str, str]:
         "SELECT count(*) AS n_findings, CASE WHEN count(*) FILTER (WHERE mismatch IS NOT NULL) > 0 THEN 2 WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM o_find WHERE mismatch IS NOT NULL OR suspicious",
         typed() + ", " + suspicious("v_files", "package_id, path", "content") + FIND,
     )
+    listed = f"psuffix IN ({lits(V.ARCHIVE_TEXT_SUFFIXES)}) OR fname IN ({lits(V.ARCHIVE_TEXT_BASENAMES)})"
+    q["archive_files"] = with_views(
+        f"SELECT f.package_id || '.tgz' AS archive, f.path, strlen(f.content) AS size, sha256(f.content) AS digest FROM v_files f JOIN o_typed t ON t.path = f.path "
+        f"WHERE strlen(f.content) <= {V.MAX_FILE_BYTES} AND ({listed} OR content_type IN ({lits(V.CODE_TYPES)}))",
+        typed(),
+    )
+    q["archive_manifest"] = with_views(
+        f"SELECT package_id || '.tgz' AS archive, path, strlen(content) AS size, length(content)::INT AS head_chars FROM v_files WHERE strlen(content) <= {V.MANIFEST_HEAD_BYTES}"
+        f" UNION ALL SELECT package_id || '.tgz', path, strlen(content), length(decode(encode(content)[1:{V.MANIFEST_HEAD_BYTES}]))::INT FROM v_files WHERE strlen(content) > {V.MANIFEST_HEAD_BYTES}"
+    )
+    # Top-down order: names of files sort before directories on every level.
+    q["tree_files"] = with_views(
+        f"""SELECT package_id, path, size FROM (SELECT *, sum(size) OVER (PARTITION BY package_id ORDER BY ord_key) AS r FROM (
+          SELECT f.package_id, f.path, strlen(f.content) AS size, list_transform(string_split(f.path, '/'), lambda p, i: CASE WHEN i = len(string_split(f.path, '/')) THEN '0' ELSE '1' END || p) AS ord_key
+          FROM v_files f JOIN o_typed t ON t.path = f.path WHERE NOT (regexp_extract(t.fname, '^.+(\\.[^.]+)$', 1) IN ('', {lits(V.TREE_SNIFF_SUFFIXES)})) OR content_type IN ({lits(V.CODE_TYPES)})) a) b WHERE r <= 60000""",
+        typed("substring(content, 1, 4096)"),
+    )
     return q
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from sparkwarden.operators import files as FL
 from sparkwarden.operators import prefilter as PF
 from sparkwarden.operators import scan as SC
 from sparkwarden.operators import texts as TX
+from sparkwarden.sources import archives as AR
+from sparkwarden.sources import trees as TR
 from sparkwarden.plans.queries import query
 from sparkwarden.plans.views import AS_OF, spark_view, texts
 
@@ -298,3 +305,46 @@ def file_findings(spark, sf):
 @query
 def scan_exit_code(spark, sf):
     return TX.scan_exit_code(TX.file_findings(spark_view(spark, sf, "v_files")))
+
+
+# -- sources ----------------------------------------------------------------------------
+def _tarballs(spark, sf):
+    """The files of every package packed into one archive (at most 26 files each)."""
+    files = spark_view(spark, sf, "v_files").select("package_id", F.struct("ord", "path", "content").alias("f"))
+    packed = files.groupBy("package_id").agg(F.array_sort(F.collect_list("f")).alias("files"))
+    return packed.select(
+        F.concat("package_id", F.lit(".tgz")).alias("archive"), F.pandas_udf(_packed, "binary")("files").alias("content")
+    )
+
+
+def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def pack(files) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            for f in files:
+                data = f["content"].encode()
+                info = tarfile.TarInfo(f["path"])
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    for batch in batches:
+        yield batch.map(pack)
+
+
+@query
+def archive_files(spark, sf):
+    rows = AR.archive_files(AR.unpack_archives(_tarballs(spark, sf)))
+    return rows.select("archive", "path", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query
+def archive_manifest(spark, sf):
+    rows = AR.archive_manifest(_tarballs(spark, sf))
+    return rows.select("archive", "path", "size", F.length("content").alias("head_chars"))
+
+
+@query
+def tree_files(spark, sf):
+    rows = TR.tree_files(spark_view(spark, sf, "v_files").select("package_id", "path", "content"), budget=60_000)
+    return rows.select("package_id", "path", "size")

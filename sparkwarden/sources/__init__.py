@@ -1 +1 @@
-
+"""Readers of package archives and source trees."""
