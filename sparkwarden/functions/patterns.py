@@ -7,6 +7,7 @@ Spark (Java) match behave like the reference semantics: ``d`` so that ``.`` stop
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -94,18 +95,19 @@ def matching(text: Column, tests: list[tuple[list, str]], found_literals: Column
     if not tests:
         return F.array().cast("array<int>")
     rows = [
-        F.struct(
-            F.lit(i).alias("i"),
-            strings([a for a in anchors if not isinstance(a, list)]).alias("every"),
-            strings(next((a for a in anchors if isinstance(a, list)), [])).alias("some"),
-            F.lit(pattern).alias("pattern"),
-        )
+        {
+            "i": i,
+            "every": [a for a in anchors if not isinstance(a, list)],
+            "some": next((a for a in anchors if isinstance(a, list)), []),
+            "pattern": pattern,
+        }
         for i, (anchors, pattern) in enumerate(tests)
     ]
+    table = constant(rows, "array<struct<i:int,every:array<string>,some:array<string>,pattern:string>>")
 
     def hits(t: Column) -> Column:
         matched = F.filter(
-            F.array(*rows),
+            table,
             lambda r: (F.size(F.array_except(r["every"], t["found"])) == 0)
             & ((F.size(r["some"]) == 0) | F.arrays_overlap(r["some"], t["found"]))
             & F.rlike(t["text"], r["pattern"]),
@@ -145,9 +147,15 @@ def contains_any(text: Column, parts: list[str]) -> Column:
 
 def strings(values: list[str]) -> Column:
     """A constant array of strings."""
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return constant(values, "array<string>")
+
+
+def constant(value: object, schema: str) -> Column:
+    """A nested constant from one JSON literal, folded by the optimizer.
+
+    Building it from single literals would cost a call into the JVM for each of them.
+    """
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
 
 def severity_rank(name: Column) -> Column:

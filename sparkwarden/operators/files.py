@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden import values as V
 from sparkwarden.functions.ordered import running_total
-from sparkwarden.functions.patterns import all_of, contains_any, found, is_json, java, let, strings
+from sparkwarden.functions.patterns import all_of, constant, contains_any, found, is_json, java, let, strings
 
 
 # -- paths ------------------------------------------------------------------------------
@@ -130,8 +130,7 @@ def content_type(content: Column) -> Column:
 
 def suffix_type(suffix: Column) -> Column:
     """Type a known suffix stands for, else null."""
-    pairs = [F.lit(x) for pair in V.SUFFIX_TYPES.items() for x in pair]
-    return F.create_map(*pairs)[suffix]
+    return constant(V.SUFFIX_TYPES, "map<string,string>")[suffix]
 
 
 def mismatch(path: Column, detected: Column) -> Column:

@@ -140,7 +140,7 @@ def tag_hits() -> Column:
 
 
 def hit_tags(rules: list[Rule], hits: Column) -> Column:
-    tags = F.array(*[P.strings(list(r.tags)) for r in rules])
+    tags = P.constant([list(r.tags) for r in rules], "array<array<string>>")
     return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda i: pick(tags, i)))))
 
 

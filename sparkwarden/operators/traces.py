@@ -26,21 +26,21 @@ def json_event(line: Column) -> Column:
     """
     text = P.strip(line)
 
-    def event(t: Column) -> Column:
-        at = lambda name: F.get_json_object(t, f"$.{name}")
-        number = lambda name: F.coalesce(F.nullif(at(name), F.lit("")), F.lit("0")).try_cast("bigint")
-        valid = t.startswith("{") & P.is_json(t) & (F.length(at("kind")) > 0) & number("ts_ms").isNotNull() & number("pid").isNotNull()
+    def event(t: Column, e: Column) -> Column:
+        number = lambda name: F.coalesce(F.nullif(e[name], F.lit("")), F.lit("0")).try_cast("bigint")
         fields = F.struct(
-            at("kind").alias("kind"),
+            e["kind"].alias("kind"),
             number("ts_ms").alias("ts_ms"),
             number("pid").alias("pid"),
-            F.coalesce(at("process"), F.lit("")).alias("process"),
-            F.coalesce(at("target"), F.lit("")).alias("target"),
+            F.coalesce(e["process"], F.lit("")).alias("process"),
+            F.coalesce(e["target"], F.lit("")).alias("target"),
             t.alias("raw"),
         )
-        return F.when(valid, fields)
+        return F.when((F.length(e["kind"]) > 0) & number("ts_ms").isNotNull() & number("pid").isNotNull(), fields)
 
-    return P.let(text, event)
+    schema = "kind string, ts_ms string, pid string, process string, target string"
+    object_ = lambda t: F.from_json(F.when(t.startswith("{") & P.is_json(t), t), schema)
+    return P.let(text, lambda t: P.let(object_(t), lambda e: event(t, e)))
 
 
 def trace_json_events(lines: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def reply_json(replies: DataFrame) -> DataFrame:
     raw = F.col("reply")
     whole = F.when(P.is_json(P.strip(raw)), P.strip(raw))
     fenced = P.let(P.first(raw, _FENCED, dotall=True), lambda t: F.when((t != "") & P.is_json(t), t))
-    native = replies.withColumn("doc", F.coalesce(whole, fenced))
+    native = replies.select("*", P.once(F.coalesce(whole, fenced)).alias("doc"))
     left = F.when(F.col("doc").isNull() & raw.contains("{"), raw)
     return native.withColumn("doc", F.coalesce("doc", F.pandas_udf(_embedded_objects, "string")(left)))
 
@@ -71,17 +71,21 @@ def contradicted_votes(votes: DataFrame) -> DataFrame:
 def normalise_votes(replies: DataFrame) -> DataFrame:
     """Votes from raw replies: verdict, confidence in 0..1, reasoning and signals."""
     doc = F.when(F.col("doc").startswith("{"), F.col("doc"))
-    at = lambda path: F.get_json_object(doc, path)
-    keys = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
-    given = F.when(F.array_contains(keys, "confidence"), at("$.confidence").try_cast("double")).otherwise(0.5)
-    verdict = F.lower(at("$.verdict"))
-    valid = doc.isNotNull() & given.isNotNull()
-    parsed = reply_json(replies).select(
-        *[c for c in replies.columns if c != "reply"],
+    fields = F.from_json(doc, "verdict string, confidence string, reasoning string, risk_signals array<string>")
+    keys = [c for c in replies.columns if c != "reply"]
+    rows = reply_json(replies).select(*keys, "doc", P.once(fields).alias("_f"))
+    # A missing confidence counts as a half, an unusable one spoils the vote.
+    stated = F.contains("doc", F.lit('"confidence"'))
+    given = F.when(F.col("_f.confidence").isNotNull() | stated, F.col("_f.confidence").try_cast("double")).otherwise(0.5)
+    valid = F.col("_f").isNotNull() & given.isNotNull()
+    verdict = F.lower("_f.verdict")
+    none = F.array().cast("array<string>")
+    parsed = rows.select(
+        *keys,
         F.when(valid & verdict.isin("safe", "suspicious", "malicious"), verdict).otherwise("error").alias("verdict"),
         F.when(valid, F.least(F.greatest(given, F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("confidence"),
-        F.coalesce(at("$.reasoning"), F.lit("")).alias("reasoning"),
-        F.coalesce(F.from_json(at("$.risk_signals"), "array<string>"), F.array().cast("array<string>")).alias("signals"),
+        F.coalesce("_f.reasoning", F.lit("")).alias("reasoning"),
+        F.coalesce("_f.risk_signals", none).alias("signals"),
     )
     return contradicted_votes(parsed)
 

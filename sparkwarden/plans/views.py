@@ -15,6 +15,10 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+LARGEST_FIRST = (
+    "documents lineitem events conversations orders pages customer part supplier embeddings labels benchmark nation region"
+).split()
+
 # The instant the queries treat as now (2024-07-03 09:46:40 UTC).
 AS_OF = 1720000000
 
@@ -413,14 +417,20 @@ def with_views(sql: str, extra: str = "") -> str:
     return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
-def spread(spark: SparkSession, sf_dir: str, names: list[str], df: DataFrame) -> DataFrame:
-    """Spread texts over the cores when a text table is stored in fewer files than there are cores.
+# Views whose rows hold text that operators parse.
+PARSED = (
+    "v_files v_versions v_docs v_mentions v_configs v_replies v_syscalls v_trace_json v_commands v_registry documents pages"
+).split()
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, bases: list[str], df: DataFrame) -> DataFrame:
+    """Spread texts over the cores when their table is stored in fewer files than there are cores.
 
-    Scanning text is CPU work and a file with one row group is one task; a table of a cluster's
+    Parsing text is CPU work and a file with one row group is one task; a table of a cluster's
     size has files enough and is left where it lies.
     """
     cores = spark.sparkContext.defaultParallelism
-    few = any(t in names and len(tables(spark, sf_dir, t).inputFiles()) < cores for t in ("documents", "pages"))
+    few = name in PARSED and any(len(tables(spark, sf_dir, t).inputFiles()) < cores for t in bases[:1])
     return df.repartition(cores) if few else df
 
 
@@ -430,13 +440,13 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A text table, spread if it is small."""
-    return spread(spark, sf_dir, [name], tables(spark, sf_dir, name))
+    return spread(spark, sf_dir, name, [name], tables(spark, sf_dir, name))
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame; only the tables it needs are read."""
     names = needed(f"SELECT * FROM {name}", _SPARK)
     text = " ".join(_SPARK[n] for n in names)
-    bases = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    bases = sorted((t for t in TABLES if re.search(rf"\b{t}\b", text)), key=LARGEST_FIRST.index)
     ctes = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in bases] + [_SPARK[n] for n in names]
-    return spread(spark, sf_dir, bases, spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}"))
+    return spread(spark, sf_dir, name, bases, spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}"))
