@@ -217,9 +217,13 @@ def attack_chains(files: DataFrame) -> DataFrame:
 
 
 # -- entropy ----------------------------------------------------------------------------
-def shannon(text: Column) -> Column:
+def characters(text: Column) -> Column:
+    """Distinct characters of a text."""
+    return F.filter(F.array_distinct(F.split(text, "")), lambda c: F.length(c) > 0)
+
+
+def shannon(text: Column, symbols: Column) -> Column:
     """Shannon entropy of the characters of a text, in bits; one pass per distinct character."""
-    symbols = F.filter(F.array_distinct(F.split(text, "")), lambda c: F.length(c) > 0)
     counts = F.transform(symbols, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
     shares = F.transform(counts, lambda n: n / F.length(text))
     return -F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
@@ -228,18 +232,22 @@ def shannon(text: Column) -> Column:
 def entropy_lines_of(content: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:
     """Long lines above the threshold, as ``(line, entropy)``.
 
-    A text of n characters has at most log2(n) bits per character, and at most the logarithm of
-    its distinct characters; both bounds are tested first so most lines never reach the sum.
+    A text has at most the logarithm of its distinct characters in bits per character; that
+    bound is tested first, so most lines never reach the sum.
     """
     numbered = F.transform(P.lines(content), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     candidates = F.filter(numbered, lambda x: F.length(x["text"]) >= ENTROPY_MIN_CHARS)
-    stripped = F.transform(candidates, lambda x: F.struct(x["line"].alias("line"), P.strip(x["text"]).alias("text")))
+
+    def spelled(x: Column) -> Column:
+        return P.let(
+            P.strip(x["text"]), lambda t: F.struct(x["line"].alias("line"), t.alias("text"), characters(t).alias("symbols"))
+        )
+
     long = F.filter(
-        stripped,
-        lambda x: (F.length(x["text"]) >= ENTROPY_MIN_CHARS)
-        & (F.size(F.array_distinct(F.split(x["text"], ""))) > int(2**threshold)),
+        F.transform(candidates, spelled),
+        lambda x: (F.length(x["text"]) >= ENTROPY_MIN_CHARS) & (F.size(x["symbols"]) > int(2**threshold)),
     )
-    scored = F.transform(long, lambda x: F.struct(x["line"].alias("line"), shannon(x["text"]).alias("entropy")))
+    scored = F.transform(long, lambda x: F.struct(x["line"].alias("line"), shannon(x["text"], x["symbols"]).alias("entropy")))
     return F.filter(scored, lambda x: x["entropy"] > threshold)
 
 

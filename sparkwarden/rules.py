@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden import values as V
@@ -104,7 +104,5 @@ def rule_stats(rules: DataFrame, top_tags: int = 15) -> DataFrame:
             F.count("*").alias("n")
         )
 
-    tags = counts("tag", F.explode("tags"))
-    order = Window.orderBy(F.desc("n"), "value")
-    common = tags.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= top_tags).drop("_rank")
+    common = counts("tag", F.explode("tags")).orderBy(F.desc("n"), "value").limit(top_tags)
     return counts("severity", F.col("severity")).unionByName(counts("scope", F.col("scope"))).unionByName(common)
