@@ -60,10 +60,6 @@ def _package_consensus(spark, sf):
     return _consensus(spark, sf).withColumn("package_id", F.concat(F.lit("pkg"), F.col("package_id").cast("string")))
 
 
-def _overridden(spark, sf):
-    return PF.uninspected_override(prefiltered(spark, sf), source_flags(spark, sf))
-
-
 def _enrichment_decisions(spark, sf):
     packages = spark_view(spark, sf, "v_packages")
     none = F.array().cast("array<string>")
@@ -86,19 +82,20 @@ def decide_enrichment(spark, sf):
 
 
 def _reports(spark, sf):
-    prefilter = _overridden(spark, sf)
-    decided = PF.decide_prefilter(prefiltered(spark, sf))
+    scanned = prefiltered(spark, sf)
+    prefilter = PF.uninspected_override(scanned, source_flags(spark, sf))
+    decided = PF.decide_prefilter(scanned)
     packages = spark_view(spark, sf, "v_packages")
     traces = packages.filter("k % 33 = 0").select(
         "package_id", F.lit("malicious").alias("outcome"), F.lit("Sandbox canary file(s) read during install: x").alias("reason")
     )
     voted = _package_consensus(spark, sf)
-    return prefilter, DC.decide_report(prefilter, decided, DC.decide_consensus(voted), _enrichment_decisions(spark, sf), traces)
+    return DC.decide_report(prefilter, decided, DC.decide_consensus(voted), _enrichment_decisions(spark, sf), traces)
 
 
 @query
 def decide_report(spark, sf):
-    return _reports(spark, sf)[1]
+    return _reports(spark, sf)
 
 
 def _scans(spark, sf):
