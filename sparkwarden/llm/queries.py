@@ -4,30 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwarden.llm import quality, simhash
+from sparkwarden.llm import mixing, packing, quality, simhash, substrings, token_store
 from sparkwarden.llm.oracles import ORACLES
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary file lies, on every machine."""
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to a store and found again through its index."""
+    return token_store.stored_ids(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and weak-supervision verdict of every document."""
     found = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    found = mixing.copies(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated strings of 100 bytes takes from every document."""
+    found = substrings.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, most=4)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op4_quality_rules": op4_quality_rules,
+    "op6_mixing": op6_mixing,
+    "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
+    "op10_packing": op10_packing,
 }
 
 
