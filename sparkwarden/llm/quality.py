@@ -37,11 +37,17 @@ PRIOR_GOOD = 0.5
 ROUNDS = 25
 
 
+#: Columns that ``judged`` adds; it replaces columns of ``docs`` with these names.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_capitals", "n_shouts"]
+MADE = [*COUNTS, "base_failed", "votes", "quality", "kept"]
+
+
 def measured(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Counts of every document beside its own columns (prefix ``_m`` is taken).
 
     A null text counts as empty.  Windows are told apart by 64-bit hashes within one text.
     """
+    docs = docs.drop(*MADE)
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("*", words(F.col("text")).alias("_mw"))
     df = df.withColumn("_mn", F.size("_mw").cast("long"))

@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -420,3 +421,18 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
 
     found = spans(sequenced(docs.select(F.col("doc_id").cast("long"), "text")), length, batches)
     return found.select("doc_id", "text", "_marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+
+
+def remaining(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+    """``docs`` with what is left of each text (a null stays null); all other columns and the number of rows stay.
+
+    Columns named ``_seq``, ``_marks`` or ``doc`` are taken.
+    """
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        out = [None if t is None else t if m is None else cut(t.encode("utf-8", "surrogatepass"), list(m))[0].decode("utf-8", "ignore") for t, m in zip(texts, marks, strict=True)]
+        return pd.Series(out, dtype=object)
+
+    found = spans(sequenced(docs), length, batches)
+    return found.select(*[left("text", "_marks").alias("text") if c == "text" else F.col(c) for c in docs.columns])
