@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import mixing, packing, quality, simhash, substrings, token_store
+from sparkwarden.llm import embeddings, languages, mixing, packing, quality, scoring, simhash, substrings, token_store, urls
 from sparkwarden.llm.oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,12 +28,27 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_ids(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
+def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    return languages.predicted(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and weak-supervision verdict of every document."""
     found = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of every vector."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     found = mixing.copies(_table(spark, sf_dir, "documents"))
@@ -51,6 +66,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, most=4)
 
 
+def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model log-probability of every document, learned from nine tenths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    return scoring.scored(docs.select("doc_id", languages.held_out(F.col("doc_id"), 10, 0).alias("held_out"), "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 4096 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -58,10 +79,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_url_filters": op2_url_filters,
+    "op3_languages": op3_languages,
     "op4_quality_rules": op4_quality_rules,
+    "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
     "op7_substrings": op7_substrings,
     "op8_simhash": op8_simhash,
+    "op9_scoring": op9_scoring,
     "op10_packing": op10_packing,
 }
 
