@@ -71,7 +71,7 @@ def behaviours() -> str:
 def content_type(column: str) -> str:
     shebang = " ".join(f"WHEN {m(column, '^#!.*' + p)} THEN {lit(k)}" for k, p in V.SHEBANGS)
     return f"""CASE WHEN coalesce(length({column}), 0) = 0 THEN NULL
-      WHEN (length(substring({column}, 1, 4096)) - length(regexp_replace(substring({column}, 1, 4096), '[\\x00-\\x08\\x0e-\\x1f]', '', 'g'))) * 10 > least(length({column}), 4096) THEN NULL
+      WHEN (length({column}) - length(regexp_replace({column}, '[\\x00-\\x08\\x0e-\\x1f]', '', 'g'))) * 10 > length({column}) THEN NULL
       {shebang}
       WHEN {m(column, '^[ \t\n\r]*[\\[{]')} AND json_valid({column}) THEN 'json'
       WHEN {m(column, V.PYTHON_PROBE, 'm')} THEN 'python' WHEN {m(column, V.JS_PROBE, 'm')} THEN 'javascript' END"""
@@ -228,13 +228,14 @@ def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     cols = "package_id, path, category, severity, text"
     q["package_risk"] = with_views(
-        decide("(SELECT *, 'Found ' || n_signals || ' risk signal(s)' AS reason FROM o_levels)"), signals() + ", " + counted()
+        decide("(SELECT p.package_id, coalesce(l.level, 'NONE') AS level, coalesce(l.ev_medium, 0) AS ev_medium, CASE WHEN l.n_signals IS NULL THEN 'No risk signals detected' ELSE 'Found ' || l.n_signals || ' risk signal(s)' END AS reason FROM v_packages p LEFT JOIN o_levels l USING (package_id))"), signals() + ", " + counted()
     )
     q["classify_files"] = with_views(
         "SELECT package_id, path, name, suffix, depth::INT AS depth, is_install, skip_dir, skip_ext FROM o_cls", CLS
     )
     q["admit_files"] = with_views(
-        "SELECT package_id, path, size, ord FROM (SELECT *, sum(size) OVER (PARTITION BY package_id ORDER BY ord) AS r FROM v_files WHERE size <= 30000) t WHERE r <= 60000"
+        "SELECT package_id, path, size, ord, CASE WHEN size > 30000 THEN 'oversized' WHEN r > 60000 THEN 'over budget' END AS refused "
+        "FROM (SELECT *, sum(CASE WHEN size <= 30000 THEN size ELSE 0 END) OVER (PARTITION BY package_id ORDER BY ord) AS r FROM v_files) t"
     )
     q["size_budget"] = with_views(
         "SELECT package_id, ord, size, sum(size) OVER (PARTITION BY package_id ORDER BY ord)::BIGINT AS running_bytes FROM v_files"
@@ -277,7 +278,7 @@ def sql() -> dict[str, str]:
     q["disguised_files"] = with_views(
         "SELECT package_id, path, 'disguised file: ' || path || ' — ' || mismatch AS finding FROM o_typed WHERE mismatch IS NOT NULL "
         f"AND NOT list_has_any(string_split(path, '/'), {lst(V.TREE_PRUNED_DIRS)})",
-        typed("substring(content, 1, 4096)"),
+        typed(),
     )
     q["version_diff"] = with_views(
         "SELECT n.package_id, n.p AS path, CASE WHEN o.p IS NULL THEN 'added' ELSE 'changed' END AS status FROM "
@@ -319,7 +320,10 @@ def sql() -> dict[str, str]:
           FROM v_packages p LEFT JOIN o_cat c USING (package_id) GROUP BY p.package_id, p.k) t""",
         evasion() + ", " + OBSERVED,
     )
-    q["risk_level"] = with_views("SELECT package_id, n_signals, n_high, n_medium, level FROM o_levels", signals() + ", " + counted())
+    q["risk_level"] = with_views(
+        "SELECT p.package_id, coalesce(n_signals, 0) AS n_signals, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(level, 'NONE') AS level FROM v_packages p LEFT JOIN o_levels USING (package_id)",
+        signals() + ", " + counted(),
+    )
     q["allow_block"] = with_views(
         "SELECT package_id, name, level, CASE level WHEN 'CRITICAL' THEN false WHEN 'NONE' THEN true END AS passed, "
         "CASE level WHEN 'CRITICAL' THEN 'Package ''' || name || ''' is in the blocklist' WHEN 'NONE' THEN 'Package ''' || name || ''' is whitelisted' END AS reason FROM o_listed",
@@ -368,10 +372,10 @@ def sql() -> dict[str, str]:
     )
     # Top-down order: names of files sort before directories on every level.
     q["tree_files"] = with_views(
-        f"""SELECT package_id, path, size FROM (SELECT *, sum(size) OVER (PARTITION BY package_id ORDER BY ord_key) AS r FROM (
+        f"""SELECT package_id, path, size, CASE WHEN r > 60000 THEN 'over budget' END AS refused FROM (SELECT *, sum(size) OVER (PARTITION BY package_id ORDER BY ord_key) AS r FROM (
           SELECT f.package_id, f.path, strlen(f.content) AS size, list_transform(string_split(f.path, '/'), lambda p, i: CASE WHEN i = len(string_split(f.path, '/')) THEN '0' ELSE '1' END || p) AS ord_key
-          FROM v_files f JOIN o_typed t ON t.path = f.path WHERE NOT (regexp_extract(t.fname, '^.+(\\.[^.]+)$', 1) IN ('', {lits(V.TREE_SNIFF_SUFFIXES)})) OR content_type IN ({lits(V.CODE_TYPES)})) a) b WHERE r <= 60000""",
-        typed("substring(content, 1, 4096)"),
+          FROM v_files f JOIN o_typed t ON t.path = f.path WHERE NOT (regexp_extract(t.fname, '^.+(\\.[^.]+)$', 1) IN ('', {lits(V.TREE_SNIFF_SUFFIXES)})) OR content_type IN ({lits(V.CODE_TYPES)})) a) b""",
+        typed(),
     )
     return q
 

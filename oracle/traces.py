@@ -13,8 +13,17 @@ def x(path: str, doc: str = "j") -> str:
     return f"json_extract_string({doc}, '{path}')"
 
 
+def whole(name: str) -> str:
+    text = x(f"$.{name}")
+    return (
+        f"CASE json_type(j, '$.{name}') WHEN 'DOUBLE' THEN trunc({text}::DOUBLE)::BIGINT WHEN 'BOOLEAN' THEN CASE {text} WHEN 'true' THEN 1 ELSE 0 END "
+        f"WHEN 'VARCHAR' THEN CASE WHEN {text} = '' THEN 0 WHEN regexp_full_match({text}, '[+-]?[0-9]+') THEN try_cast({text} AS BIGINT) END "
+        f"ELSE try_cast(coalesce({text}, '0') AS BIGINT) END"
+    )
+
+
 JSON = f"""o_json AS (SELECT run_id, line_no, {x('$.kind')} AS kind, ts_ms, pid, {x('$.process')} AS process, {x('$.target')} AS target, t AS raw FROM (
-    SELECT *, try_cast(coalesce(nullif({x('$.ts_ms')}, ''), '0') AS BIGINT) AS ts_ms, try_cast(coalesce(nullif({x('$.pid')}, ''), '0') AS BIGINT) AS pid FROM (
+    SELECT *, {whole('ts_ms')} AS ts_ms, {whole('pid')} AS pid FROM (
       SELECT *, CASE WHEN t LIKE '{{%' AND json_valid(t) THEN t END AS j FROM (SELECT run_id, line_no, trim(line) AS t FROM v_trace_json) a) b WHERE j IS NOT NULL) c
   WHERE {x('$.kind')} <> '' AND ts_ms IS NOT NULL AND pid IS NOT NULL)"""
 

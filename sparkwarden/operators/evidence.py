@@ -33,7 +33,7 @@ def advisory_fields(doc: Column) -> list[Column]:
     fixed = F.get(F.filter(F.transform(events, lambda e: e["fixed"]), lambda f: F.length(f) > 0), 0)
     return [
         F.coalesce(at("$.id"), F.lit("UNKNOWN")).alias("id"),
-        F.coalesce(at("$.summary"), F.substring(at("$.details"), 1, 200), F.lit("")).alias("summary"),
+        F.coalesce(at("$.summary"), at("$.details"), F.lit("")).alias("summary"),
         F.coalesce(
             stated("$.database_specific.severity"), stated("$.ecosystem_specific.severity"),
             F.when(vector.isNotNull(), cvss_band(vector)), F.lit("UNKNOWN"),
@@ -42,15 +42,16 @@ def advisory_fields(doc: Column) -> list[Column]:
     ]
 
 
-def advisory_join(packages: DataFrame, advisories: DataFrame, limit: int = V.ADVISORY_LIMIT) -> DataFrame:
-    """Advisories of every package, at most ``limit`` in their own order.
+def advisory_join(packages: DataFrame, advisories: DataFrame, limit: int | None = None) -> DataFrame:
+    """Advisories of every package: all of them, or the first ``limit`` in their own order.
 
-    The limit is taken per name before packages join, where Spark cuts it on the map side.
+    A limit is taken per name before packages join, where Spark cuts it on the map side.
     """
-    order = Window.partitionBy("ecosystem", "name").orderBy("pos")
     wanted = advisories.filter(F.col("ecosystem").isin(V.ADVISORY_ECOSYSTEMS))
-    first = wanted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
-    parsed = first.select("ecosystem", "name", "pos", *advisory_fields(F.col("doc")))
+    if limit is not None:
+        order = Window.partitionBy("ecosystem", "name").orderBy("pos")
+        wanted = wanted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
+    parsed = wanted.select("ecosystem", "name", "pos", *advisory_fields(F.col("doc")))
     return packages.select("package_id", "ecosystem", "name").join(parsed, ["ecosystem", "name"]).drop("ecosystem", "name")
 
 
@@ -177,28 +178,27 @@ def mention_relevance(mentions: DataFrame) -> DataFrame:
     return mentions.select("package_id", "pos", relevance(F.col("title"), F.col("description"), F.col("package")).alias("relevance"))
 
 
-def top_mentions(mentions: DataFrame, keep: int = 10) -> DataFrame:
-    """The ten most relevant mentions per package, and of those the relevant ones."""
+def top_mentions(mentions: DataFrame, keep: int | None = None) -> DataFrame:
+    """Relevant mentions of every package by rank: all, or those among the first ``keep``."""
     scored = mentions.filter(~F.col("author_query")).select(
         "package_id", "pos", "title", relevance(F.col("title"), F.col("description"), F.col("package")).alias("relevance")
     )
     order = Window.partitionBy("package_id").orderBy(F.desc("relevance"), "pos")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
-    return top.filter(F.col("relevance") > 10)
-
-
-def author_mentions(mentions: DataFrame, look: int = 3) -> DataFrame:
-    """What the first results of the author query say about the author."""
-    order = Window.partitionBy("package_id").orderBy("pos")
-    first = (
-        mentions.filter("author_query")
-        .select("package_id", "author", "title", "pos", F.substring("description", 1, 150).alias("lead"),
-                F.contains(F.lower(F.concat("title", F.lit(" "), "description")), F.lower("author")).alias("named"))
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= look)
-    )
+    # Irrelevant mentions rank below all relevant ones, so they may go before anything is shuffled.
+    top = scored.filter(F.col("relevance") > 10).withColumn("rank", F.row_number().over(order))
+    return top if keep is None else top.filter(F.col("rank") <= keep)
+
+
+def author_mentions(mentions: DataFrame, look: int | None = None) -> DataFrame:
+    """What results of the author query say about the author: all of them, or the first ``look``."""
+    first = mentions.filter("author_query").select(
+        "package_id", "author", "title", "pos", F.col("description").alias("lead"),
+        F.contains(F.lower(F.concat("title", F.lit(" "), "description")), F.lower("author")).alias("named"),
+    )
+    if look is not None:
+        order = Window.partitionBy("package_id").orderBy("pos")
+        first = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= look)
     line = F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("lead"))
-    # At most `look` rows per package remain here.
     return (
         first.filter(F.col("named") & (F.length("author") > 0))
         .groupBy("package_id", "author")
@@ -212,8 +212,8 @@ def author_mentions(mentions: DataFrame, look: int = 3) -> DataFrame:
 
 
 # -- documentation ----------------------------------------------------------------------
-def capabilities(docs: DataFrame, keep: int = 8) -> DataFrame:
-    """Capabilities the documents of a package name, in fixed order, the first eight.
+def capabilities(docs: DataFrame, keep: int | None = None) -> DataFrame:
+    """Capabilities the documents of a package name, in fixed order: all, or the first ``keep``.
 
     Documents count as one text joined by blanks.  Each is searched where it lies; a two-word
     keyword split over neighbours is found from the flags of the preceding document.
@@ -232,7 +232,7 @@ def capabilities(docs: DataFrame, keep: int = 8) -> DataFrame:
         flags = flags.withColumn(f"_k{i}", F.col(f"_k{i}") | (F.coalesce("_before", F.lit(False)) & F.col(f"_s{i}"))).drop("_before")
     seen = flags.groupBy("package_id").agg(*[F.bool_or(f"_k{i}").alias(f"_k{i}") for i in range(len(V.CAPABILITIES))])
     named = F.array_compact(F.array(*[F.when(F.col(f"_k{i}"), label) for i, (_, label) in enumerate(V.CAPABILITIES)]))
-    return seen.select("package_id", F.slice(named, 1, keep).alias("capabilities"))
+    return seen.select("package_id", (named if keep is None else F.slice(named, 1, keep)).alias("capabilities"))
 
 
 # -- evidence for a reviewer ------------------------------------------------------------

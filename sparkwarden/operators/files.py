@@ -6,6 +6,10 @@ of the file in its package.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,27 +75,32 @@ def is_safe_path(path: Column) -> Column:
     return (F.length(path) > 0) & ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..")
 
 
-def admit_files(
-    files: DataFrame,
-    max_file: int = V.MAX_FILE_BYTES,
-    budget: int = V.MAX_ARCHIVE_TOTAL_BYTES,
-    key: str = "package_id",
-) -> DataFrame:
-    """Safe paths of bounded size, cut per package where the running total passes the budget.
+def admit_files(files: DataFrame, max_file: int | None = None, budget: int | None = None, key: str = "package_id") -> DataFrame:
+    """Every file with ``refused``: why it would stay out, null for an admitted one.
 
-    Only packages whose total exceeds the budget need the running total, and it is computed on
-    ``(key, ord, size)`` alone, so file contents are never shuffled by the window.
+    Without limits only unsafe paths are refused.  ``max_file`` refuses larger files, ``budget`` all files from where a
+    package's running total of the others passes it.  Only packages whose total exceeds the budget need the
+    running total, and it is computed on ``(key, ord, size)`` alone, so file contents are never shuffled by the window.
     """
-    allowed = files.filter(is_safe_path(F.col("path")) & (F.col("size") <= max_file))
-    sizes = allowed.select(key, "ord", "size")
+    refused = F.when(~is_safe_path(F.col("path")), "unsafe path")
+    if max_file is not None:
+        refused = refused.when(F.col("size") > max_file, "oversized")
+    marked = files.withColumn("refused", refused)
+    if budget is None:
+        return marked
+    sizes = marked.filter("refused IS NULL").select(key, "ord", "size")
     over = sizes.groupBy(key).agg(F.sum("size").alias("_total")).filter(F.col("_total") > budget).select(key)
     running = running_total(sizes.join(over, key, "left_semi"), [key], "ord", "size", "_running")
     cuts = running.filter(F.col("_running") > budget).groupBy(key).agg(F.min("ord").alias("_cut"))
-    return (
-        allowed.join(cuts, key, "left")
-        .filter(F.col("_cut").isNull() | (F.col("ord") < F.col("_cut")))
-        .drop("_cut")
-    )
+    late = F.when(F.col("ord") >= F.col("_cut"), "over budget")
+    return marked.join(cuts, key, "left").withColumn("refused", F.coalesce("refused", late)).drop("_cut")
+
+
+def oversized_flags(admission: DataFrame, key: str = "package_id") -> DataFrame:
+    """``key, oversized, unavailable`` of packages with files that a limit refused: what :func:`prefilter.uninspected_override` takes."""
+    hit = admission.filter(F.col("refused").isin("oversized", "over budget")).groupBy(key).agg(F.count("*").alias("_n"))
+    message = F.concat(F.col("_n").cast("string"), F.lit(" file(s) above the size limits"))
+    return hit.select(key, message.alias("oversized"), F.lit(None).cast("string").alias("unavailable"))
 
 
 def size_budget(files: DataFrame, key: str = "package_id") -> DataFrame:
@@ -101,10 +110,9 @@ def size_budget(files: DataFrame, key: str = "package_id") -> DataFrame:
 
 # -- content sniffing -------------------------------------------------------------------
 def is_binary(content: Column) -> Column:
-    """More than a tenth of the first 4096 characters are control characters."""
-    head = F.substring(content, 1, 4096)
-    controls = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0e-\x1f]", ""))
-    return (F.length(head) > 0) & (controls / F.greatest(F.length(head), F.lit(1)) > 0.10)
+    """More than a tenth of the characters are control characters."""
+    controls = F.regexp_count(content, F.lit(r"[\x00-\x08\x0e-\x1f]"))
+    return (F.length(content) > 0) & (controls * 10 > F.length(content))
 
 
 def content_type(content: Column) -> Column:
@@ -165,10 +173,9 @@ def extension_mismatch(files: DataFrame) -> DataFrame:
 
 
 def disguised_files(files: DataFrame) -> DataFrame:
-    """Mismatches judged by the first 4096 characters, outside pruned directories."""
+    """Mismatches judged by whole contents, outside pruned directories."""
     kept = files.filter(~F.arrays_overlap(F.split("path", "/"), strings(V.TREE_PRUNED_DIRS)))
-    heads = kept.select("package_id", "path", F.substring("content", 1, 4096).alias("content"))
-    found_ = extension_mismatch(heads)
+    found_ = extension_mismatch(kept)
     return found_.select(
         "package_id",
         "path",
@@ -202,18 +209,34 @@ def version_diff(files: DataFrame) -> DataFrame:
 
 
 # -- whole-package values ---------------------------------------------------------------
-def tree_hash(files: DataFrame, max_file: int = V.MAX_FILE_BYTES, budget: int = V.MAX_ARCHIVE_TOTAL_BYTES) -> DataFrame:
-    """SHA-256 over the admitted files of a package in path order.
-
-    The digest is one sequential pass over a package, so a package must fit one row; admission
-    (`admit_files`) is what bounds it, exactly as it bounds a package before it is published.
+def _tree_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest per package from rows sorted by package and path: nothing but the running digest is held."""
+    package, digest = None, None
+    for batch in batches:
+        done: list[tuple[str, str]] = []
+        for name, path, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+            if digest is None or name.as_py() != package:
+                if digest is not None:
+                    done.append((package, digest.hexdigest()))
+                package, digest = name.as_py(), hashlib.sha256()
+            digest.update((path.as_py() or "").encode() + b"\0" + (content.as_py() or "").encode() + b"\n")
+        yield _digest_rows(done)
+    if digest is not None:
+        yield _digest_rows([(package, digest.hexdigest())])
+
+
+def _digest_rows(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(2)]
+    return pa.RecordBatch.from_arrays(columns, ["package_id", "tree_sha256"])
+
+
+def tree_hash(files: DataFrame) -> DataFrame:
+    """SHA-256 over all files of a package in path order, whatever their size.
+
+    A digest is one sequential pass; files are shuffled once by package, sorted (Spark spills), and fed to it as they come.
     """
-    admitted = admit_files(files, max_file, budget)
-    parts = F.transform(
-        F.array_sort(F.collect_list(F.struct("path", "content"))),
-        lambda f: F.concat(f["path"], F.lit("\0"), f["content"], F.lit("\n")),
-    )
-    return admitted.groupBy("package_id").agg(F.sha2(F.array_join(parts, ""), 256).alias("tree_sha256"))
+    ordered = files.select("package_id", "path", "content").repartition("package_id").sortWithinPartitions("package_id", "path", "content")
+    return ordered.mapInArrow(_tree_digests, "package_id string, tree_sha256 string")
 
 
 def review_context(files: DataFrame, level: str = "l1_quick") -> DataFrame:

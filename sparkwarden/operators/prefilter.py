@@ -147,8 +147,14 @@ def signal_counts(signals: DataFrame, collapse: bool = True) -> DataFrame:
     )
 
 
-def risk_levels(signals: DataFrame, collapse: bool = True) -> DataFrame:
-    counts = signal_counts(signals, collapse)
+def package_counts(packages: DataFrame, signals: DataFrame, collapse: bool = True) -> DataFrame:
+    """:func:`signal_counts` of every package, zero where nothing was signalled."""
+    return packages.select("package_id").distinct().join(signal_counts(signals, collapse), "package_id", "left").fillna(0)
+
+
+def risk_levels(packages: DataFrame, signals: DataFrame, collapse: bool = True) -> DataFrame:
+    """Level of every package; NONE without signals."""
+    counts = package_counts(packages, signals, collapse)
     rank = risk_rank(F.col("n_high"), F.col("n_medium"), F.col("n_typosquat"), F.col("n_signals"))
     return counts.select("package_id", "n_signals", "n_high", "n_medium", P.severity_name(rank).alias("level"))
 

@@ -102,7 +102,7 @@ def publish_plan(
 def published_files(plan: DataFrame, files: DataFrame) -> DataFrame:
     """Files to write, each under the storage path of its package."""
     writes = plan.filter("write").select("package_id", F.col("path").alias("storage_path"))
-    return admit_files(files).join(writes, "package_id").select(
+    return admit_files(files).filter("refused IS NULL").join(writes, "package_id").select(
         "package_id", "storage_path", F.concat_ws("/", "storage_path", "path").alias("file_path"), "content"
     )
 
@@ -115,10 +115,11 @@ def provenance_rows(plan: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def publish_files(plan: DataFrame, files: DataFrame, urls: DataFrame, target: str) -> None:
-    """Write files and provenance below ``target``; rerunning replaces the same partitions."""
-    published_files(plan, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "storage_path"
-    ).parquet(f"{target}/files")
-    provenance_rows(plan, urls).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path").parquet(
-        f"{target}/provenance"
-    )
+    """Write files and provenance below ``target``, under a shard of each storage path's hash; rerunning replaces the same shards.
+
+    The number of directories is that of the shards, however many packages there are.
+    """
+    shard = lambda path: F.substring(F.sha2(path, 256), 1, 2).alias("shard")
+    for name, rows, path in (("files", published_files(plan, files), "storage_path"), ("provenance", provenance_rows(plan, urls), "path")):
+        out = rows.select("*", shard(path)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("shard").parquet(f"{target}/{name}")

@@ -119,8 +119,8 @@ def _config_walk(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         out: list[dict] = []
         try:
             _commands(json.loads(text), "", out)
-        except ValueError:
-            pass
+        except (ValueError, RecursionError):  # not JSON, or nested beyond what can be walked: no commands
+            return []
         return out
 
     for batch in contents:

@@ -22,12 +22,17 @@ CANARY_MARKER = "/observer-canary"
 def json_event(line: Column) -> Column:
     """An event from a JSON line, null for anything else.
 
-    Missing, null and empty numbers count as 0; other non-numbers drop the line.
+    Missing, null and empty numbers count as 0, fractions are cut off, true is 1; text must be a whole
+    number; other values drop the line.
     """
     text = P.strip(line)
 
     def event(t: Column, e: Column) -> Column:
-        number = lambda name: F.coalesce(F.nullif(e[name], F.lit("")), F.lit("0")).try_cast("bigint")
+        # Only a value that is no whole number is read again, as a JSON number and as a JSON boolean.
+        typed = lambda name, kind: F.from_json(t, f"{name} {kind}")[name].try_cast("bigint")
+        number = lambda name: F.coalesce(
+            F.coalesce(F.nullif(e[name], F.lit("")), F.lit("0")).try_cast("bigint"), typed(name, "double"), typed(name, "boolean")
+        )
         fields = F.struct(
             e["kind"].alias("kind"),
             number("ts_ms").alias("ts_ms"),

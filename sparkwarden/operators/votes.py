@@ -29,6 +29,8 @@ def _embedded_objects(replies: Iterator[pd.Series]) -> Iterator[pd.Series]:
             try:
                 _, end = decoder.raw_decode(text, at)
                 return text[at:end]
+            except RecursionError:  # nested beyond what a reply may be: no object
+                return None
             except ValueError:
                 at = text.find("{", at + 1)
         return None

@@ -19,7 +19,7 @@ from sparkwarden.operators import texts as TX
 from sparkwarden.sources import archives as AR
 from sparkwarden.sources import trees as TR
 from sparkwarden.plans.queries import query
-from sparkwarden.plans.views import AS_OF, spark_view, texts
+from sparkwarden.plans.views import AS_OF, spark_view, tables
 
 # Prose lines stay below the default of 5.5 bits; 4.5 makes the query say something.
 QUERY_ENTROPY = 4.5
@@ -40,10 +40,11 @@ def shown(df: DataFrame) -> DataFrame:
 def package_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: every file signal of every package, its level and its decision."""
     signals = PF.file_signals(spark_view(spark, sf, "v_files"), AS_OF, entropy_threshold=QUERY_ENTROPY)
-    counts = PF.signal_counts(signals)
+    counts = PF.package_counts(spark_view(spark, sf, "v_packages"), signals)
     rank = PF.risk_rank(F.col("n_high"), F.col("n_medium"), F.col("n_typosquat"), F.col("n_signals"))
     levels = counts.withColumn("level", PF.P.severity_name(rank)).withColumn(
-        "reason", F.concat(F.lit("Found "), F.col("n_signals").cast("string"), F.lit(" risk signal(s)"))
+        "reason",
+        F.when(F.col("n_signals") == 0, "No risk signals detected").otherwise(F.concat(F.lit("Found "), F.col("n_signals").cast("string"), F.lit(" risk signal(s)"))),
     )
     return PF.decide_prefilter(levels)
 
@@ -56,7 +57,7 @@ def classify_files(spark, sf):
 @query
 def admit_files(spark, sf):
     admitted = FL.admit_files(spark_view(spark, sf, "v_files"), max_file=30_000, budget=60_000)
-    return admitted.select("package_id", "path", "size", "ord")
+    return admitted.select("package_id", "path", "size", "ord", "refused")
 
 
 @query
@@ -115,7 +116,7 @@ def attack_chains(spark, sf):
 
 @query
 def entropy_lines(spark, sf):
-    docs = texts(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = tables(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return SC.entropy_lines(docs, QUERY_ENTROPY).withColumn("entropy", F.round("entropy", 6))
 
 
@@ -161,7 +162,7 @@ def review_context(spark, sf):
 
 @query
 def truncate_context(spark, sf):
-    docs = texts(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = tables(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return FL.truncate_context(docs)
 
 
@@ -216,7 +217,7 @@ def _observed(spark, sf):
 @query
 def risk_level(spark, sf):
     signals = PF.file_signals(spark_view(spark, sf, "v_files"), AS_OF, entropy_threshold=QUERY_ENTROPY)
-    return PF.risk_levels(signals)
+    return PF.risk_levels(spark_view(spark, sf, "v_packages"), signals)
 
 
 @query
@@ -281,14 +282,14 @@ def suspicious_findings(spark, sf):
 
 @query
 def hidden_text(spark, sf):
-    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = tables(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return TX.hidden_text(docs)
 
 
 @query
 def encoded_runs(spark, sf):
-    pages = texts(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
-    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    pages = tables(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    docs = tables(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return TX.encoded_runs(docs.unionByName(pages))
 
 
@@ -347,4 +348,4 @@ def archive_manifest(spark, sf):
 @query
 def tree_files(spark, sf):
     rows = TR.tree_files(spark_view(spark, sf, "v_files").select("package_id", "path", "content"), budget=60_000)
-    return rows.select("package_id", "path", "size")
+    return rows.select("package_id", "path", "size", "refused")

@@ -276,7 +276,7 @@ def views(engine: str) -> dict[str, str]:
       WHERE seq % 6 = 0 AND seq % 5 <> 0)"""
     js = (
         f"concat('{{', {q}, 'kind', {q}, ': ', {q}, kind, {q}, ', ', {q}, 'ts_ms', {q}, ': ', cast(ts_ms AS varchar(20)), ', ', {q}, 'pid', {q}, ': ', "
-        f"CASE WHEN seq % 31 = 0 THEN 'null' WHEN seq % 27 = 0 THEN concat({q}, 'x1', {q}) ELSE cast(pid AS varchar(20)) END, ', ', {q}, 'process', {q}, ': ', "
+        f"CASE WHEN seq % 31 = 0 THEN 'null' WHEN seq % 27 = 0 THEN concat({q}, 'x1', {q}) WHEN seq % 29 = 0 THEN 'true' WHEN seq % 37 = 0 THEN '12.7' WHEN seq % 41 = 0 THEN '1e3' WHEN seq % 43 = 0 THEN concat({q}, '7.5', {q}) ELSE cast(pid AS varchar(20)) END, ', ', {q}, 'process', {q}, ': ', "
         f"{q}, 'npm', {q}, ', ', {q}, 'target', {q}, ': ', {sq}, '}}')"
     )
     v["v_trace_json"] = f"""v_trace_json AS (
@@ -417,36 +417,14 @@ def with_views(sql: str, extra: str = "") -> str:
     return f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
-# Views whose rows hold text that operators parse.
-PARSED = (
-    "v_files v_versions v_docs v_mentions v_configs v_replies v_syscalls v_trace_json v_commands v_registry documents pages"
-).split()
-
-
-def spread(spark: SparkSession, sf_dir: str, name: str, bases: list[str], df: DataFrame) -> DataFrame:
-    """Spread texts over the cores when their table is stored in fewer files than there are cores.
-
-    Parsing text is CPU work and a file with one row group is one task; a table of a cluster's
-    size has files enough and is left where it lies.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    few = name in PARSED and any(len(tables(spark, sf_dir, t).inputFiles()) < cores for t in bases[:1])
-    return df.repartition(cores) if few else df
-
-
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table, spread if it is small."""
-    return spread(spark, sf_dir, name, [name], tables(spark, sf_dir, name))
-
-
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view as a DataFrame; only the tables it needs are read."""
     names = needed(f"SELECT * FROM {name}", _SPARK)
     text = " ".join(_SPARK[n] for n in names)
     bases = sorted((t for t in TABLES if re.search(rf"\b{t}\b", text)), key=LARGEST_FIRST.index)
     ctes = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in bases] + [_SPARK[n] for n in names]
-    return spread(spark, sf_dir, name, bases, spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}"))
+    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")

@@ -34,23 +34,25 @@ def walk_order(path: Column) -> Column:
     return F.transform(parts, lambda p, i: F.concat(F.when(i == last, "0").otherwise("1"), p))
 
 
-def tree_files(files: DataFrame, budget: int = V.MAX_TREE_TOTAL_BYTES) -> DataFrame:
-    """Files of source trees worth scanning (``package_id, path, content``), within a byte budget.
+def tree_files(files: DataFrame, budget: int | None = None) -> DataFrame:
+    """Files of source trees worth scanning (``package_id, path, content, size, refused``).
 
-    Documents, data and files without suffix stay only if they read as code.  Just the trees
-    beyond the budget are ordered, and that on their sizes alone.
+    Documents, data and files without suffix stay only if they read as code.  With a byte budget, files beyond it
+    are marked in ``refused``; just the trees beyond the budget are ordered, and that on their sizes alone.
     """
     parts = F.split("path", "/")
     parents = F.slice(parts, 1, F.size(parts) - 1)
     open_dirs = files.filter(~F.arrays_overlap(parents, strings(V.TREE_PRUNED_DIRS)))
     suffix = exact_suffix(basename(F.col("path")))
     doubtful = (suffix == "") | suffix.isin(V.TREE_SNIFF_SUFFIXES)
-    code = content_type(F.substring("content", 1, 4096)).isin(V.CODE_TYPES)
+    code = content_type(F.col("content")).isin(V.CODE_TYPES)
     kept = open_dirs.filter(~doubtful | F.coalesce(code, F.lit(False))).withColumn("size", F.octet_length("content").cast("bigint"))
+    if budget is None:
+        return kept.withColumn("refused", F.lit(None).cast("string"))
     sizes = kept.select("package_id", "path", "size")
     over = sizes.groupBy("package_id").agg(F.sum("size").alias("_t")).filter(F.col("_t") > budget).select("package_id")
     place = Window.partitionBy("package_id").orderBy(walk_order(F.col("path")))
     placed = sizes.join(over, "package_id", "left_semi").withColumn("ord", F.row_number().over(place).cast("bigint"))
     running = running_total(placed, ["package_id"], "ord", "size", "_running")
-    beyond = running.filter(F.col("_running") > budget).select("package_id", "path")
-    return kept.join(beyond, ["package_id", "path"], "left_anti")
+    beyond = running.filter(F.col("_running") > budget).select("package_id", "path", F.lit("over budget").alias("refused"))
+    return kept.join(beyond, ["package_id", "path"], "left")

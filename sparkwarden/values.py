@@ -327,7 +327,7 @@ CONTEXT_PRIORITY = ["setup.py", "setup.cfg", "pyproject.toml", "package.json", "
 # Evidence
 # --------------------------------------------------------------------------------------
 ADVISORY_ECOSYSTEMS = ["pypi", "npm", "pub"]
-ADVISORY_LIMIT = 20
+
 SOURCE_TTL_HOURS = {"context7": 168, "web_search": 24, "osv": 6, "deps_dev": 24, "scorecard": 24, "provenance": 24}
 VERDICT_TTL_HOURS = 72
 HIGH_MENTION_WORDS = [

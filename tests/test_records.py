@@ -245,3 +245,17 @@ def test_stream_reports_stuck_runs_once(spark, tmp_path):
     ticks += [("silent", 12_000, True), ("silent", 30_000, True), ("fine", 5_000, True)]
     got = stream(spark, tmp_path, [ticks[:5], ticks[5:9], ticks[9:]], "run_id string, ts_ms bigint, is_event boolean", ST.stream_stuck)
     assert sorted((r["run_id"], r["reason"]) for r in got) == [("drift", "drifting"), ("silent", "silent")]
+
+
+def test_trace_numbers(spark):
+    """Whole numbers as text, JSON numbers cut to whole ones, booleans; other text drops the line."""
+    values = {"7": 7, '"8"': 8, "9.9": 9, "1e3": 1000, "true": 1, "false": 0, "null": 0, '""': 0, '"7.5"': None, '"x"': None, '"true"': None, "[1]": None}
+    lines = [("r", i, f'{{"kind": "open", "ts_ms": 5, "pid": {v}}}') for i, v in enumerate(values)]
+    rows = T.trace_json_events(spark.createDataFrame(lines, "run_id string, line_no int, line string")).collect()
+    assert {r["line_no"]: r["pid"] for r in rows} == {i: n for i, n in enumerate(values.values()) if n is not None}
+
+
+def test_deeply_nested_reply_is_no_json(spark):
+    deep = "see " + '{"a":' * 50_000 + "1" + "}" * 50_000
+    rows = VT.reply_json(spark.createDataFrame([(0, deep), (1, 'so {"verdict": "safe"} it is')], "i int, reply string")).collect()
+    assert {r["i"]: r["doc"] for r in rows} == {0: None, 1: '{"verdict": "safe"}'}
