@@ -256,6 +256,9 @@ def sql() -> dict[str, str]:
         USER_RULES.replace("{tags}", "['site', severity]"),
     )
     q["rule_scan"] = with_views(f"SELECT {cols} FROM o_rule_signals", ", ".join([CLS, HITS, RULE_SIGNALS]))
+    merged = HITS.replace("JOIN o_rules r", "JOIN (SELECT *, CASE WHEN case_sensitive THEN '' ELSE '(?i)' END || pattern AS rx FROM o_merged) r")
+    user = USER_RULES.replace("{tags}", "['site']")
+    q["rule_scan_user"] = with_views(f"SELECT {cols} FROM o_rule_signals", ", ".join([CLS, user, merged.removeprefix(rules_values() + ", "), RULE_SIGNALS]))
     q["file_tags"] = with_views(
         "SELECT package_id, path, n_hits::INT AS n_hits, array_to_string(rule_ids, ',') AS rule_ids, array_to_string(tags, ',') AS tags FROM o_tags",
         ", ".join([CLS, HITS, TAGS]),

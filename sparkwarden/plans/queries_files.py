@@ -94,6 +94,14 @@ def rule_scan(spark, sf):
     return shown(SC.rule_scan(spark_view(spark, sf, "v_files")))
 
 
+@query
+def rule_scan_user(spark, sf):
+    """The scan with a rule table laid over the built-in rules."""
+    user = spark_view(spark, sf, "v_user_rules").withColumn("tags", F.array(F.lit("site")))
+    merged = R.rule_list(R.rules_dim(R.builtin_frame(spark), user))
+    return shown(SC.rule_scan(spark_view(spark, sf, "v_files"), R.select_rules(merged)))
+
+
 @query
 def file_tags(spark, sf):
     return joined(SC.file_tags(spark_view(spark, sf, "v_files")), "rule_ids", "tags")

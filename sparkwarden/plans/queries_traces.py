@@ -176,25 +176,35 @@ def judged_commands(spark, sf):
 # -- streams ----------------------------------------------------------------------------
 @query
 def stream_trace_parse(spark, sf):
-    return run_available(spark, spark_view(spark, sf, "v_trace_json"), ST.stream_trace_json, files_per_trigger=4)
+    return run_available(spark, spark_view(spark, sf, "v_trace_json"), ST.stream_trace_json, "line_no")
 
 
 @query
 def stream_stitch(spark, sf):
-    return run_available(spark, spark_view(spark, sf, "v_syscalls"), ST.stream_stitch)
+    return run_available(spark, spark_view(spark, sf, "v_syscalls"), ST.stream_stitch, "line_no")
 
 
 @query
 def stream_stuck(spark, sf):
-    return run_available(spark, _dense_ticks(spark, sf), lambda t: ST.stream_stuck(t, timeout_s=2)).select("run_id").distinct()
+    return run_available(spark, _dense_ticks(spark, sf), lambda t: ST.stream_stuck(t, timeout_s=2), "ts_ms").select("run_id").distinct()
 
 
 @query
 def stream_commands(spark, sf):
     verdicts = _verdicts(spark, sf)
-    return run_available(spark, _commands(spark, sf), lambda c: SC.stream_commands(c, verdicts), files_per_trigger=4)
+    return run_available(spark, _commands(spark, sf), lambda c: SC.stream_commands(c, verdicts), "ts_ms")
+
+
+@query
+def stream_warnings(spark, sf):
+    return run_available(spark, _commands(spark, sf), SC.stream_warnings, "ts_ms")
+
+
+@query
+def stream_complete_calls(spark, sf):
+    return run_available(spark, spark_view(spark, sf, "v_syscalls"), ST.stream_complete_calls, "line_no").withColumn("argv", F.array_join("argv", " "))
 
 
 @query
 def stream_run_health(spark, sf):
-    return run_updates(spark, _events(spark, sf), ST.stream_run_health, ["run_id"])
+    return run_updates(spark, _events(spark, sf), ST.stream_run_health, ["run_id"], "ts_ms")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,19 +50,44 @@ def builtin_rules() -> list[Rule]:
 def select_rules(
     user: list[Rule] | None = None, ecosystem: str | None = None, disabled: list[str] | tuple[str, ...] = ()
 ) -> list[Rule]:
-    """Built-in rules with user rules laid over them by id; invalid user rows are dropped."""
+    """Built-in rules with user rules laid over them by id; rules whose pattern can't run are dropped."""
     chosen = {r.id: r for r in builtin_rules()}
     for rule in user or []:
-        try:
-            re.compile(rule.pattern)
-        except (re.error, TypeError):
-            continue
-        chosen[rule.id] = rule
+        pattern = runnable(rule.pattern)
+        if pattern is not None:
+            chosen[rule.id] = replace(rule, pattern=pattern)
     return [
         r for r in chosen.values() if r.id not in disabled and (ecosystem is None or r.ecosystem in ("*", ecosystem))
     ]
 
 
+def runnable(pattern: str | None) -> str | None:
+    """A pattern as Spark's engine takes it, null if it doesn't.
+
+    Named groups may be written either way.  The engine of the active session has the last word; without a session
+    only the form is looked at.
+    """
+    if not isinstance(pattern, str):
+        return None
+    pattern = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", pattern))
+    except (re.error, IllegalArgumentException):
+        return None
+    return pattern
+
+
+def rule_list(rules: DataFrame) -> list[Rule]:
+    """The rows of a rule table (configuration: a row per rule) as rules that a scan takes."""
+    names = [f.name for f in fields(Rule)]
+    rows = rules.select(*[c for c in rules.columns if c in names]).collect()
+    return [Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.asDict().items()}) for r in rows]
+
+
 def builtin_frame(spark: SparkSession) -> DataFrame:
     rows = [
         (r.id, r.pattern, r.severity, r.scope, r.ecosystem, r.description, list(r.tags), r.case_sensitive)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,6 +18,7 @@ SETTINGS = {
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("sparkwarden")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sparkwarden-"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return (

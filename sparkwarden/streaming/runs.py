@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Micro-batches a table is streamed in.
+BATCHES = 4
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,37 +22,49 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        root = tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def slices(source: DataFrame, order: str, batches: int) -> Iterator[DataFrame]:
+    """``source`` in ranges of ``order``, lowest first: what arrives in turn.  A null counts as the lowest value."""
+    cuts = sorted(set(source.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01)))
+    at = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = source if low is None else source.filter(at > low)
+        yield part if high is None else part.filter(at <= high)
+
+
 def run_available(
-    spark: SparkSession,
-    source: DataFrame,
-    transform: Callable[[DataFrame], DataFrame],
-    files: int = 8,
-    files_per_trigger: int | None = None,
+    spark: SparkSession, source: DataFrame, transform: Callable[[DataFrame], DataFrame], order: str, batches: int = BATCHES
 ) -> DataFrame:
-    """Write a batch as files, stream them through ``transform`` and return the written result."""
+    """Stream a table through ``transform`` and return the written result.
+
+    The table arrives in ranges of ``order``; the query is stopped and started again from its
+    checkpoint between them, so what a later range needs of an earlier one is in the state.
+    """
     folder = shared_folder(spark)
-    source.repartition(files).write.parquet(f"{folder}/in")
-    reader = spark.readStream.schema(source.schema)
-    if files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    out = transform(reader.parquet(f"{folder}/in"))
-    job = (
-        out.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
+    for part in slices(source, order, batches):
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = transform(spark.readStream.schema(source.schema).parquet(f"{folder}/in"))
+        job = (
+            out.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        job.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def run_updates(
-    spark: SparkSession, source: DataFrame, transform: Callable[[DataFrame], DataFrame], keys: list[str], files: int = 8
+    spark: SparkSession,
+    source: DataFrame,
+    transform: Callable[[DataFrame], DataFrame],
+    keys: list[str],
+    order: str,
+    batches: int = BATCHES,
 ) -> DataFrame:
     """Like :func:`run_available` for aggregations: the last update of every key.
 
@@ -56,22 +72,21 @@ def run_updates(
     failure replaces what it wrote before.
     """
     folder = shared_folder(spark)
-    source.repartition(files).write.parquet(f"{folder}/in")
-    out = transform(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(f"{folder}/in"))
 
     def store(updates: DataFrame, batch: int) -> None:
         updates.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    job = (
-        out.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(store)
-        .start()
-    )
-    job.awaitTermination()
-    from pyspark.sql import functions as F
-
+    for part in slices(source, order, batches):
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = transform(spark.readStream.schema(source.schema).parquet(f"{folder}/in"))
+        job = (
+            out.writeStream.outputMode("update")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .foreachBatch(store)
+            .start()
+        )
+        job.awaitTermination()
     updates = spark.read.parquet(f"{folder}/out")
     columns = [c for c in out.columns if c not in keys]
     latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_u"))

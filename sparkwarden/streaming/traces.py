@@ -107,7 +107,8 @@ def stuck_seconds(limit: int, live: bool):
         reason = None
         for s, n in sorted(counts.items()):
             if sec is not None and s <= sec:
-                events += int(n)
+                if s == sec:  # the open second goes on; one that is closed already changes nothing
+                    events += int(n)
                 continue
             if sec is not None:
                 drifting = events == 0

@@ -154,6 +154,14 @@ def test_cluster_collapses_only_without_high(spark):
     assert level(spark, *hooks, ("build_hooks", "HIGH", "x", True)) == "HIGH"
 
 
+def test_rules_in_the_dialect_that_runs(spark):
+    user = [Rule(id="named", pattern="(?P<n>needle)x", severity="high"), Rule(id="java", pattern="needle++", severity="high"), Rule(id="bad", pattern="(?P>n)", severity="high"), Rule(id="open", pattern="(", severity="high")]
+    rules = select_rules(user)
+    assert {"named", "java"} == {r.id for r in rules} & {"named", "java", "bad", "open"}
+    found = got(SC.rule_scan(files(spark, ("a/m.py", "needlex")), rules), "key")
+    assert found == [("(?<n>needle)x",), ("needle++",)]
+
+
 def test_package_without_signals_has_level_none(spark):
     signals = spark.createDataFrame([], "package_id string, category string, severity string, key string, text string, evasion boolean")
     packages = spark.createDataFrame([("a",), ("a",), ("b",)], "package_id string")
