@@ -91,7 +91,7 @@ def commands() -> str:
     ]
     values = ", ".join(f"({k}, {lit(a)}, {lit(b)}, {lit(c)})" for k, a, b, c in rows)
     return f"""o_tpl(k, mode, ecosystem, target) AS (VALUES {values}),
-      o_cmd AS (SELECT e.event_id, t.mode, t.ecosystem, replace(t.target, '{{n}}', p.name) AS target FROM events e JOIN v_packages p ON p.k = e.event_id % 200 JOIN o_tpl t ON t.k = e.event_id % 24)"""
+      o_cmd AS (SELECT e.event_id, t.mode, t.ecosystem, replace(t.target, '{{n}}', p.name) AS target FROM events e JOIN v_packages p ON p.k = e.event_id % (SELECT count(*) FROM part) JOIN o_tpl t ON t.k = e.event_id % 24)"""
 
 
 JUDGED = """SELECT event_id, c.ecosystem, target AS name, CASE WHEN v.b THEN 'block' ELSE 'allow' END AS decision FROM o_cmd c
@@ -145,7 +145,7 @@ def sql() -> dict[str, str]:
     q["install_commands"] = with_views("SELECT event_id, mode, ecosystem, target FROM o_cmd", commands())
     q["risky_commands"] = with_views(
         """SELECT event_id, CASE WHEN t IN (14, 18) THEN 'HIGH' ELSE 'MEDIUM' END AS risk, CASE t WHEN 14 THEN 'Piping remote script to shell: http://example.org/' || name || '.sh' WHEN 18 THEN 'Piping remote script to shell: http://h/' || name
-          WHEN 15 THEN 'Untrusted Docker image: evil/' || name || ':1' ELSE 'VSCode extension install: pub.' || name END AS reason FROM (SELECT event_id, event_id % 24 AS t, p.name FROM events JOIN v_packages p ON p.k = event_id % 200) e WHERE t IN (14, 15, 16, 18)"""
+          WHEN 15 THEN 'Untrusted Docker image: evil/' || name || ':1' ELSE 'VSCode extension install: pub.' || name END AS reason FROM (SELECT event_id, event_id % 24 AS t, p.name FROM events JOIN v_packages p ON p.k = event_id % (SELECT count(*) FROM part)) e WHERE t IN (14, 15, 16, 18)"""
     )
     q["judged_commands"] = with_views(JUDGED, commands())
     q["stream_commands"] = q["judged_commands"]

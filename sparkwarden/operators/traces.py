@@ -55,11 +55,14 @@ def trace_json_events(lines: DataFrame) -> DataFrame:
 
 
 def scrub_tokens(events: DataFrame, tokens: DataFrame, placeholder: str = "[REDACTED]") -> DataFrame:
-    """Replace the secret of a run wherever it shows in ``target`` or ``raw``."""
+    """Replace the secret of a run wherever it shows in ``target``, ``raw`` or a word of ``argv``."""
     joined = events.join(tokens.select("run_id", "token"), "run_id", "left")
     for name in ("target", "raw"):
         clean = F.replace(F.col(name), F.col("token"), F.lit(placeholder))
         joined = joined.withColumn(name, F.when(F.length("token") > 0, clean).otherwise(F.col(name)))
+    if "argv" in events.columns:
+        words = F.transform("argv", lambda w: F.replace(w, F.col("token"), F.lit(placeholder)))
+        joined = joined.withColumn("argv", F.when(F.length("token") > 0, words).otherwise(F.col("argv")))
     return joined.drop("token")
 
 

@@ -286,7 +286,7 @@ def views(engine: str) -> dict[str, str]:
     v["v_commands"] = f"""v_commands AS (
       SELECT e.event_id, {ms} AS ts_ms, replace(c.template, '{{n}}', p.name) AS command
       FROM events e JOIN fx_command c ON c.k = e.event_id % {len(COMMANDS)}
-      JOIN v_packages p ON p.k = e.event_id % 200)"""
+      JOIN v_packages p ON p.k = e.event_id % (SELECT count(*) FROM part))"""
 
     sev = f"concat('{{', {q}, 'severity', {q}, ': ', {q}, CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'Low' END, {q}, '}}')"
     v["fx_num"] = table("fx_num", "word", [str(i) for i in range(25)])

@@ -259,3 +259,11 @@ def test_deeply_nested_reply_is_no_json(spark):
     deep = "see " + '{"a":' * 50_000 + "1" + "}" * 50_000
     rows = VT.reply_json(spark.createDataFrame([(0, deep), (1, 'so {"verdict": "safe"} it is')], "i int, reply string")).collect()
     assert {r["i"]: r["doc"] for r in rows} == {0: None, 1: '{"verdict": "safe"}'}
+
+
+def test_secrets_leave_every_field(spark):
+    events = spark.createDataFrame([("r", "a/s3cret", "x s3cret", ["--key", "k=s3cret"]), ("q", "s3cret", "s3cret", ["s3cret"])], "run_id string, target string, raw string, argv array<string>")
+    tokens = spark.createDataFrame([("r", "s3cret"), ("q", "")], "run_id string, token string")
+    rows = {r["run_id"]: r for r in T.scrub_tokens(events, tokens).collect()}
+    assert (rows["r"]["target"], rows["r"]["raw"], rows["r"]["argv"]) == ("a/[REDACTED]", "x [REDACTED]", ["--key", "k=[REDACTED]"])
+    assert rows["q"]["argv"] == ["s3cret"]
