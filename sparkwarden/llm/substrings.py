@@ -32,9 +32,9 @@ LENGTH = 100
 GRAM = 16
 BATCHES = 2
 #: Bytes that are hashed together; longer texts are cut, with ``length - 1`` bytes in common.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Entries that a task holds before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Bits of the filter of keys that the second pass looks at: a fixed size; what it lets through needlessly costs time only.
 FILTER_BITS = 1 << 25
 
