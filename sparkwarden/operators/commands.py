@@ -14,23 +14,6 @@ from sparkwarden.functions import patterns as P
 
 OPT_OUT = "--no-check"
 REQUEST = "struct<mode:string,ecosystem:string,targets:array<string>>"
-_LEAD = r"(?:^|[;\s&|]+)"
-_ARGS = r"(?:\s+(.*))?$"
-PIP = _LEAD + r"(?:pip3?|python3?\s+-m\s+pip|uv\s+pip)\s+install" + _ARGS
-NPM = _LEAD + r"(npm|yarn|pnpm)\s+(install|i|add)" + _ARGS
-FVM = _LEAD + r"fvm\s+install"
-DART = _LEAD + r"(?:dart|flutter)\s+pub\s+(add|get)" + _ARGS
-POD = _LEAD + r"pod\s+(?:install|update)(?:\s|$)"
-CARGO = _LEAD + r"cargo\s+(?:add|install)" + _ARGS
-GEM = _LEAD + r"(?:gem\s+install|bundle\s+(?:add|install))" + _ARGS
-COMPOSER = _LEAD + r"composer\s+(require|install)" + _ARGS
-GO = _LEAD + r"go\s+(?:get|install)" + _ARGS
-DOTNET = _LEAD + r"dotnet\s+add\s+(?:\S+\s+)?package" + _ARGS
-MANAGERS = [PIP, NPM, FVM, DART, POD, CARGO, GEM, COMPOSER, GO, DOTNET]
-PIPED = r"(?:curl|wget)\s+[^|]+\|\s*(?:sudo\s+)?(?:ba|z)?sh"
-FETCHED = r"(?:curl|wget)\s+(?:-[^\s]*\s+)*(\S+)"
-DOCKER = _LEAD + r"docker\s+(?:pull|run)\s+(.*?)$"
-EXTENSION = r"code\s+--install-extension\s+(\S+)"
 
 
 def words(args: Column) -> Column:
@@ -105,31 +88,31 @@ def install_request(command: Column, opt_out: str = OPT_OUT) -> Column:
     """
     hit = lambda pattern: P.found(command, pattern)
     part = lambda pattern, n: P.first(command, pattern, n)
-    dart_args, composer_args = part(DART, 2), part(COMPOSER, 2)
-    gems = check("gem", plain_words(part(GEM, 1), V.GEM_VALUE_FLAGS))
-    modules = F.filter(F.transform(plain_words(part(GO, 1)), lambda t: F.substring_index(t, "@", 1)), lambda n: n != "")
+    dart_args, composer_args = part(V.COMMAND_DART, 2), part(V.COMMAND_COMPOSER, 2)
+    gems = check("gem", plain_words(part(V.COMMAND_GEM, 1), V.GEM_VALUE_FLAGS))
+    modules = F.filter(F.transform(plain_words(part(V.COMMAND_GO, 1)), lambda t: F.substring_index(t, "@", 1)), lambda n: n != "")
     nothing = F.lit(None).cast(REQUEST)
     return (
-        F.when(hit(PIP), pip_request(part(PIP, 1), opt_out))
-        .when(hit(NPM), npm_request(part(NPM, 1), part(NPM, 3), opt_out))
-        .when(hit(FVM), nothing)
+        F.when(hit(V.COMMAND_PIP), pip_request(part(V.COMMAND_PIP, 1), opt_out))
+        .when(hit(V.COMMAND_NPM), npm_request(part(V.COMMAND_NPM, 1), part(V.COMMAND_NPM, 3), opt_out))
+        .when(hit(V.COMMAND_FVM), nothing)
         .when(
-            hit(DART),
-            F.when((part(DART, 1) == "add") & (P.strip(dart_args) != ""), check("pub", plain_words(dart_args))).otherwise(
+            hit(V.COMMAND_DART),
+            F.when((part(V.COMMAND_DART, 1) == "add") & (P.strip(dart_args) != ""), check("pub", plain_words(dart_args))).otherwise(
                 scan("pub", "pubspec.lock")
             ),
         )
-        .when(hit(POD), scan("cocoapods", "Podfile.lock"))
-        .when(hit(CARGO), check("cargo", plain_words(part(CARGO, 1), V.CARGO_VALUE_FLAGS)))
-        .when(hit(GEM), F.coalesce(gems, F.when(command.contains("bundle install"), scan("gem", "Gemfile.lock"))))
+        .when(hit(V.COMMAND_POD), scan("cocoapods", "Podfile.lock"))
+        .when(hit(V.COMMAND_CARGO), check("cargo", plain_words(part(V.COMMAND_CARGO, 1), V.CARGO_VALUE_FLAGS)))
+        .when(hit(V.COMMAND_GEM), F.coalesce(gems, F.when(command.contains("bundle install"), scan("gem", "Gemfile.lock"))))
         .when(
-            hit(COMPOSER),
-            F.when(part(COMPOSER, 1) == "install", scan("composer", "composer.lock")).otherwise(
+            hit(V.COMMAND_COMPOSER),
+            F.when(part(V.COMMAND_COMPOSER, 1) == "install", scan("composer", "composer.lock")).otherwise(
                 check("composer", plain_words(composer_args))
             ),
         )
-        .when(hit(GO), check("go", modules))
-        .when(hit(DOTNET), check("nuget", plain_words(part(DOTNET, 1), V.DOTNET_VALUE_FLAGS)))
+        .when(hit(V.COMMAND_GO), check("go", modules))
+        .when(hit(V.COMMAND_DOTNET), check("nuget", plain_words(part(V.COMMAND_DOTNET, 1), V.DOTNET_VALUE_FLAGS)))
     )
 
 
@@ -142,19 +125,19 @@ def install_commands(commands: DataFrame, opt_out: str = OPT_OUT) -> DataFrame:
 
 def risk_warning(command: Column) -> Column:
     """Risky installs outside package managers: (risk, reason) or null."""
-    managed = P.any_of([P.found(command, p) for p in MANAGERS])
-    url = P.first(command, FETCHED)
+    managed = P.any_of([P.found(command, p) for p in V.COMMAND_MANAGERS])
+    url = P.first(command, V.COMMAND_FETCHED)
     shown = F.when((url == "") | url.startswith("-"), "unknown").otherwise(url)
-    image = F.get(plain_words(P.first(command, DOCKER), V.DOCKER_VALUE_FLAGS), 0)
+    image = F.get(plain_words(P.first(command, V.COMMAND_DOCKER), V.DOCKER_VALUE_FLAGS), 0)
     foreign = F.substring_index(image, ":", 1).contains("/") & ~P.starts_with_any(image, V.TRUSTED_REGISTRIES)
     warn = lambda risk, reason: F.struct(F.lit(risk).alias("risk"), reason.alias("reason"))
     return F.when(
         ~managed,
-        F.when(P.found(command, PIPED), warn("HIGH", F.concat(F.lit("Piping remote script to shell: "), shown)))
-        .when(P.found(command, DOCKER) & foreign, warn("MEDIUM", F.concat(F.lit("Untrusted Docker image: "), image)))
+        F.when(P.found(command, V.COMMAND_PIPED), warn("HIGH", F.concat(F.lit("Piping remote script to shell: "), shown)))
+        .when(P.found(command, V.COMMAND_DOCKER) & foreign, warn("MEDIUM", F.concat(F.lit("Untrusted Docker image: "), image)))
         .when(
-            P.found(command, EXTENSION),
-            warn("MEDIUM", F.concat(F.lit("VSCode extension install: "), P.first(command, EXTENSION))),
+            P.found(command, V.COMMAND_EXTENSION),
+            warn("MEDIUM", F.concat(F.lit("VSCode extension install: "), P.first(command, V.COMMAND_EXTENSION))),
         ),
     )
 

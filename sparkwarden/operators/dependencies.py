@@ -141,9 +141,6 @@ def parse_pubspec(content: Column) -> Column:
     )
 
 
-_POD = r"^([^\s()]+)\s*\(\s*=?\s*([^\s()]+)\s*\)\s*$"
-
-
 def parse_podfile(content: Column) -> Column:
     """Top-level pods by parent name, without those from external sources."""
     unquote = lambda s: F.regexp_replace(P.strip(s), r"^[\"']|[\"']$", "")
@@ -153,7 +150,7 @@ def parse_podfile(content: Column) -> Column:
     )
     rows = F.transform(
         entries,
-        lambda e: entry(F.substring_index(F.regexp_extract(unquote(e), _POD, 1), "/", 1), F.regexp_extract(unquote(e), _POD, 2)),
+        lambda e: entry(F.substring_index(F.regexp_extract(unquote(e), V.POD_LINE, 1), "/", 1), F.regexp_extract(unquote(e), V.POD_LINE, 2)),
     )
     return F.filter(rows, lambda r: (r["name"] != "") & (r["version"] != "") & ~F.array_contains(external, r["name"]))
 

@@ -67,26 +67,15 @@ def scrub_tokens(events: DataFrame, tokens: DataFrame, placeholder: str = "[REDA
 
 
 # -- system-call traces -----------------------------------------------------------------
-_PID = r"^\s*(?:\[pid\s+(\d+)\]|(\d+))\s+"
-_CALL = r"^(\w+)\((.*)\)\s*=\s*(.+)$"
-_UNFINISHED = r"^(\w+)\((.*?)\s*<unfinished\s*\.+\s*>$"
-_RESUMED = r"^<\.\.\.\s+(\w+)\s+resumed>\s*(.*)"
-_INET4 = r'sa_family=AF_INET[^,}]*,\s*sin_port=htons\((\d+)\),\s*sin_addr=inet_addr\("([^"]+)"\)'
-_INET6 = r"sa_family=AF_INET6[^,}]*,\s*sin6_port=htons\((\d+)\)"
-_UNIX = r'sa_family=AF_UNIX,\s*sun_path="([^"]+)"'
-_OPENAT = r'(?:AT_FDCWD|-?\d+),\s*"([^"]+)"(?:,\s*([A-Z_0-9|]+))?'
-_QUOTED = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
-
-
 def syscall_lines(lines: DataFrame) -> DataFrame:
     """Lines of a traced process split into ``pid``, ``tail`` and their form; others are dropped."""
     line = F.regexp_replace("line", "\r+$", "")
-    pid = F.concat(P.first(line, _PID, 1), P.first(line, _PID, 2))
-    tail = F.regexp_replace(line, P.java(_PID), "")
+    pid = F.concat(P.first(line, V.TRACE_PID, 1), P.first(line, V.TRACE_PID, 2))
+    tail = F.regexp_replace(line, P.java(V.TRACE_PID), "")
     form = (
-        F.when(P.found(F.col("tail"), _RESUMED, dotall=True), "resumed")
-        .when(P.found(F.col("tail"), _UNFINISHED, dotall=True), "unfinished")
-        .when(P.found(F.col("tail"), _CALL, dotall=True), "complete")
+        F.when(P.found(F.col("tail"), V.TRACE_RESUMED, dotall=True), "resumed")
+        .when(P.found(F.col("tail"), V.TRACE_UNFINISHED, dotall=True), "unfinished")
+        .when(P.found(F.col("tail"), V.TRACE_CALL, dotall=True), "complete")
     )
     parts = P.once(F.struct(pid.alias("pid"), tail.alias("tail"))).alias("_p")
     split = lines.select("run_id", "line_no", parts).select("run_id", "line_no", "_p.*")
@@ -96,12 +85,12 @@ def syscall_lines(lines: DataFrame) -> DataFrame:
 
 
 def unfinished_args(tail: Column) -> Column:
-    return P.first(tail, _UNFINISHED, 2, dotall=True)
+    return P.first(tail, V.TRACE_UNFINISHED, 2, dotall=True)
 
 
 def resumed_text(tail: Column, args: Column) -> Column:
     """Whole call text from a resumed line and the arguments seen before it."""
-    call, rest = P.first(tail, _RESUMED, 1, dotall=True), P.first(tail, _RESUMED, 2, dotall=True)
+    call, rest = P.first(tail, V.TRACE_RESUMED, 1, dotall=True), P.first(tail, V.TRACE_RESUMED, 2, dotall=True)
     return F.concat(call, F.lit("("), args, F.lit(" "), rest)
 
 
@@ -115,7 +104,7 @@ def stitch_syscalls(split: DataFrame) -> DataFrame:
     marks = previous(marks, ["run_id", "pid"], "line_no", F.struct("form", "tail"), "_before")
     matched = marks.filter((F.col("form") == "resumed") & (F.col("_before.form") == "unfinished"))
     text = resumed_text(F.col("tail"), unfinished_args(F.col("_before.tail")))
-    whole = P.kept({"tail": text}, lambda r: P.found(r["tail"], _CALL, dotall=True))
+    whole = P.kept({"tail": text}, lambda r: P.found(r["tail"], V.TRACE_CALL, dotall=True))
     return matched.select("run_id", "line_no", "pid", whole.alias("_t")).select("run_id", "line_no", "pid", "_t.tail")
 
 
@@ -123,21 +112,21 @@ def events_of_calls(calls: DataFrame, marker: str = CANARY_MARKER) -> DataFrame:
     """Events from the texts of complete calls; calls of other kinds and failed clones yield none."""
     ids = ["run_id", "line_no", "pid"]
     row = {
-        "call": P.first(F.col("tail"), _CALL, 1, dotall=True),
-        "args": P.first(F.col("tail"), _CALL, 2, dotall=True),
-        "ret": P.strip(P.first(F.col("tail"), _CALL, 3, dotall=True)),
+        "call": P.first(F.col("tail"), V.TRACE_CALL, 1, dotall=True),
+        "args": P.first(F.col("tail"), V.TRACE_CALL, 2, dotall=True),
+        "ret": P.strip(P.first(F.col("tail"), V.TRACE_CALL, 3, dotall=True)),
     }
     wanted = lambda r: r["call"].isin("connect", "openat", "execve", "write", "clone", "clone3")
     parts = calls.select(*ids, P.kept(row, wanted).alias("_c")).select(*ids, "_c.*")
     c, a = F.col("call"), F.col("args")
     only = lambda call, value: F.when(c == call, value).otherwise("")
     found = F.struct(
-        only("connect", P.first(a, _INET4, 1)).alias("port4"),
-        only("connect", P.first(a, _INET4, 2)).alias("ip4"),
-        only("connect", P.first(a, _INET6, 1)).alias("port6"),
-        only("connect", P.first(a, _UNIX, 1)).alias("unix"),
-        only("openat", P.first(a, _OPENAT, 1)).alias("opened"),
-        only("openat", P.first(a, _OPENAT, 2)).alias("flags"),
+        only("connect", P.first(a, V.TRACE_INET4, 1)).alias("port4"),
+        only("connect", P.first(a, V.TRACE_INET4, 2)).alias("ip4"),
+        only("connect", P.first(a, V.TRACE_INET6, 1)).alias("port6"),
+        only("connect", P.first(a, V.TRACE_UNIX, 1)).alias("unix"),
+        only("openat", P.first(a, V.TRACE_OPENAT, 1)).alias("opened"),
+        only("openat", P.first(a, V.TRACE_OPENAT, 2)).alias("flags"),
         only("execve", P.first(a, r'^\s*"([^"]+)"')).alias("program"),
         only("execve", P.first(a, r"^[^\[]*\[(.*)\]", 1, dotall=True)).alias("listed"),
         only("write", P.first(a, r"^\s*(\d+),")).alias("fd"),
@@ -172,7 +161,7 @@ def events_of_calls(calls: DataFrame, marker: str = CANARY_MARKER) -> DataFrame:
     event = {
         "kind": kind,
         "target": target,
-        "argv": F.regexp_extract_all("listed", F.lit(_QUOTED), F.lit(1)),
+        "argv": F.regexp_extract_all("listed", F.lit(V.TRACE_QUOTED), F.lit(1)),
         "source": F.when((c == "openat") & canary, "observer_canary"),
         "raw": F.concat(F.when(c == "clone3", "clone").otherwise(c), F.lit("("), kept, F.lit(")")),
     }

@@ -80,13 +80,13 @@ def stream_stitch(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     split = marks.select(
         "run_id", "pid", "line_no", "form",
         T.unfinished_args(F.col("tail")).alias("args"),
-        T.P.first(F.col("tail"), T._RESUMED, 1, dotall=True).alias("call"),
-        T.P.first(F.col("tail"), T._RESUMED, 2, dotall=True).alias("rest"),
+        T.P.first(F.col("tail"), V.TRACE_RESUMED, 1, dotall=True).alias("call"),
+        T.P.first(F.col("tail"), V.TRACE_RESUMED, 2, dotall=True).alias("rest"),
     )
     whole = split.groupBy("run_id", "pid").applyInPandasWithState(
         stitcher(ttl_ms), STITCHED, "pending string", "append", timeout(ttl_ms is not None)
     )
-    return whole.filter(T.P.found(F.col("tail"), T._CALL, dotall=True))
+    return whole.filter(T.P.found(F.col("tail"), V.TRACE_CALL, dotall=True))
 
 
 def stuck_seconds(limit: int, live: bool):

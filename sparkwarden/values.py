@@ -269,37 +269,47 @@ EVASION_ANCHORS = {
 TYPO_SIMILARITY = 0.85
 POPULAR_TTL_DAYS = 7
 POPULAR_NAMES = {
-    "pypi": (
-        "requests numpy pandas flask django boto3 urllib3 setuptools pip wheel pyyaml cryptography certifi click rich "
-        "httpx pydantic fastapi sqlalchemy pytest black ruff mypy pillow scipy matplotlib torch tensorflow "
-        "transformers openai anthropic litellm langchain crewai dspy pytorch-triton"
-    ).split(),
-    "npm": (
-        "express react vue angular next typescript lodash axios webpack babel eslint prettier jest mocha chalk "
-        "commander inquirer debug moment dayjs cross-env"
-    ).split(),
-    "crates": (
-        "serde tokio rand clap reqwest hyper axum actix-web diesel sqlx tracing anyhow thiserror chrono regex log "
-        "serde_json futures async-trait bytes once_cell lazy_static"
-    ).split(),
-    "gem": (
-        "rails rake bundler rspec puma sidekiq devise nokogiri pg redis sinatra rubocop capistrano rspec-rails "
-        "factory_bot faker"
-    ).split(),
-    "composer": (
-        "laravel/framework symfony/console guzzlehttp/guzzle monolog/monolog phpunit/phpunit doctrine/orm "
-        "league/flysystem twig/twig"
-    ).split(),
-    "go": "gin mux grpc echo fiber cobra viper zap logrus gorm sqlx testify wire fx".split(),
-    "nuget": "Newtonsoft.Json Serilog AutoMapper MediatR Dapper FluentValidation Polly Moq xunit NUnit".split(),
-    "cocoapods": (
-        "AFNetworking Alamofire SDWebImage SnapKit RxSwift RxCocoa Kingfisher Realm ReactiveCocoa Masonry "
-        "FBSDKCoreKit Firebase FirebaseAnalytics FirebaseAuth GoogleSignIn Lottie MBProgressHUD SwiftLint Sentry Stripe"
-    ).split(),
-    "jsr": (
-        "@std/fs @std/path @std/http @std/encoding @std/async @std/log @std/uuid @std/json @std/yaml @std/text "
-        "@std/datetime @std/cli @std/io @std/streams @std/testing @oak/oak @hono/hono"
-    ).split(),
+    "pypi": [
+        "requests", "numpy", "pandas", "flask", "django", "boto3", "urllib3", "setuptools", "pip", "wheel", "pyyaml",
+        "cryptography", "certifi", "click", "rich", "httpx", "pydantic", "fastapi", "sqlalchemy", "pytest", "black",
+        "ruff", "mypy", "pillow", "scipy", "matplotlib", "torch", "tensorflow", "transformers", "openai", "anthropic",
+        "litellm", "langchain", "crewai", "dspy", "pytorch-triton",
+    ],
+    "npm": [
+        "express", "react", "vue", "angular", "next", "typescript", "lodash", "axios", "webpack", "babel", "eslint",
+        "prettier", "jest", "mocha", "chalk", "commander", "inquirer", "debug", "moment", "dayjs", "cross-env",
+    ],
+    "crates": [
+        "serde", "tokio", "rand", "clap", "reqwest", "hyper", "axum", "actix-web", "diesel", "sqlx", "tracing",
+        "anyhow", "thiserror", "chrono", "regex", "log", "serde_json", "futures", "async-trait", "bytes", "once_cell",
+        "lazy_static",
+    ],
+    "gem": [
+        "rails", "rake", "bundler", "rspec", "puma", "sidekiq", "devise", "nokogiri", "pg", "redis", "sinatra",
+        "rubocop", "capistrano", "rspec-rails", "factory_bot", "faker",
+    ],
+    "composer": [
+        "laravel/framework", "symfony/console", "guzzlehttp/guzzle", "monolog/monolog", "phpunit/phpunit",
+        "doctrine/orm", "league/flysystem", "twig/twig",
+    ],
+    "go": [
+        "gin", "mux", "grpc", "echo", "fiber", "cobra", "viper", "zap", "logrus", "gorm", "sqlx", "testify", "wire",
+        "fx",
+    ],
+    "nuget": [
+        "Newtonsoft.Json", "Serilog", "AutoMapper", "MediatR", "Dapper", "FluentValidation", "Polly", "Moq", "xunit",
+        "NUnit",
+    ],
+    "cocoapods": [
+        "AFNetworking", "Alamofire", "SDWebImage", "SnapKit", "RxSwift", "RxCocoa", "Kingfisher", "Realm",
+        "ReactiveCocoa", "Masonry", "FBSDKCoreKit", "Firebase", "FirebaseAnalytics", "FirebaseAuth", "GoogleSignIn",
+        "Lottie", "MBProgressHUD", "SwiftLint", "Sentry", "Stripe",
+    ],
+    "jsr": [
+        "@std/fs", "@std/path", "@std/http", "@std/encoding", "@std/async", "@std/log", "@std/uuid", "@std/json",
+        "@std/yaml", "@std/text", "@std/datetime", "@std/cli", "@std/io", "@std/streams", "@std/testing", "@oak/oak",
+        "@hono/hono",
+    ],
 }
 ECOSYSTEM_ALIASES = {"cargo": "crates", "pods": "cocoapods"}
 REPO_URL_KEYS = ["Repository", "Source", "Source Code", "GitHub", "Homepage"]
@@ -400,3 +410,44 @@ STUCK_SECONDS = 10
 STUCK_SECONDS_RANGE = (2, 60)
 DRIFT_SECONDS = 5
 LONG_SLEEP_SECONDS = 30
+
+
+# --------------------------------------------------------------------------------------
+# Lines of system-call traces
+# --------------------------------------------------------------------------------------
+# Patterns.
+TRACE_PID = r"^\s*(?:\[pid\s+(\d+)\]|(\d+))\s+"
+TRACE_CALL = r"^(\w+)\((.*)\)\s*=\s*(.+)$"
+TRACE_UNFINISHED = r"^(\w+)\((.*?)\s*<unfinished\s*\.+\s*>$"
+TRACE_RESUMED = r"^<\.\.\.\s+(\w+)\s+resumed>\s*(.*)"
+TRACE_INET4 = r'sa_family=AF_INET[^,}]*,\s*sin_port=htons\((\d+)\),\s*sin_addr=inet_addr\("([^"]+)"\)'
+TRACE_INET6 = r"sa_family=AF_INET6[^,}]*,\s*sin6_port=htons\((\d+)\)"
+TRACE_UNIX = r'sa_family=AF_UNIX,\s*sun_path="([^"]+)"'
+TRACE_OPENAT = r'(?:AT_FDCWD|-?\d+),\s*"([^"]+)"(?:,\s*([A-Z_0-9|]+))?'
+TRACE_QUOTED = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
+
+
+# --------------------------------------------------------------------------------------
+# Install commands
+# --------------------------------------------------------------------------------------
+# Patterns.
+COMMAND_LEAD = r"(?:^|[;\s&|]+)"
+COMMAND_ARGS = r"(?:\s+(.*))?$"
+COMMAND_PIP = COMMAND_LEAD + r"(?:pip3?|python3?\s+-m\s+pip|uv\s+pip)\s+install" + COMMAND_ARGS
+COMMAND_NPM = COMMAND_LEAD + r"(npm|yarn|pnpm)\s+(install|i|add)" + COMMAND_ARGS
+COMMAND_FVM = COMMAND_LEAD + r"fvm\s+install"
+COMMAND_DART = COMMAND_LEAD + r"(?:dart|flutter)\s+pub\s+(add|get)" + COMMAND_ARGS
+COMMAND_POD = COMMAND_LEAD + r"pod\s+(?:install|update)(?:\s|$)"
+COMMAND_CARGO = COMMAND_LEAD + r"cargo\s+(?:add|install)" + COMMAND_ARGS
+COMMAND_GEM = COMMAND_LEAD + r"(?:gem\s+install|bundle\s+(?:add|install))" + COMMAND_ARGS
+COMMAND_COMPOSER = COMMAND_LEAD + r"composer\s+(require|install)" + COMMAND_ARGS
+COMMAND_GO = COMMAND_LEAD + r"go\s+(?:get|install)" + COMMAND_ARGS
+COMMAND_DOTNET = COMMAND_LEAD + r"dotnet\s+add\s+(?:\S+\s+)?package" + COMMAND_ARGS
+COMMAND_MANAGERS = [COMMAND_PIP, COMMAND_NPM, COMMAND_FVM, COMMAND_DART, COMMAND_POD, COMMAND_CARGO, COMMAND_GEM, COMMAND_COMPOSER, COMMAND_GO, COMMAND_DOTNET]
+COMMAND_PIPED = r"(?:curl|wget)\s+[^|]+\|\s*(?:sudo\s+)?(?:ba|z)?sh"
+COMMAND_FETCHED = r"(?:curl|wget)\s+(?:-[^\s]*\s+)*(\S+)"
+COMMAND_DOCKER = COMMAND_LEAD + r"docker\s+(?:pull|run)\s+(.*?)$"
+COMMAND_EXTENSION = r"code\s+--install-extension\s+(\S+)"
+
+# Fixed value: a pod of a lock file.
+POD_LINE = r"^([^\s()]+)\s*\(\s*=?\s*([^\s()]+)\s*\)\s*$"
