@@ -39,7 +39,7 @@ HELD = 1 << 19
 FILTER_BITS = 1 << 25
 
 ROWS = "bucket int, kind int, keys binary, classes binary, docs binary, los binary"
-MARKS = "doc long, lo long, upto long"
+MARKS = "doc long, _marks array<struct<lo:long,upto:long>>"
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -235,10 +235,11 @@ def _passes(asked: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ((asked[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
 
-def _scan(arrays: DataFrame, length: int) -> DataFrame:
+def _scan(arrays: DataFrame, buckets: int, length: int) -> DataFrame:
     """Merge the arrays of each bucket (kind 0: new entries, 1: marks, 2: a level) and scan them once.
 
-    Rows: kind 3, marks (docs, los, keys = ends); kind 2, new entries for a level (keys, classes); kind 4, contested keys.
+    Rows: kind 3, marks (docs, los, keys = ends) under the bucket of their documents; kind 2, new entries for a level (keys,
+    classes); kind 4, contested keys.
     """
 
     def run(bucket: tuple, table: pa.Table) -> pa.Table:
@@ -267,8 +268,10 @@ def _scan(arrays: DataFrame, length: int) -> DataFrame:
                 rows.append(_packed(number, 4, twice, np.zeros(len(twice))))
         if marks:
             d, a, b = _joined(*(np.concatenate(x) for x in zip(*marks, strict=True)))
-            if len(d):
-                rows.append(_packed(number, 3, b, np.zeros(len(d)), d, a))
+            to = (_mix(d.astype(_U)) % _U(buckets)).astype(np.int64)
+            for target in np.unique(to).tolist():
+                i = to == target
+                rows.append(_packed(target, 3, b[i], np.zeros(int(i.sum())), d[i], a[i]))
         return pa.Table.from_pylist(rows, _schema(ROWS))
 
     return arrays.groupBy("bucket").applyInArrow(run, ROWS)
@@ -289,16 +292,18 @@ def _merged(levels: list[DataFrame], name: str) -> DataFrame:
     return stored(both.groupBy("bucket").applyInArrow(run, ROWS), name)
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    """MARKS of rows of kind 3."""
+def _by_document(rows: DataFrame) -> DataFrame:
+    """MARKS of rows of kind 3: one row per document, its marks in order and made one where they touch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                columns = [np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["los"], "<u4"), np.frombuffer(row["keys"], "<u8")]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in columns], ["doc", "lo", "upto"])
+    def run(bucket: tuple, table: pa.Table) -> pa.Table:
+        parts = [(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["los"], "<u4").astype(np.int64), np.frombuffer(r["keys"], "<u8").astype(np.int64)) for r in table.to_pylist()]
+        doc, lo, upto = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        marks = pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(upto, pa.int64())], ["lo", "upto"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), marks)
+        return pa.Table.from_arrays([pa.array(doc[first], pa.int64()), lists], ["doc", "_marks"])
 
-    return rows.where("kind = 3").mapInArrow(run, MARKS)
+    return rows.where("kind = 3").groupBy("bucket").applyInArrow(run, MARKS)
 
 
 class SuffixIndex:
@@ -306,7 +311,7 @@ class SuffixIndex:
 
     def __init__(self, spark: SparkSession, length: int = LENGTH):
         self.spark, self.length = spark, length
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # more than partitions, so that these fill evenly
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, its arrays), largest first
         self.found: list[DataFrame] = []
 
@@ -318,7 +323,7 @@ class SuffixIndex:
         arrays = _arrays(docs, self.buckets, self.length)
         for _, level in self.levels:
             arrays = arrays.unionByName(level)
-        out = _scan(arrays, self.length)
+        out = _scan(arrays, self.buckets, self.length)
         out = stored(out.where("kind <> 2") if last else out, "scan")
         self.found.append(out.where("kind <> 2"))
         if not last:
@@ -347,15 +352,15 @@ class SuffixIndex:
         return out.view(np.uint8)
 
     def marks(self, docs: DataFrame) -> DataFrame:
-        """MARKS of all that has been added; ``docs`` are all batches together."""
+        """MARKS of all that has been added, a row per document that has any; ``docs`` are all batches together."""
         rows = self.found[0]
         for x in self.found[1:]:
             rows = rows.unionByName(x)
         asked = self.contested()
         if asked is not None:
-            windows = stored(_scan(_arrays(docs, self.buckets, self.length, asked), self.length).where("kind = 3"), "windows")
+            windows = stored(_scan(_arrays(docs, self.buckets, self.length, asked), self.buckets, self.length).where("kind = 3"), "windows")
             rows = rows.unionByName(windows)
-        return _unpacked(rows)
+        return _by_document(rows)
 
 
 def sequenced(docs: DataFrame) -> DataFrame:
@@ -381,7 +386,7 @@ def spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> Data
         part = part if a is None else part.where(F.col("_seq") > int(a))
         part = part if b is None else part.where(F.col("_seq") <= int(b))
         index.add(part, last=i == len(bounds) - 2)
-    per_doc = index.marks(docs).groupBy("doc").agg(F.collect_list(F.struct("lo", "upto")).alias("_marks"))
+    per_doc = index.marks(docs)
     return docs.join(per_doc, docs["_seq"] == per_doc["doc"], "left").drop("doc")
 
 
