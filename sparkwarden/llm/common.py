@@ -92,6 +92,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, name: s
     )
 
 
+def sums_before(df: DataFrame, order: str, values: list[str], name: str) -> DataFrame:
+    """``df`` with ``before_<value>``: the sum of each value (double) over all rows of a lower ``order`` (different per row).
+
+    Sums run inside ranges of the order, and one total per range carries over: no task sees all rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), name)
+    running = lambda value, w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    carried = totals.select("_part", *[running(f"_{v}", Window.orderBy("_part")).alias(f"_carried_{v}") for v in values])
+    inside = Window.partitionBy("_part").orderBy(order)
+    local = ranged.withColumns({f"before_{v}": running(v, inside) for v in values}).join(carried, "_part")
+    return local.select(*df.columns, *[(F.col(f"before_{v}") + F.col(f"_carried_{v}")).alias(f"before_{v}") for v in values])
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long): node, component (its smallest node).
 

@@ -47,7 +47,10 @@ def unit(rows: list, width: int | None = None) -> np.ndarray:
 
 def pivots(reps: DataFrame) -> np.ndarray:
     """At most PIVOTS vectors of norm 1, no two nearer than APART, from the CANDIDATES with the lowest hashes."""
-    rows = [r["embedding"] for r in reps.orderBy(F.xxhash64("h1"), "rid").limit(CANDIDATES).select("embedding").collect()]
+    # A threshold on the hash leaves a few times as many rows as are wanted, whatever the number of partitions.
+    share = min(1.0, 4 * CANDIDATES / max(1, reps.count()))
+    near = reps.where(F.pmod(F.xxhash64("h1"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = [r["embedding"] for r in near.orderBy(F.xxhash64("h1"), "rid").limit(CANDIDATES).select("embedding").collect()]
     if not rows:
         return np.zeros((0, 1))
     x = unit(rows, max(map(len, rows)))

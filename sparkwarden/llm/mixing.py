@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import numbered, stored, words
+from sparkwarden.llm.common import numbered, stored, sums_before, words
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -38,10 +38,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     sums = rows.agg(F.sum("source_size").alias("_all"), F.sum("weight").alias("_weights"))
     # Sums over equal ratios come first, so that the running sum below has one row per ratio only.
     ladder = rows.groupBy("ratio").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
-    below = Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
-    steps = ladder.select(
-        "ratio", F.coalesce(F.sum("cap").over(below), F.lit(0.0)).alias("full"), F.coalesce(F.sum("weight").over(below), F.lit(0.0)).alias("gone")
-    ).crossJoin(F.broadcast(sums))
+    steps = sums_before(ladder, "ratio", ["cap", "weight"], "ladder").select("ratio", F.col("before_cap").alias("full"), F.col("before_weight").alias("gone")).crossJoin(F.broadcast(sums))
     level = steps.withColumn("level", (share * F.col("_all") - F.col("full")) / (F.col("_weights") - F.col("gone"))).where("level <= ratio")
     chosen = level.agg(F.min_by("level", "ratio").alias("level"))
     target = F.when(F.col("cap") <= F.col("level") * F.col("weight"), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
