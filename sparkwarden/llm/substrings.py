@@ -201,16 +201,34 @@ def _spread(key: np.ndarray, cls: np.ndarray, doc: np.ndarray, lo: np.ndarray, b
     return pa.RecordBatch.from_pylist(rows, _schema(ROWS))
 
 
+def _earliest(seen: dict[tuple[int, int], tuple[int, int]], key: np.ndarray, cls: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which entries come before all that ``seen`` has of their key and class, and note them there.
+
+    Later ones go as a whole, so only an entry that may be the first needs its windows compared.
+    """
+    keep = np.zeros(len(key), bool)
+    for i, (k, place) in enumerate(zip(zip(key.tolist(), cls.tolist(), strict=True), zip(doc.tolist(), lo.tolist(), strict=True), strict=True)):
+        if k not in seen or place < seen[k]:
+            if len(seen) >= HELD:
+                seen.clear()
+            seen[k] = place
+            keep[i] = True
+    return keep
+
+
 def _arrays(docs: DataFrame, buckets: int, length: int, asked: np.ndarray | None = None) -> DataFrame:
     """ROWS of ``docs`` (_seq, text): all entries; or, with a filter of keys, the windows of entries that pass it, each with class 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
         n = 0
         for data, owner, doc, base in chunks(batches, length):
             key, cls, lo, count, hashes = entries(data, owner, length)
             if asked is not None:
                 pick = np.flatnonzero(_passes(asked, key))
+                at = lo[pick] - np.searchsorted(owner, owner[lo[pick]]) + base[owner[lo[pick]]]
+                pick = pick[_earliest(seen, key[pick], cls[pick], doc[owner[lo[pick]]], at)]
                 lo = np.repeat(lo[pick], count[pick]) + np.concatenate([np.zeros(0, np.int64), *[np.arange(c) for c in count[pick].tolist()]])
                 key, cls = hashes.of(lo, lo + length), np.ones(len(lo), np.int64)
             whose = owner[lo]
@@ -311,7 +329,7 @@ class SuffixIndex:
 
     def __init__(self, spark: SparkSession, length: int = LENGTH):
         self.spark, self.length = spark, length
-        self.buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # more than partitions, so that these fill evenly
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, its arrays), largest first
         self.found: list[DataFrame] = []
 
