@@ -62,7 +62,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def chunk_words(chunks: DataFrame) -> DataFrame:
-    """chunk, token, n (in texts that aren't held out): the different tokens of each chunk."""
+    """chunk, token, n (in texts that aren't held out): the different tokens of each chunk, a token of a large chunk perhaps more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter[bytes]] = {}
@@ -89,8 +89,7 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
                 found = {last: found[last]}
         yield from out(found)
 
-    rows = chunks.select("chunk", "held_out", "text").mapInArrow(run, "chunk long, token binary, n long")
-    return rows.groupBy("chunk", "token").agg(F.sum("n").alias("n"))
+    return chunks.select("chunk", "held_out", "text").mapInArrow(run, "chunk long, token binary, n long")
 
 
 def class_of(token: bytes, frequent: dict[bytes, int]) -> int:
