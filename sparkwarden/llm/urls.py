@@ -39,7 +39,8 @@ RULES = [
     Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
 ]
 
-#: Labelled URLs that the trees are fitted on, at most about so many (by hash of the URL); suffix statistics cover all.
+#: Different labelled URLs that the trees are fitted on, about so many at most (by hash of the URL), each weighing as often as it occurs; suffix
+#: statistics cover all.
 TRAINING_ROWS = 50_000
 TREES, DEPTH, SEED = 20, 4, 1
 #: Labelled URLs' worth of the overall share that a suffix starts with.
@@ -104,6 +105,14 @@ def with_suffixes(features: DataFrame, labelled: DataFrame) -> DataFrame:
     return out.drop("all")
 
 
+def training(features: DataFrame, labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """FEATURES, label and weight: a share of the different labelled URLs by hash, about ``rows`` at most, equal ones in one row with their number."""
+    drawn = F.xxhash64("url")
+    different = labelled.agg(F.count_distinct(drawn)).first()[0]
+    share = 1_000_000 * min(1.0, rows / max(1, different))
+    return features.where("label is not null").where(F.pmod(drawn, F.lit(1_000_000)) < share).groupBy(*FEATURES, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def judged(pages: DataFrame, rules: list[Rule] | None = None, rows: int = TRAINING_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages``: the rule's verdict, else the trees'.
 
@@ -117,11 +126,10 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None, rows: int = TRAINI
     if not count["n"] or count["low"] == count["high"]:
         only = F.lit("block" if count["n"] and count["low"] == 1.0 else "allow")
         return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", only).alias("verdict"))
-    features = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffixes(urls, labelled))
-    share = 1_000_000 * min(1.0, rows / count["n"])
-    sample = features.where("label is not null").where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    features = with_suffixes(urls, labelled)
     # The sample has a bound, so a few files hold it at any size of the input.
-    training = stored(sample.select("features", "label").coalesce(8), "labelled-urls")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(training)
+    sample = stored(assembler.transform(training(features, labelled, rows)).select("features", "label", "weight").coalesce(8), "labelled-urls")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(sample)
     verdict = F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
-    return trees.transform(features).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return trees.transform(assembler.transform(features)).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
