@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkwarden.llm import embeddings, mixing, quality, substrings
+from sparkwarden.llm import embeddings, manifest, mixing, quality, substrings
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,9 +104,54 @@ SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) A
 FROM d JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)"""
 
 
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text: the reflected polynomial, bit by bit; -1 stands for a shift."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, x: {step}), 4294967295)"
+
+
+def _manifest() -> str:
+    n = manifest.ARITY
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    climb = f"list_transform(range(1, len(nodes) + 1, {n}), lambda i: sha256(array_to_string(list_slice(nodes, i, i + {n - 1}), '')))"
+    run = f"range(at - at % {n} + 1, least(at - at % {n} + {n}, len(nodes)) + 1)"
+    folded = f"sha256(array_to_string(list_transform({run}, lambda i: CASE WHEN i = at + 1 THEN folded ELSE nodes[i] END), ''))"
+    beside = f"siblings || array_to_string(list_transform(list_filter({run}, lambda i: i <> at + 1), lambda i: nodes[i]), '')"
+    return f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf,
+    CASE WHEN {crc32("doc_id::VARCHAR")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos FROM f),
+trees AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, {climb} FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT source, level, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM trees WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, {climb} FROM top WHERE len(nodes) > 1),
+low AS (
+  SELECT source, pos, pos AS at, 0 AS level, other AS folded, '' AS siblings FROM p
+  UNION ALL
+  SELECT low.source, pos, at // {n}, level + 1, {folded}, {beside}
+  FROM low JOIN trees ON trees.source IS NOT DISTINCT FROM low.source AND trees.level = low.level WHERE len(nodes) > 1),
+high AS (
+  SELECT low.source, low.pos, subroots.pos AS at, 0 AS level, folded, siblings
+  FROM low JOIN subroots ON low.source IS NOT DISTINCT FROM subroots.source AND low.level = subroots.level
+  UNION ALL
+  SELECT source, pos, at // {n}, level + 1, {folded}, {beside} FROM high JOIN top USING (level) WHERE len(nodes) > 1)
+SELECT doc_id, leaf, subroot, top.nodes[1] AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = top.nodes[1] AS verified
+FROM p JOIN high ON p.source IS NOT DISTINCT FROM high.source AND p.pos = high.pos
+  JOIN top ON top.level = high.level AND len(top.nodes) = 1 JOIN subroots ON p.source IS NOT DISTINCT FROM subroots.source"""
+
+
 ORACLES: dict[str, str] = {
     "op4_quality_rules": _quality(),
     "op5_embeddings": _embeddings(),
     "op6_mixing": _mixing(),
     "op7_substrings": _substrings(),
+    "op12_manifest": _manifest(),
 }

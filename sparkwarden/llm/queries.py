@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import embeddings, languages, mixing, packing, quality, scoring, simhash, substrings, token_store, urls
+from sparkwarden.llm import conversations, embeddings, languages, manifest, mixing, packing, quality, scoring, simhash, substrings, token_counts, token_store, urls
+from sparkwarden.llm.common import scratch_path
 from sparkwarden.llm.oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +78,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, from a cache that starts empty: every different text is encoded once."""
+    return token_counts.counted(_table(spark, sf_dir, "documents"), tokenizer_path(), scratch_path(spark, "token-cache"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, half of them checked with a text that lost its line feeds."""
+    docs = _table(spark, sf_dir, "documents")
+    return manifest.verified(docs, manifest.even(F.col("doc_id")))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage of the contract."""
+    conversation = _table(spark, sf_dir, "conversations")
+    return conversations.assessed(conversations.damaged(conversation), conversation)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_url_filters": op2_url_filters,
@@ -88,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_scoring": op9_scoring,
     "op10_packing": op10_packing,
+    "op11_token_counts": op11_token_counts,
+    "op12_manifest": op12_manifest,
+    "op13_conversations": op13_conversations,
 }
 
 

@@ -19,7 +19,7 @@ def con():
 def test_registered():
     names = set(entry.queries())
     assert set(llm_queries()) <= names and "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
