@@ -116,9 +116,9 @@ def _manifest() -> str:
     field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
     leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
     climb = f"list_transform(range(1, len(nodes) + 1, {n}), lambda i: sha256(array_to_string(list_slice(nodes, i, i + {n - 1}), '')))"
-    run = f"range(at - at % {n} + 1, least(at - at % {n} + {n}, len(nodes)) + 1)"
-    folded = f"sha256(array_to_string(list_transform({run}, lambda i: CASE WHEN i = at + 1 THEN folded ELSE nodes[i] END), ''))"
-    beside = f"siblings || array_to_string(list_transform(list_filter({run}, lambda i: i <> at + 1), lambda i: nodes[i]), '')"
+    run = f"range(idx - idx % {n} + 1, least(idx - idx % {n} + {n}, len(nodes)) + 1)"
+    folded = f"sha256(array_to_string(list_transform({run}, lambda i: CASE WHEN i = idx + 1 THEN folded ELSE nodes[i] END), ''))"
+    beside = f"siblings || array_to_string(list_transform(list_filter({run}, lambda i: i <> idx + 1), lambda i: nodes[i]), '')"
     return f"""
 WITH RECURSIVE f AS (
   SELECT doc_id, source, {leaf("text")} AS leaf,
@@ -134,15 +134,15 @@ top AS (
   UNION ALL
   SELECT level + 1, {climb} FROM top WHERE len(nodes) > 1),
 low AS (
-  SELECT source, pos, pos AS at, 0 AS level, other AS folded, '' AS siblings FROM p
+  SELECT source, pos, pos AS idx, 0 AS level, other AS folded, '' AS siblings FROM p
   UNION ALL
-  SELECT low.source, pos, at // {n}, level + 1, {folded}, {beside}
+  SELECT low.source, pos, idx // {n}, low.level + 1, {folded}, {beside}
   FROM low JOIN trees ON trees.source IS NOT DISTINCT FROM low.source AND trees.level = low.level WHERE len(nodes) > 1),
 high AS (
-  SELECT low.source, low.pos, subroots.pos AS at, 0 AS level, folded, siblings
+  SELECT low.source, low.pos, subroots.pos AS idx, 0 AS level, folded, siblings
   FROM low JOIN subroots ON low.source IS NOT DISTINCT FROM subroots.source AND low.level = subroots.level
   UNION ALL
-  SELECT source, pos, at // {n}, level + 1, {folded}, {beside} FROM high JOIN top USING (level) WHERE len(nodes) > 1)
+  SELECT source, pos, idx // {n}, level + 1, {folded}, {beside} FROM high JOIN top USING (level) WHERE len(nodes) > 1)
 SELECT doc_id, leaf, subroot, top.nodes[1] AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = top.nodes[1] AS verified
 FROM p JOIN high ON p.source IS NOT DISTINCT FROM high.source AND p.pos = high.pos
   JOIN top ON top.level = high.level AND len(top.nodes) = 1 JOIN subroots ON p.source IS NOT DISTINCT FROM subroots.source"""
