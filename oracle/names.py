@@ -57,7 +57,7 @@ PNPM = positioned(
       SELECT *, split_part(ltrim(trim(trim(rtrim(l, ':')), ''''), '/'), '(', 1) AS k FROM o_lines WHERE regexp_matches(l, '^  [^ ].*:$')) y WHERE regexp_matches(k, '^.+@[^@]+$')"""
 )
 
-YARN = positioned(
+YARN_ROWS = (
     """SELECT lock_id, n, unnest(generate_series(1, len(names))) AS sub, unnest(names) AS name, version FROM (
       SELECT lock_id, n, regexp_extract(l, '"([^"]*)"', 1) AS version, list_transform(string_split(rtrim(head, ':'), ','), lambda x:
         CASE WHEN trim(trim(x), '"') LIKE '@%' THEN regexp_replace(trim(trim(x), '"'), '@[^@]*$', '') ELSE split_part(trim(trim(x), '"'), '@', 1) END) AS names
@@ -65,13 +65,15 @@ YARN = positioned(
       WHERE l LIKE '  version "%') y"""
 )
 
-PUB = positioned(
+PUB_ROWS = (
     """SELECT lock_id, min(n) AS n, 0 AS sub, rtrim(trim(any_value(head)), ':') AS name, arg_min(trim(trim(split_part(l, 'version:', 2)), '"'), n) AS version FROM (
       SELECT *, last_value(CASE WHEN regexp_matches(l, '^  [^ ].*:$') THEN l END IGNORE NULLS) OVER (PARTITION BY lock_id ORDER BY n) AS head,
         sum(CASE WHEN regexp_matches(l, '^  [^ ].*:$') THEN 1 ELSE 0 END) OVER (PARTITION BY lock_id ORDER BY n) AS block FROM o_lines) t
       WHERE contains(l, 'version:') AND block > 0 GROUP BY lock_id, block"""
 )
 
+YARN, PUB = positioned(YARN_ROWS), positioned(PUB_ROWS)
+
 POD = positioned(
     """SELECT lock_id, n, 0 AS sub, split_part(name, '/', 1) AS name, version FROM (
       SELECT lock_id, n, regexp_extract(l, '^  - ([^ ()]+) \\((?:= )?([^ ()]+)\\):?$', 1) AS name, regexp_extract(l, '^  - ([^ ()]+) \\((?:= )?([^ ()]+)\\):?$', 2) AS version,
@@ -152,6 +154,17 @@ def sql() -> dict[str, str]:
     q["lock_yarn"] = with_views(YARN, numbered("yarn.lock"))
     q["lock_pubspec"] = with_views(PUB, numbered("pubspec.lock"))
     q["lock_podfile"] = with_views(POD, numbered("Podfile.lock"))
+    opens = "CASE WHEN file_name = 'yarn.lock' THEN l <> '' AND l[1] NOT IN (' ', chr(9)) ELSE regexp_matches(l, '^  [^ ].*:$') END"
+    q["block_fill"] = with_views(
+        f"""SELECT lock_id, file_name, n AS line_no, last_value(CASE WHEN {opens} THEN n END IGNORE NULLS) OVER w AS block, last_value(CASE WHEN {opens} THEN l END IGNORE NULLS) OVER w AS header
+        FROM (SELECT lock_id, file_name, unnest(generate_series(1, len(p))) AS n, unnest(p) AS l FROM (SELECT lock_id, file_name, string_split(content, chr(10)) AS p FROM v_locks WHERE file_name IN ('yarn.lock', 'pubspec.lock')) s) t
+        WINDOW w AS (PARTITION BY file_name, lock_id ORDER BY n)"""
+    )
+    entries = [
+        f"SELECT lock_id, '{f}' AS file_name, n AS line_no, name, version FROM ({body.replace('o_lines', '(' + SPLIT.format(f=f) + ')')}) q"
+        for body, f in ((YARN_ROWS, "yarn.lock"), (PUB_ROWS, "pubspec.lock"))
+    ]
+    q["block_entries"] = with_views(" UNION ALL ".join(entries))
     q["dependency_inventory"] = with_views(inventory())
     q["registry_packages"] = with_views(REGISTRY)
     q["latest_version"] = with_views(f"SELECT ecosystem, name, {CRATE_VERSION} AS version FROM v_registry WHERE ecosystem = 'crates'")

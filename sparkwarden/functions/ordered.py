@@ -39,3 +39,17 @@ def previous(df: DataFrame, keys: list[str], order: str, value: Column, out: str
         .withColumn(out, F.coalesce(F.lag("_value").over(inside), F.col("_carried"))["v"])
         .drop("_range", "_value", "_carried")
     )
+
+
+def carried(df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = WIDTH) -> DataFrame:
+    """The last value that isn't null at or before each row of its key (null before the first); ``order`` unique per key."""
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_value", F.when(value.isNotNull(), F.struct(value.alias("v"))))
+    lasts = ranged.groupBy(*keys, "_range").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lasts.select(*keys, "_range", F.last("_last", ignorenulls=True).over(before).alias("_earlier"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        ranged.join(earlier, [*keys, "_range"])
+        .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_earlier"))["v"])
+        .drop("_range", "_value", "_earlier")
+    )

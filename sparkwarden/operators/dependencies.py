@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden import values as V
 from sparkwarden.functions import patterns as P
+from sparkwarden.functions.ordered import WIDTH, carried
 from sparkwarden.operators.files import basename, path_suffix
 
 PACKAGES = "array<struct<name:string,version:string>>"
@@ -199,6 +200,51 @@ def parsed(locks: DataFrame, packages: Column) -> DataFrame:
     return locks.select("lock_id", F.posexplode(packages.cast(PACKAGES)).alias("pos", "_p")).select("lock_id", "pos", "_p.*")
 
 
+# -- manifests line by line ---------------------------------------------------------------
+#: Lines that open a block, by format: any unindented one; a key indented by two.
+BLOCK_HEADERS = {"yarn.lock": r"^[^ \t\n]", "pubspec.lock": r"^  (?!  ).*:[ \t]*$"}
+
+
+def manifest_lines(locks: DataFrame) -> DataFrame:
+    """``lock_id, file_name, line_no`` (from 1) and ``line`` of manifests held whole; a reader of lines gives the same rows."""
+    rows = locks.select("lock_id", "file_name", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    return rows.select("lock_id", "file_name", (F.col("n") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def block_fill(lines: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Lines with ``block`` and ``header``: number and text of the last line that opened a block, null before the first.
+
+    A manifest may have any number of lines: it is filled in ranges of ``width``, and one header a range carries over.
+    """
+    opens = F.lit(False)
+    for name, pattern in BLOCK_HEADERS.items():
+        opens = opens | ((F.col("file_name") == name) & F.col("line").rlike(pattern))
+    header = F.when(opens, F.struct(F.col("line_no").alias("block"), F.col("line").alias("header")))
+    filled = carried(lines, ["file_name", "lock_id"], "line_no", header, "_h", width)
+    return filled.select("lock_id", "file_name", "line_no", "line", "_h.block", "_h.header")
+
+
+def block_entries(lines: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Packages of yarn and pubspec manifests given line by line: what the parsers of whole manifests find, in lines of any number.
+
+    Every indented version line of a yarn block names all its selectors; a pubspec block has the version of its first such line.
+    """
+    filled = block_fill(lines, width)
+    yarn = filled.filter("file_name = 'yarn.lock'").select(
+        "lock_id", "file_name", "line_no", F.explode(yarn_names(F.col("header"))).alias("name"),
+        F.regexp_extract("line", r'^[ \t]+version [^"\n]*"([^"\n]*)"', 1).alias("version"),
+        F.col("line").rlike(r'^[ \t]+version [^"\n]*"([^"\n]*)"').alias("_hit"),
+    ).filter("_hit").drop("_hit")
+    seen = filled.filter(F.contains("line", F.lit("version:")) & (F.col("line_no") > F.col("block")) & (F.col("file_name") == "pubspec.lock"))
+    first = seen.groupBy("lock_id", "file_name", "block").agg(F.min(F.struct("line_no", "line", "header")).alias("_f"))
+    rest = P.strip(after(F.col("_f.line"), "version:"))
+    pubspec = first.select(
+        "lock_id", "file_name", F.col("_f.line_no").alias("line_no"), F.regexp_replace(P.strip(F.col("_f.header")), ":+$", "").alias("name"),
+        F.regexp_replace(rest, r'^"+|"+$', "").alias("version"),
+    ).filter("name <> ''")
+    return yarn.unionByName(pubspec)
+
+
 # -- registry documents -----------------------------------------------------------------
 def text_or_empty(*columns: Column) -> Column:
     """First non-empty text."""

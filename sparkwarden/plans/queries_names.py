@@ -87,6 +87,18 @@ def lock_podfile(spark, sf):
     return D.parsed(_locks(spark, sf, "Podfile.lock"), D.parse_podfile(F.col("content")))
 
 
+@query
+def block_fill(spark, sf):
+    """Header of every line of the formats that have blocks."""
+    lines = D.manifest_lines(spark_view(spark, sf, "v_locks").filter(F.col("file_name").isin(*D.BLOCK_HEADERS)))
+    return D.block_fill(lines).drop("line")
+
+
+@query
+def block_entries(spark, sf):
+    return D.block_entries(D.manifest_lines(spark_view(spark, sf, "v_locks")))
+
+
 @query
 def dependency_inventory(spark, sf):
     return D.dependency_inventory(spark_view(spark, sf, "v_locks"))
