@@ -152,8 +152,9 @@ def sql() -> dict[str, str]:
     q["stream_warnings"] = q["risky_commands"]
     q["stream_complete_calls"] = with_views("SELECT * FROM o_sys", CALLS.replace(" UNION ALL SELECT * FROM o_stitched", ""))
     q["stream_stuck"] = f"SELECT run_id FROM ({q['stuck_runs']}) s WHERE stuck"
-    q["stream_run_health"] = with_views(
-        f"""SELECT run_id, count(*) FILTER (WHERE {REAL}) AS n_real, count(DISTINCT kind) FILTER (WHERE {REAL})::INT AS n_kinds, coalesce(bool_or({REAL} AND kind IN ('connect', 'dns')), false) AS has_net,
-          coalesce(bool_or({REAL} AND kind IN ('write', 'persist_write')), false) AS has_write, count(*) FILTER (WHERE {REAL} AND kind = 'exec') AS n_exec FROM v_trace_events GROUP BY run_id"""
+    q["run_health"] = with_views(
+        f"""SELECT f.run_id, n_real, least(n_kinds, 3) AS n_kinds, n_exec, n_lines, n_events, failed, quiet, drift FROM o_f f JOIN ({q["parse_quality"][q["parse_quality"].rindex("SELECT run_id, n_lines, n_events, error"):]}) p USING (run_id)""",
+        f"{FACTS}, {JSON}",
     )
+    q["stream_run_health"] = q["run_health"]
     return q

@@ -212,17 +212,13 @@ def orphan_clones(events: DataFrame) -> DataFrame:
 
 
 # -- runs -------------------------------------------------------------------------------
-def run_aggregates() -> list[Column]:
-    """Everything the run-level rules need, as partial aggregates over the events of a run."""
+#: What a kind of event adds to a run: the events of a run are first reduced to one row per kind, then to one per run.
+def kind_aggregates() -> list[Column]:
     kind, target = F.col("kind"), F.coalesce("target", F.lit(""))
     lower, real = F.lower(target), is_real(F.col("source"))
     rank = P.severity_rank(F.col("severity"))
     return [
         F.count_if(real).alias("n_real"),
-        F.size(F.collect_set(F.when(real, kind))).alias("n_kinds"),
-        F.coalesce(F.bool_or(real & kind.isin("connect", "dns")), F.lit(False)).alias("has_net"),
-        F.coalesce(F.bool_or(real & kind.isin("write", "persist_write")), F.lit(False)).alias("has_write"),
-        F.count_if(real & (kind == "exec")).alias("n_exec"),
         F.max(F.struct(rank.alias("rank"), (-F.col("seq")).alias("earlier"), "kind")).alias("worst"),
         F.bool_or((kind == "exec") & lower.contains("postinstall")).alias("hook_exec"),
         F.bool_or(kind == "connect").alias("connects"),
@@ -233,6 +229,21 @@ def run_aggregates() -> list[Column]:
     ]
 
 
+def run_aggregates() -> list[Column]:
+    """The run-level facts from the rows per kind; however many kinds a trace makes up, none is collected."""
+    kind, real = F.col("kind"), F.col("n_real") > 0
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    return [
+        F.sum("n_real").alias("n_real"),
+        F.count_if(real & kind.isNotNull()).alias("n_kinds"),
+        some(real & kind.isin(*V.NETWORK_KINDS)).alias("has_net"),
+        some(real & kind.isin(*V.WRITE_KINDS)).alias("has_write"),
+        F.coalesce(F.sum(F.when(kind == "exec", F.col("n_real"))), F.lit(0)).alias("n_exec"),
+        F.max("worst").alias("worst"),
+        *[F.bool_or(c).alias(c) for c in ("hook_exec", "connects", "tmp_write", "dbus", "ptrace", "long_sleep")],
+    ]
+
+
 def observed_categories(drift: Column) -> Column:
     """Evasion categories a run shows; co-occurrence is enough, order is not considered."""
     tests = [
@@ -248,7 +259,8 @@ def observed_categories(drift: Column) -> Column:
 
 def run_facts(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs with their aggregates; runs without any event stay."""
-    facts = runs.join(events.groupBy("run_id").agg(*run_aggregates()), "run_id", "left")
+    per_kind = events.groupBy("run_id", "kind").agg(*kind_aggregates())
+    facts = runs.join(per_kind.groupBy("run_id").agg(*run_aggregates()), "run_id", "left")
     facts = facts.fillna(0, ["n_real", "n_kinds", "n_exec"])
     return facts.fillna(False, ["has_net", "has_write", "hook_exec", "connects", "tmp_write", "dbus", "ptrace", "long_sleep"])
 
@@ -289,16 +301,34 @@ def parse_quality(lines: DataFrame) -> DataFrame:
         F.count_if(F.length(P.strip(F.col("line"))) > 0).alias("n_lines"),
         F.count_if(json_event(F.col("line")).isNotNull()).alias("n_events"),
     )
-    n, ok = F.col("n_lines"), F.col("n_events")
+    message = drift_message(F.col("n_lines"), F.col("n_events"))
+    return counts.select("run_id", "n_lines", "n_events", message.alias("error"), message.isNotNull().alias("drift"))
+
+
+def drift_message(n: Column, ok: Column) -> Column:
+    """What is wrong if few of a run's non-blank lines parsed, else null."""
     shown = F.concat(ok.cast("string"), F.lit("/"), n.cast("string"))
-    message = F.when((n > 0) & (ok == 0), F.concat(F.lit("parser matched "), shown, F.lit(" lines — full schema drift or wrong channel"))).when(
+    return F.when((n > 0) & (ok == 0), F.concat(F.lit("parser matched "), shown, F.lit(" lines — full schema drift or wrong channel"))).when(
         (n >= 4) & (ok / n < V.PARSE_RATIO_FLOOR),
         F.concat(
             F.lit("parser matched "), shown, F.lit(" lines ("), F.rint(ok / n * 100).cast("bigint").cast("string"),
             F.lit("%) — likely partial schema drift"),
         ),
     )
-    return counts.select("run_id", "n_lines", "n_events", message.alias("error"), message.isNotNull().alias("drift"))
+
+
+def with_health(facts: DataFrame) -> DataFrame:
+    """Runs' counts and settings with the three verdicts on the observation: failed, quiet, drift."""
+    drift = drift_message(F.col("n_lines"), F.col("n_events")).isNotNull()
+    return facts.withColumns({"failed": observation_failed(), "quiet": is_quiet(), "drift": drift})
+
+
+def run_health(events: DataFrame, lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """The same per run in batch, from its events and raw lines."""
+    counts = parse_quality(lines).select("run_id", "n_lines", "n_events")
+    facts = run_facts(events, runs).join(counts, "run_id", "left").fillna(0, ["n_lines", "n_events"])
+    kinds = F.least("n_kinds", F.lit(V.FLOOR_MIN_KINDS)).alias("n_kinds")
+    return with_health(facts).select("run_id", "n_real", kinds, "n_exec", "n_lines", "n_events", "failed", "quiet", "drift")
 
 
 def coverage(runs: DataFrame) -> DataFrame:

@@ -205,6 +205,21 @@ def stream_complete_calls(spark, sf):
     return run_available(spark, spark_view(spark, sf, "v_syscalls"), ST.stream_complete_calls, "line_no").withColumn("argv", F.array_join("argv", " "))
 
 
+def _arrivals(spark, sf):
+    """Events and raw lines of all runs in one table, each at its time."""
+    events = _events(spark, sf).select("run_id", "ts_ms", "seq", "kind", "source")
+    none = F.lit(None).cast("string")
+    lines = spark_view(spark, sf, "v_trace_json").withColumnRenamed("line_no", "seq").join(events.select("run_id", "seq", "ts_ms"), ["run_id", "seq"])
+    both = events.withColumn("line", none).unionByName(lines.withColumn("kind", none).withColumn("source", none))
+    return both.select("run_id", "ts_ms", F.timestamp_millis("ts_ms").alias("event_time"), "kind", "source", "line")
+
+
+@query
+def run_health(spark, sf):
+    return T.run_health(_events(spark, sf), spark_view(spark, sf, "v_trace_json"), _runs(spark, sf))
+
+
 @query
 def stream_run_health(spark, sf):
-    return run_updates(spark, _events(spark, sf), ST.stream_run_health, ["run_id"], "ts_ms")
+    runs = _runs(spark, sf)
+    return run_updates(spark, _arrivals(spark, sf), lambda rows: ST.stream_run_health(rows, runs), ["run_id"], "ts_ms").drop("closed")

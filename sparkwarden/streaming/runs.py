@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,12 +10,15 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Micro-batches a table is streamed in.
+#: Micro-batches a table is streamed in, at least, and rows that one of them may hold: more rows mean more of them.
 BATCHES = 4
+BATCH_ROWS = 2_000_000
+#: State with timers and times to live needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint directory.
+    """A new folder below the cluster's checkpoint directory, removed when the application ends normally.
 
     Only a local session without that setting, as in tests, falls back to a temporary folder.
     """
@@ -23,12 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(discard, spark, folder)
+    return folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder through the file system that holds it."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        return
+
+
+def n_slices(source: DataFrame, batches: int) -> int:
+    """As many slices as keep a micro-batch within ``BATCH_ROWS``, so that what one of them holds has a bound at any size."""
+    return max(batches, -(-source.count() // BATCH_ROWS))
 
 
 def slices(source: DataFrame, order: str, batches: int) -> Iterator[DataFrame]:
     """``source`` in ranges of ``order``, lowest first: what arrives in turn.  A null counts as the lowest value."""
-    cuts = sorted(set(source.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01)))
+    batches = n_slices(source, batches)
+    cuts = sorted(set(source.approxQuantile(order, [i / batches for i in range(1, batches)], min(0.01, 0.1 / batches))))
     at = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = source if low is None else source.filter(at > low)
@@ -44,6 +65,7 @@ def run_available(
     checkpoint between them, so what a later range needs of an earlier one is in the state.
     """
     folder = shared_folder(spark)
+    spark.conf.set(*STATE_STORE)
     for part in slices(source, order, batches):
         part.write.mode("append").parquet(f"{folder}/in")
         out = transform(spark.readStream.schema(source.schema).parquet(f"{folder}/in"))
@@ -66,12 +88,13 @@ def run_updates(
     order: str,
     batches: int = BATCHES,
 ) -> DataFrame:
-    """Like :func:`run_available` for aggregations: the last update of every key.
+    """Like :func:`run_available` for results that change: the last update of every key.
 
     Each micro-batch appends its updates under its number, so a batch that is retried after a
     failure replaces what it wrote before.
     """
     folder = shared_folder(spark)
+    spark.conf.set(*STATE_STORE)
 
     def store(updates: DataFrame, batch: int) -> None:
         updates.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
@@ -89,5 +112,5 @@ def run_updates(
         job.awaitTermination()
     updates = spark.read.parquet(f"{folder}/out")
     columns = [c for c in out.columns if c not in keys]
-    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_u"))
+    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("batch", *[c for c in columns if c == "closed"])).alias("_u"))
     return latest.select(*keys, "_u.*")

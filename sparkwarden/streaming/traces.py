@@ -1,8 +1,8 @@
 """Live traces.
 
-Parsing is stateless and reuses the batch functions unchanged.  The two order-dependent rules
-keep a few numbers or one pending line per key; the source has no event-time rule of its own, so
-arrival order counts, and rows of one micro-batch are put in line order first.
+Parsing is stateless and reuses the batch functions unchanged.  The order-dependent rules keep a few numbers or one pending
+line per key, in state variables with times to live and timers (Spark's RocksDB state store holds them); the source has no
+event-time rule of its own, so arrival order counts, and rows of one micro-batch are put in line order first.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkwarden import values as V
 from sparkwarden.operators import traces as T
@@ -31,50 +31,47 @@ def stream_complete_calls(lines: DataFrame) -> DataFrame:
     return T.events_of_calls(complete.select("run_id", "line_no", "pid", "tail"))
 
 
-def stitcher(ttl_ms: int | None):
-    """State function: the arguments of the last unfinished line of a process, if still unused."""
+def by_line(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """Rows of one key in a micro-batch by their first column; the micro-batch's own limit bounds them."""
+    return sorted((row for frame in frames for row in frame[columns].itertuples(index=False, name=None)), key=lambda row: row[0])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from _stitch(key, frames, state, ttl_ms)
 
-    return step
+class Stitcher(StatefulProcessor):
+    """Keeps the arguments of the last unfinished line of a process, if still unused, for ``ttl_ms`` at most."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-def _stitch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
-    run_id, pid = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pending = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("line_no")
-    out = []
-    for line_no, form, args, call, rest in rows[["line_no", "form", "args", "call", "rest"]].itertuples(index=False):
-        if form == "unfinished":
-            pending = args
-        elif pending is not None:
-            out.append((run_id, line_no, pid, f"{call}({pending} {rest}"))
-            pending = None
-    if pending is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((pending,))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-    if out:
-        yield pd.DataFrame(out, columns=["run_id", "line_no", "pid", "tail"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pending = handle.getValueState("pending", "args string", self.ttl_ms)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run_id, pid = key
+        before = self.pending.get()
+        pending = before[0] if before else None
+        out = []
+        for line_no, form, args, call, rest in by_line(rows, ["line_no", "form", "args", "call", "rest"]):
+            if form == "unfinished":
+                pending = args
+            elif pending is not None:
+                out.append((run_id, line_no, pid, f"{call}({pending} {rest}"))
+                pending = None
+        if pending is not None:
+            self.pending.update((pending,))
+        elif before:
+            self.pending.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "line_no", "pid", "tail"])
 
-def timeout(live: bool) -> str:
-    """Timers of wall-clock time keep a query running for ever, so only a live one has them."""
-    return GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
+    def close(self) -> None:
+        pass
 
 
 def stream_stitch(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stitched system calls of a stream; ``ttl_ms`` forgets unfinished lines nobody resumes.
 
-    Only unfinished and resumed lines reach the state, already split by native functions; a
-    micro-batch bounds how many of one process meet, the source's rate limit bounds that.
+    Only unfinished and resumed lines reach the state, already split by native functions.  The lines of a process that
+    arrive in one micro-batch are put in order in its task, so the source's rate limit bounds what that holds.
     """
     marks = T.syscall_lines(lines).filter("form <> 'complete'")
     split = marks.select(
@@ -83,25 +80,26 @@ def stream_stitch(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         T.P.first(F.col("tail"), V.TRACE_RESUMED, 1, dotall=True).alias("call"),
         T.P.first(F.col("tail"), V.TRACE_RESUMED, 2, dotall=True).alias("rest"),
     )
-    whole = split.groupBy("run_id", "pid").applyInPandasWithState(
-        stitcher(ttl_ms), STITCHED, "pending string", "append", timeout(ttl_ms is not None)
+    whole = split.groupBy("run_id", "pid").transformWithStateInPandas(
+        Stitcher(ttl_ms), STITCHED, "Append", "None" if ttl_ms is None else "ProcessingTime"
     )
     return whole.filter(T.P.found(F.col("tail"), V.TRACE_CALL, dotall=True))
 
 
-def stuck_seconds(limit: int, live: bool):
-    """State function: last closed second, drifting seconds in a row, the open second."""
+class StuckSeconds(StatefulProcessor):
+    """Keeps of a run its last closed second, the drifting seconds in a row, the open second and the timer that runs."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run_id,) = key
-        last, streak, sec, events, stuck = state.get if state.exists else (None, 0, None, 0, False)
-        if state.hasTimedOut:
-            if not stuck:
-                yield pd.DataFrame({"run_id": [run_id], "reason": ["silent"]})
-            state.remove()
-            return
+    def __init__(self, limit: int, live: bool):
+        self.limit, self.live = limit, live
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "last bigint, streak bigint, sec bigint, events bigint, stuck boolean, timer bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, streak, sec, events, stuck, timer = self.run.get() or (None, 0, None, 0, False, None)
         counts: dict[int, int] = {}
-        for frame in frames:
+        for frame in rows:
             for s, n in frame.groupby("sec")["n_events"].sum().items():
                 counts[s] = counts.get(s, 0) + int(n)
         reason = None
@@ -117,17 +115,28 @@ def stuck_seconds(limit: int, live: bool):
                 if streak > V.DRIFT_SECONDS:
                     reason = reason or "drifting"
                 last = sec
-                if s - sec >= limit + 2:
+                if s - sec >= self.limit + 2:
                     reason = reason or "silent"
             sec, events = int(s), int(n)
         if reason and not stuck:
             stuck = True
-            yield pd.DataFrame({"run_id": [run_id], "reason": [reason]})
-        state.update((last, streak, sec, events, stuck))
-        if live:
-            state.setTimeoutDuration((limit + 1) * 1000)
+            yield pd.DataFrame({"run_id": [key[0]], "reason": [reason]})
+        if self.live:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + (self.limit + 1) * 1000
+            self.handle.registerTimer(timer)
+        self.run.update((last, streak, sec, events, stuck, timer))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The run went silent for good."""
+        stuck = (self.run.get() or (None,) * 5)[4]
+        self.run.clear()
+        if not stuck:
+            yield pd.DataFrame({"run_id": [key[0]], "reason": ["silent"]})
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def stream_stuck(ticks: DataFrame, timeout_s: int = V.STUCK_SECONDS, live: bool = False) -> DataFrame:
@@ -139,31 +148,80 @@ def stream_stuck(ticks: DataFrame, timeout_s: int = V.STUCK_SECONDS, live: bool
     low, high = V.STUCK_SECONDS_RANGE
     limit = max(low, min(timeout_s, high))
     seconds = ticks.select("run_id", F.floor(F.col("ts_ms") / 1000).alias("sec"), F.col("is_event").cast("bigint").alias("n_events"))
-    return seconds.groupBy("run_id").applyInPandasWithState(
-        stuck_seconds(limit, live),
-        "run_id string, reason string",
-        "last bigint, streak bigint, sec bigint, events bigint, stuck boolean",
-        "append",
-        timeout(live),
+    return seconds.groupBy("run_id").transformWithStateInPandas(
+        StuckSeconds(limit, live), "run_id string, reason string", "Append", "ProcessingTime" if live else "None"
     )
 
 
-def stream_run_health(events: DataFrame, idle: str | None = None) -> DataFrame:
-    """Counts behind the floor and quiet-run rules per run, updated as events arrive.
-
-    Without ``idle`` one row per run is kept for ever.  With it (and an ``event_time`` column)
-    a session window closes a run after that much idle time; the rules know no such limit, it
-    only bounds the state.
+class RunHealth(StatefulProcessor):
+    """Keeps what the floor, quiet-run and parse rules need of a run: a few counts and at most as many kinds as the floor asks for."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState(
+            "counts", "n_lines bigint, n_events bigint, n_real bigint, n_exec bigint, has_net boolean, has_write boolean, last_ms bigint, kinds array<string>"
+        )
+
+    def _row(self, key: tuple, counts: tuple, closed: bool) -> pd.DataFrame:
+        n_lines, n_events, n_real, n_exec, net, write, _, kinds = counts
+        return pd.DataFrame([(key[0], n_real, len(kinds), net, write, n_exec, n_lines, n_events, closed)], columns=[c.split()[0] for c in HEALTH.split(", ")])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n_lines, n_events, n_real, n_exec, net, write, before, kinds = self.counts.get() or (0, 0, 0, 0, False, False, None, [])
+        kinds, last = list(kinds), before
+        for frame in rows:
+            n_lines += int(frame["is_line"].sum())
+            n_events += int(frame["parsed"].sum())
+            real = frame[frame["real"]]
+            n_real += len(real)
+            for kind, n in real["kind"].value_counts().items():
+                n_exec += int(n) if kind == "exec" else 0
+                net, write = net or kind in V.NETWORK_KINDS, write or kind in V.WRITE_KINDS
+                if kind not in kinds and len(kinds) < V.FLOOR_MIN_KINDS:
+                    kinds.append(kind)
+            newest = int(frame["ms"].max())
+            last = newest if last is None else max(last, newest)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle_ms)
+            self.handle.registerTimer(last + self.idle_ms)
+        counts = (n_lines, n_events, n_real, n_exec, net, write, last, kinds)
+        self.counts.update(counts)
+        yield self._row(key, counts, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the run's last event by the idle time: the run is over and forgotten."""
+        counts = self.counts.get()
+        if counts:
+            self.counts.clear()
+            yield self._row(key, counts, True)
+
+    def close(self) -> None:
+        pass
+
+
+HEALTH = (
+    "run_id string, n_real bigint, n_kinds bigint, has_net boolean, has_write boolean, n_exec bigint, n_lines bigint, n_events bigint, closed boolean"
+)
+
+
+def stream_run_health(arrivals: DataFrame, runs: DataFrame, idle_ms: int = 600_000, delay: str = "1 minute") -> DataFrame:
+    """Floor, quiet-run and parse rules of every run, updated as its events and raw lines arrive.
+
+    ``arrivals``: ``run_id, event_time`` and either ``kind, source`` of an event or a raw ``line``; ``runs``: a static table as for
+    :func:`operators.traces.trace_floor`.  ``n_kinds`` stops at the number the floor asks for.  A run without arrivals for
+    ``idle_ms`` of event time is closed: one last row with ``closed``, and its state goes.  What arrives more than ``delay`` behind the newest
+    event time may be dropped; what arrives for a closed run starts a new one.  The rules themselves know no such limits, they bound the state.
     """
-    keys = ["run_id"]
-    if idle is not None:
-        events = events.withWatermark("event_time", idle)
-        keys.append(F.session_window("event_time", idle))
-    real, kind = T.is_real(F.col("source")), F.col("kind")
-    return events.groupBy(*keys).agg(
-        F.count_if(real).alias("n_real"),
-        F.size(F.collect_set(F.when(real, kind))).alias("n_kinds"),
-        F.coalesce(F.bool_or(real & kind.isin("connect", "dns")), F.lit(False)).alias("has_net"),
-        F.coalesce(F.bool_or(real & kind.isin("write", "persist_write")), F.lit(False)).alias("has_write"),
-        F.count_if(real & (kind == "exec")).alias("n_exec"),
-    )
+    text = F.coalesce(F.col("line"), F.lit(""))
+    event = F.col("line").isNull()
+    marked = arrivals.withWatermark("event_time", delay).select(
+        "run_id", "event_time", F.unix_millis("event_time").alias("ms"),
+        (F.length(T.P.strip(text)) > 0).alias("is_line"), T.json_event(text).isNotNull().alias("parsed"),
+        (event & T.is_real(F.col("source"))).alias("real"), F.col("kind"),
+    )
+    kept = marked.groupBy("run_id").transformWithStateInPandas(RunHealth(idle_ms), HEALTH, "Update", "EventTime")
+    return T.with_health(kept.join(runs, "run_id")).select("run_id", "n_real", "n_kinds", "n_exec", "n_lines", "n_events", "failed", "quiet", "drift", "closed")

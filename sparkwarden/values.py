@@ -403,6 +403,8 @@ DECOY_AUTOSTART_DIRS = ["~/.config/autostart", "~/Library/LaunchAgents", "/etc/c
 WRITE_FLAGS = ["O_WRONLY", "O_RDWR", "O_CREAT", "O_TRUNC", "O_APPEND"]
 LIGHT_TIER_FLOOR = ["syscall_trace", "process_tree", "env_reads"]
 FLOOR_MIN_KINDS = 3
+NETWORK_KINDS = ["connect", "dns"]
+WRITE_KINDS = ["write", "persist_write"]
 FLOOR_MIN_EVENTS = 10
 FLOOR_MIN_DURATION_MS = 2000
 PARSE_RATIO_FLOOR = 0.5
