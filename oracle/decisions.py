@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from oracle import lit, lst, oname, orank
+from oracle import lit, lst, oname, orank, traces
+from oracle.evidence import ADV, ENR
 from oracle.files import META, decide, prefiltered
 from sparkwarden import values as V
 from sparkwarden.plans.views import with_views
@@ -19,38 +20,53 @@ CONSENSUS = f"""o_w AS (SELECT *, CASE WHEN model = 'm3' THEN 1.0 ELSE weight EN
 
 EXIT = f"{orank('outcome')} AS exit_code, outcome = 'malicious' AS should_block_install"
 
-ENRICH = f"""o_de0 AS (SELECT package_id, CASE WHEN k % 12 = 0 THEN 'Known vulnerabilities detected: ADV-1, ' || name WHEN k % 4 = 1 AND k % 10 < 5 THEN 'OpenSSF Scorecard is low (' || (k % 10) || '.0/10)'
-    WHEN k % 9 = 0 OR k % 14 = 0 THEN CASE WHEN k % 2 = 0 THEN 'signature mismatch' ELSE 'Invalid provenance metadata' END WHEN k % 15 = 0 THEN 'osv: ' || name END AS reason FROM v_packages),
+PACKAGE_CONSENSUS = CONSENSUS.replace("v_votes", "v_package_votes")
+
+# Evidence and traces are taken from their own oracles.
+ENRICH = f"""{ENR}, {ADV},
+  o_hi AS (SELECT package_id, string_agg(id, ', ' ORDER BY pos) AS ids FROM (
+    SELECT p.package_id, a.pos, a.id, row_number() OVER (PARTITION BY p.package_id ORDER BY a.pos) AS n FROM v_packages p JOIN o_adv a USING (ecosystem, name) WHERE a.severity IN ('HIGH', 'CRITICAL')) t WHERE n <= 5 GROUP BY package_id),
+  o_de0 AS (SELECT package_id, CASE WHEN ids IS NOT NULL THEN 'Known vulnerabilities detected: ' || ids WHEN score < 5.0 THEN 'OpenSSF Scorecard is low (' || printf('%.1f', score) || '/10)'
+    WHEN provenance_status = 'invalid' OR NOT provenance_verified THEN coalesce(nullif(provenance_details, ''), 'Invalid provenance metadata') WHEN errors <> '' THEN split_part(errors, ',', 1) END AS reason
+    FROM o_enr LEFT JOIN o_hi USING (package_id)),
   o_de AS (SELECT package_id, 'needs_review' AS outcome, reason FROM o_de0 WHERE reason IS NOT NULL)"""
 
 
 def report() -> str:
+    runs = traces.sql()["decide_trace"]
     return ", ".join(
         [
-            prefiltered(), CONSENSUS, ENRICH,
+            prefiltered(), PACKAGE_CONSENSUS, ENRICH,
             f"o_dp AS ({decide('o_pref')})",
-            f"""o_first AS (SELECT d.package_id, CASE WHEN o OR u THEN 'needs_review' ELSE coalesce(c.outcome, d.outcome) END AS outcome,
-                CASE WHEN u THEN 'Source bytes unavailable; manual review required' WHEN o THEN 'Archive exceeds size cap; manual review required' ELSE coalesce(c.reason, d.reason) END AS reason, 0 AS ord
-              FROM (SELECT x.*, k.k % 23 = 0 AS o, k.k % 19 = 0 AS u FROM o_dp x JOIN v_packages k USING (package_id)) d LEFT JOIN o_dc c ON d.package_id = 'pkg' || c.package_id),
-            o_union AS (SELECT * FROM o_first UNION ALL SELECT package_id, outcome, reason, 1 FROM o_de UNION ALL SELECT package_id, 'malicious', 'Sandbox canary file(s) read during install: x', 2 FROM v_packages WHERE k % 33 = 0),
-            o_rep AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY {orank('outcome')} DESC, ord) AS rn FROM o_union)""",
+            f"""o_big AS (SELECT DISTINCT package_id FROM (SELECT *, sum(CASE WHEN size <= 30000 THEN size ELSE 0 END) OVER (PARTITION BY package_id ORDER BY ord) AS r FROM v_files) t WHERE size > 30000 OR r > 60000),
+            o_flagged AS (SELECT d.*, b.package_id IS NOT NULL AS o FROM o_dp d LEFT JOIN o_big b USING (package_id)),
+            o_first AS (SELECT d.package_id, CASE WHEN o THEN 'needs_review' ELSE coalesce(c.outcome, d.outcome) END AS outcome,
+                CASE WHEN o THEN 'Archive exceeds size cap; manual review required' ELSE coalesce(c.reason, d.reason) END AS reason, 0 AS ord FROM o_flagged d LEFT JOIN o_dc c USING (package_id)),
+            o_runs AS (SELECT package_id, outcome, reason, row_number() OVER (PARTITION BY package_id ORDER BY {orank('outcome')} DESC, ord) AS n FROM ({runs}) t JOIN v_package_runs USING (run_id)),
+            o_union AS (SELECT * FROM o_first UNION ALL SELECT package_id, outcome, reason, 1 FROM o_de UNION ALL SELECT package_id, outcome, reason, 2 FROM o_runs WHERE n = 1),
+            o_rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY {orank('outcome')} DESC, ord) AS rn FROM o_union WHERE package_id IN (SELECT package_id FROM o_first)) t WHERE rn = 1)""",
         ]
     )
 
 
-SCAN = CONSENSUS + ", o_scan AS (SELECT p.k // 50 AS scan_id, p.k AS ord, c.outcome, c.reason FROM o_dc c JOIN v_packages p ON p.package_id = 'pkg' || c.package_id)"
+def scan() -> str:
+    return report() + ", o_scan AS (SELECT p.k // 50 AS scan_id, p.k AS ord, c.outcome, c.reason FROM o_rep c JOIN v_packages p USING (package_id))"
+
 
-ROWS = (
-    CONSENSUS
-    + ", "
-    + META
-    + """, o_sig AS (SELECT package_id, list_sort(list(DISTINCT category)) AS signals FROM o_meta GROUP BY package_id),
-  o_rows AS (SELECT p.*, c.verdict, round(c.confidence, 3) AS confidence, coalesce(d.outcome, 'safe') AS outcome, coalesce(d.reason, 'No risk signals detected') AS reason, coalesce(s.signals, []) AS signals
-    FROM v_packages p LEFT JOIN o_cons c ON p.package_id = 'pkg' || c.package_id LEFT JOIN o_dc d ON p.package_id = 'pkg' || d.package_id LEFT JOIN o_sig s ON s.package_id = p.package_id),
+def rows() -> str:
+    return (
+        report()
+        + """, o_sig AS (SELECT package_id, list_sort(list(DISTINCT category)) AS signals FROM o_meta GROUP BY package_id),
+  o_rows AS (SELECT p.*, p.k // 50 AS scan_id, p.k AS ord, c.verdict, round(c.confidence, 3) AS confidence, d.outcome, d.reason, coalesce(s.signals, []) AS signals, f.o AS source_unavailable,
+      CASE WHEN f.o THEN 'MEDIUM' ELSE f.level END AS level, NOT f.o AND f.level NOT IN ('MEDIUM', 'HIGH', 'CRITICAL') AS passed, CASE WHEN f.o THEN 'Archive exceeds size cap; manual review required' ELSE f.reason END AS prefilter_reason
+    FROM v_packages p JOIN o_flagged f USING (package_id) LEFT JOIN o_cons c USING (package_id) JOIN o_rep d USING (package_id) LEFT JOIN o_sig s USING (package_id)),
   o_sarif AS (SELECT package_id, 'supply-chain-risk' AS rule_id, CASE coalesce(verdict, 'safe') WHEN 'malicious' THEN 'error' WHEN 'safe' THEN 'note' WHEN 'error' THEN 'none' ELSE 'warning' END AS level,
       'Package ' || name || '@' || version || ' (' || ecosystem || '): ' || reason || '. Risk signals: ' || CASE WHEN len(signals) > 0 THEN array_to_string(signals, ', ') ELSE 'none' END AS message,
       coalesce(verdict, 'safe') AS verdict, coalesce(confidence, 0.0) AS confidence, ecosystem FROM o_rows)"""
-)
+    )
+
+
+SARIF_RESULT = """'{"ruleId":"' || rule_id || '","level":"' || level || '","message":{"text":' || to_json(message) || '},"properties":{"verdict":"' || verdict || '","confidence":' || confidence || ',"ecosystem":"' || ecosystem || '"}}'"""
 
 
 def first_word(text: str) -> str:
@@ -78,26 +94,23 @@ def sql() -> dict[str, str]:
     q["signal_union"] = with_views("SELECT package_id, signal, min(pos) AS first_pos FROM v_votes WHERE verdict <> 'error' GROUP BY ALL")
     q["decide_consensus"] = with_views(f"SELECT package_id, outcome, reason, {EXIT} FROM o_dc", CONSENSUS)
     q["decide_enrichment"] = with_views(f"SELECT package_id, outcome, reason, {EXIT} FROM o_de", ENRICH)
-    q["decide_report"] = with_views(f"SELECT package_id, outcome, reason, {EXIT} FROM o_rep WHERE rn = 1", report())
+    q["decide_report"] = with_views(f"SELECT package_id, outcome, reason, {EXIT} FROM o_rep", report())
     q["scan_summary"] = with_views(
         "SELECT scan_id, count(*) AS total, count(*) FILTER (WHERE outcome = 'safe') AS safe, count(*) FILTER (WHERE outcome = 'needs_review') AS suspicious, "
         "count(*) FILTER (WHERE outcome = 'malicious') AS malicious, count(*) FILTER (WHERE outcome = 'error') AS errors FROM o_scan GROUP BY scan_id",
-        SCAN,
+        scan(),
     )
     q["scan_decisions"] = with_views(
         f"""SELECT scan_id, outcome, reason, {EXIT} FROM (
           SELECT s.scan_id, coalesce(b.outcome, 'safe') AS outcome, coalesce(b.reason, 'No packages scanned') AS reason FROM (SELECT DISTINCT k // 50 AS scan_id FROM v_packages UNION SELECT DISTINCT -1 - k // 50 FROM v_packages) s
           LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {orank('outcome')} DESC, ord) AS rn FROM o_scan) b ON b.scan_id = s.scan_id AND b.rn = 1) t""",
-        SCAN,
+        scan(),
     )
     q["report_json"] = with_views(
-        f"""SELECT package_id, '{{"package":{{"name":"' || name || '","version":"' || version || '","ecosystem":"' || ecosystem || '"}},"prefilter":{{"level":"LOW","passed":true,"reason":"Found ' || len(signals) || ' risk signal(s)","source_unavailable":' || (k % 19 = 0) || '}}'
+        f"""SELECT package_id, '{{"package":{{"name":"' || name || '","version":"' || version || '","ecosystem":"' || ecosystem || '"}},"prefilter":{{"level":"' || level || '","passed":' || passed || ',"reason":' || to_json(prefilter_reason) || ',"source_unavailable":' || source_unavailable || '}}'
           || CASE WHEN verdict IS NULL THEN '' ELSE ',"consensus":{{"verdict":"' || verdict || '","confidence":' || confidence || '}}' END || ',"decision":"' || outcome || '","exit_code":' || {orank('outcome')} || ',"should_block_install":' || (outcome = 'malicious') || '}}' AS document FROM o_rows""",
-        ROWS,
-    )
-    q["report_sarif"] = with_views("SELECT * FROM o_sarif", ROWS)
-    q["sarif_result"] = with_views(
-        """SELECT package_id, '{"ruleId":"' || rule_id || '","level":"' || level || '","message":{"text":"' || message || '"},"properties":{"verdict":"' || verdict || '","confidence":' || confidence || ',"ecosystem":"' || ecosystem || '"}}' AS result FROM o_sarif""",
-        ROWS,
+        rows(),
     )
+    q["report_sarif"] = with_views("SELECT * FROM o_sarif", rows())
+    q["sarif_result"] = with_views(f"SELECT package_id, {SARIF_RESULT} AS result FROM o_sarif", rows())
     return q

@@ -66,22 +66,37 @@ def decide_report(
     end up safe.  A consensus replaces the prefilter decision; enrichment and trace decisions
     compete with whichever of the two stands.
     """
-    flags = prefiltered.select("package_id", F.col("reason").alias("_reason"), "source_unavailable")
+    own = decided.select("package_id", "outcome", F.col("reason").alias("outcome_reason"))
+    return decide_packages(prefiltered.join(own, "package_id"), consensus, enrichment, traces)
+
+
+def decide_packages(rows: DataFrame, consensus: DataFrame, enrichment: DataFrame, traces: DataFrame) -> DataFrame:
+    """The same from rows that hold the prefilter's ``outcome, outcome_reason`` beside ``reason, source_unavailable``.
+
+    The other decisions are ``package_id, outcome, reason``; a package may have many of them (``ord`` says in which order).
+    """
     voted = consensus.select("package_id", F.col("outcome").alias("_voted"), F.col("reason").alias("_summary"))
-    base = decided.select(*DECISION).join(flags, "package_id").join(voted, "package_id", "left")
-    unseen = F.when(F.length("_reason") > 0, F.col("_reason")).otherwise("Source bytes unavailable; manual review required")
+    base = rows.join(voted, "package_id", "left")
+    unseen = F.when(F.length("reason") > 0, F.col("reason")).otherwise("Source bytes unavailable; manual review required")
     first = base.select(
         "package_id",
         F.when(F.col("source_unavailable"), "needs_review").otherwise(F.coalesce("_voted", "outcome")).alias("outcome"),
-        F.when(F.col("source_unavailable"), unseen).otherwise(F.coalesce("_summary", "reason")).alias("reason"),
+        F.when(F.col("source_unavailable"), unseen).otherwise(F.coalesce("_summary", "outcome_reason")).alias("reason"),
         F.lit(0).cast("bigint").alias("ord"),
+        F.lit(True).alias("_known"),
     )
-    known = decided.select("package_id")
+    order = lambda d: F.col("ord") if "ord" in d.columns else F.lit(0)
     rest = [
-        d.select(*DECISION, F.lit(i).cast("bigint").alias("ord")).join(known, "package_id", "left_semi")
+        strongest(d.select(*DECISION, order(d).cast("bigint").alias("ord")), "package_id", "ord").select(
+            *DECISION, F.lit(i).cast("bigint").alias("ord"), F.lit(False).alias("_known")
+        )
         for i, d in ((1, enrichment), (2, traces))
     ]
-    return strongest(first.unionByName(rest[0]).unionByName(rest[1]), "package_id", "ord")
+    every = first.unionByName(rest[0]).unionByName(rest[1])
+    # One grouping decides and drops decisions on packages nobody listed, so contents are scanned once.
+    ranked = F.struct(P.outcome_rank(F.col("outcome")).alias("rank"), (-F.col("ord")).alias("earlier"), "outcome", "reason")
+    best = every.groupBy("package_id").agg(F.max(ranked).alias("_best"), F.bool_or("_known").alias("_known")).filter("_known")
+    return with_exit(best.select("package_id", "_best.outcome", "_best.reason"))
 
 
 def scan_summary(decisions: DataFrame, key: str = "scan_id") -> DataFrame:

@@ -155,6 +155,16 @@ def enrich_packages(packages: DataFrame, enrichment: DataFrame) -> DataFrame:
     )
 
 
+def with_high_advisories(evidence: DataFrame, advisories: DataFrame, keep: int = 5) -> DataFrame:
+    """Evidence with ``high_advisories``: ids of a package's first advisories, as many as the decision names."""
+    order = Window.partitionBy("package_id").orderBy("pos")
+    # Spark cuts a limited rank before the shuffle, so at most `keep` rows a package and task travel.
+    first = advisories.select("package_id", "pos", "id").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda a: a["id"])
+    named = first.groupBy("package_id").agg(ids.alias("high_advisories"))
+    return evidence.join(named, "package_id", "left").withColumn("high_advisories", F.coalesce("high_advisories", F.array().cast("array<string>")))
+
+
 # -- mentions ---------------------------------------------------------------------------
 def relevance(title: Column, description: Column, package: Column) -> Column:
     """Security relevance of a search result, in hundredths up to 100."""

@@ -233,9 +233,9 @@ def prefilter(
     )
 
 
-def decide_prefilter(prefiltered: DataFrame, darwin: bool = False) -> DataFrame:
-    """Outcome, exit code and block flag from the level and the static evasion gate."""
-    rank = EV.gate(
+def static_rank(darwin: bool = False) -> Column:
+    """Rank of the outcome from the level and the static evasion gate."""
+    return EV.gate(
         decide_level(F.col("level")),
         F.col("n_evasion_high"),
         F.lit(0),
@@ -243,7 +243,11 @@ def decide_prefilter(prefiltered: DataFrame, darwin: bool = False) -> DataFrame:
         (F.col("n_evasion") == 1) & (F.col("n_xpc") == 1),
         F.lit(darwin),
     )
-    return prefiltered.withColumn("_rank", rank).select(
+
+
+def decide_prefilter(prefiltered: DataFrame, darwin: bool = False) -> DataFrame:
+    """Outcome, exit code and block flag from the level and the static evasion gate."""
+    return prefiltered.withColumn("_rank", static_rank(darwin)).select(
         "package_id",
         "level",
         "reason",
@@ -253,9 +257,11 @@ def decide_prefilter(prefiltered: DataFrame, darwin: bool = False) -> DataFrame:
     )
 
 
-def uninspected_override(prefiltered: DataFrame, flags: DataFrame) -> DataFrame:
+def uninspected_override(prefiltered: DataFrame, flags: DataFrame, decide: bool = False, darwin: bool = False) -> DataFrame:
     """Packages whose bytes were not inspected: level MEDIUM, not passed, no automatic review.
 
+    With ``decide`` the prefilter's own ``outcome`` and ``outcome_reason`` stand in the same row, so contents are scanned once for both.
+
     ``flags`` has ``package_id, oversized, unavailable`` (messages or null); an unavailable
     source is applied after an oversized archive and so decides the reason.
     """
@@ -267,7 +273,7 @@ def uninspected_override(prefiltered: DataFrame, flags: DataFrame) -> DataFrame:
             F.when(F.col("unavailable").isNotNull(), F.concat(F.lit("source_unavailable(HIGH): "), F.col("unavailable"))),
         )
     )
-    return joined.select(
+    seen = [
         "package_id",
         F.when(hit, "MEDIUM").otherwise(F.col("level")).alias("level"),
         F.when(hit, False).otherwise(F.col("passed")).alias("passed"),
@@ -278,4 +284,7 @@ def uninspected_override(prefiltered: DataFrame, flags: DataFrame) -> DataFrame:
         .alias("reason"),
         F.array_join(added, "; ").alias("added_signals"),
         hit.alias("source_unavailable"),
-    )
+    ]
+    if not decide:
+        return joined.select(*seen)
+    return joined.withColumn("_rank", static_rank(darwin)).select(*seen, P.outcome_name(F.col("_rank")).alias("outcome"), F.col("reason").alias("outcome_reason"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden import values as V
+from sparkwarden.operators.buckets import BucketTable
 from sparkwarden.operators.files import admit_files, tree_hash
 
 
@@ -114,12 +117,43 @@ def provenance_rows(plan: DataFrame, urls: DataFrame) -> DataFrame:
     )
 
 
-def publish_files(plan: DataFrame, files: DataFrame, urls: DataFrame, target: str) -> None:
-    """Write files and provenance below ``target``, under a shard of each storage path's hash; rerunning replaces the same shards.
+#: Tables below a published folder.
+PROVENANCE = "path string, package_id string, sha256 string, scan_verdict string, url string, publish string"
+ENTRIES = "name string, version string, registry string, path string, fetched_at bigint"
+
+
+def provenance_table(spark: SparkSession, target: str) -> BucketTable:
+    """The last provenance of every published path, and which publish wrote its files."""
+    return BucketTable(spark, f"{target}/provenance", ["path"], PROVENANCE)
+
+
+def entry_table(spark: SparkSession, target: str) -> BucketTable:
+    """The index of published sources."""
+    return BucketTable(spark, f"{target}/index", ["name", "version", "registry"], ENTRIES)
+
+
+def publish_files(plan: DataFrame, files: DataFrame, urls: DataFrame, packages: DataFrame, target: str, now: int) -> None:
+    """Publish in two steps: files are staged under a name of their own, then the commit of the provenance makes them count.
 
-    The number of directories is that of the shards, however many packages there are.
+    ``packages``: package_id, name, version, registry.  A run that fails before the commit leaves what readers see as it was.  The
+    index is refreshed for all packages of the plan that are written, and for those whose published files have the same hash.
+    Files lie under a shard of their storage path's hash, so the number of folders does not grow with the packages.
     """
-    shard = lambda path: F.substring(F.sha2(path, 256), 1, 2).alias("shard")
-    for name, rows, path in (("files", published_files(plan, files), "storage_path"), ("provenance", provenance_rows(plan, urls), "path")):
-        out = rows.select("*", shard(path)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        out.partitionBy("shard").parquet(f"{target}/{name}")
+    spark = plan.sparkSession
+    publish = uuid.uuid4().hex
+    written = provenance_rows(plan, urls).withColumn("publish", F.lit(publish))
+    staged = published_files(plan, files).select("*", F.substring(F.sha2("storage_path", 256), 1, 2).alias("shard"))
+    staged.write.partitionBy("shard").parquet(f"{target}/files/publish={publish}")
+    latest = lambda old, new: old.join(new.select("path"), "path", "left_anti").unionByName(new.select(*old.columns))
+    provenance_table(spark, target).upsert(written, latest)
+    seen = plan.filter(F.col("write") | F.col("touch")).select("package_id", "path").join(packages, "package_id")
+    fetched = seen.groupBy("name", "version", "registry").agg(F.max("path").alias("path")).withColumn("fetched_at", F.lit(now).cast("bigint"))
+    entry_table(spark, target).upsert(fetched, source_index)
+
+
+def read_published(spark: SparkSession, target: str) -> DataFrame:
+    """Files that count: those that the publish named by their path's provenance wrote, with that provenance."""
+    schema = "package_id string, storage_path string, file_path string, content string, shard string, publish string"
+    where = provenance_table(spark, target).read()
+    files = spark.read.schema(schema).parquet(f"{target}/files")
+    return files.drop("package_id").join(where.withColumnRenamed("path", "storage_path"), ["storage_path", "publish"])

@@ -22,6 +22,7 @@ def all_queries() -> dict[str, Query]:
         queries_evidence,
         queries_files,
         queries_names,
+        queries_sinks,
         queries_traces,
     )
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwarden.operators import decisions as DC
+from sparkwarden.operators import evidence as E
+from sparkwarden.operators import files as FL
 from sparkwarden.operators import prefilter as PF
+from sparkwarden.operators import traces as T
 from sparkwarden.operators import votes as VT
 from sparkwarden.plans.queries import query
-from sparkwarden.plans.queries_files import prefiltered, source_flags
+from sparkwarden.plans.queries_files import BUDGET, MAX_FILE, prefiltered
 from sparkwarden.plans.views import spark_view
 
 
@@ -55,25 +58,18 @@ def decide_consensus(spark, sf):
     return DC.decide_consensus(_consensus(spark, sf))
 
 
+# -- the chain: prefilter, votes, evidence and traces of every package -------------------
 def _package_consensus(spark, sf):
-    """Consensus of the votes on the order whose number is that of the package."""
-    return _consensus(spark, sf).withColumn("package_id", F.concat(F.lit("pkg"), F.col("package_id").cast("string")))
+    """Consensus of the votes on all orders that belong to a package."""
+    return VT.consensus(spark_view(spark, sf, "v_package_votes").withColumn("signals", F.array("signal")), WEIGHTS)
 
 
 def _enrichment_decisions(spark, sf):
+    """Decisions from the merged evidence and the advisories of severity HIGH or CRITICAL."""
     packages = spark_view(spark, sf, "v_packages")
-    none = F.array().cast("array<string>")
-    k = F.col("k")
-    evidence = packages.select(
-        "package_id",
-        F.when(k % 12 == 0, F.array(F.lit("ADV-1"), F.col("name"))).otherwise(none).alias("high_advisories"),
-        F.when(k % 4 == 1, (k % 10).cast("double")).alias("score"),
-        F.when(k % 9 == 0, "invalid").otherwise("available").alias("provenance_status"),
-        F.when(k % 14 == 0, False).alias("provenance_verified"),
-        F.when(k % 2 == 0, "signature mismatch").otherwise("").alias("provenance_details"),
-        F.when(k % 15 == 0, F.array(F.concat(F.lit("osv: "), F.col("name")))).otherwise(none).alias("errors"),
-    )
-    return DC.decide_enrichment(evidence)
+    evidence = E.enrich_packages(packages, spark_view(spark, sf, "v_enrichment"))
+    advisories = E.advisory_join(packages, spark_view(spark, sf, "v_advisories")).filter(F.col("severity").isin("HIGH", "CRITICAL"))
+    return DC.decide_enrichment(E.with_high_advisories(evidence, advisories))
 
 
 @query
@@ -81,33 +77,40 @@ def decide_enrichment(spark, sf):
     return _enrichment_decisions(spark, sf)
 
 
-def _reports(spark, sf):
-    scanned = prefiltered(spark, sf)
-    prefilter = PF.uninspected_override(scanned, source_flags(spark, sf))
-    decided = PF.decide_prefilter(scanned)
-    packages = spark_view(spark, sf, "v_packages")
-    traces = packages.filter("k % 33 = 0").select(
-        "package_id", F.lit("malicious").alias("outcome"), F.lit("Sandbox canary file(s) read during install: x").alias("reason")
-    )
+def _trace_decisions(spark, sf):
+    """Decisions on all runs of a package."""
+    runs = T.decide_trace(spark_view(spark, sf, "v_trace_events"), spark_view(spark, sf, "v_runs"))
+    return runs.join(spark_view(spark, sf, "v_package_runs"), "run_id").select("package_id", "outcome", "reason", "ord")
+
+
+def _flags(spark, sf):
+    """Packages with files that the size limits refuse."""
+    files = spark_view(spark, sf, "v_files").select("package_id", "path", "size", "ord")
+    return FL.oversized_flags(FL.admit_files(files, max_file=MAX_FILE, budget=BUDGET))
+
+
+def _chain(spark, sf):
+    """Overridden prefilter rows, the consensus and the final decision of every package."""
+    rows = PF.uninspected_override(prefiltered(spark, sf), _flags(spark, sf), decide=True)
     voted = _package_consensus(spark, sf)
-    return DC.decide_report(prefilter, decided, DC.decide_consensus(voted), _enrichment_decisions(spark, sf), traces)
+    final = DC.decide_packages(rows, DC.decide_consensus(voted), _enrichment_decisions(spark, sf), _trace_decisions(spark, sf))
+    return rows, voted, final
 
 
 @query
 def decide_report(spark, sf):
-    return _reports(spark, sf)
+    return _chain(spark, sf)[2]
 
 
-def _scans(spark, sf):
+def scans_of(packages):
     """Scans of 50 packages each, and as many empty ones."""
-    packages = spark_view(spark, sf, "v_packages")
     scans = packages.select(F.floor(F.col("k") / 50).alias("scan_id")).distinct()
     return scans.union(scans.select(-1 - F.col("scan_id")))
 
 
 def _scan_rows(spark, sf):
     packages = spark_view(spark, sf, "v_packages").select("package_id", F.floor(F.col("k") / 50).alias("scan_id"), F.col("k").alias("ord"))
-    return DC.decide_consensus(_package_consensus(spark, sf)).join(packages, "package_id")
+    return _chain(spark, sf)[2].join(packages, "package_id")
 
 
 @query
@@ -117,36 +120,31 @@ def scan_summary(spark, sf):
 
 @query
 def scan_decisions(spark, sf):
-    return DC.scan_decisions(_scans(spark, sf), _scan_rows(spark, sf))
+    return DC.scan_decisions(scans_of(spark_view(spark, sf, "v_packages")), _scan_rows(spark, sf))
 
 
-def _report_rows(spark, sf):
-    packages = spark_view(spark, sf, "v_packages").select("package_id", "name", "version", "ecosystem", "k")
-    voted = _package_consensus(spark, sf).select("package_id", "verdict", F.round("confidence", 3).alias("confidence"))
-    decided = DC.decide_consensus(_package_consensus(spark, sf)).select("package_id", "outcome", "reason", "exit_code", "should_block_install")
-    meta = PF.metadata_anomalies(spark_view(spark, sf, "v_packages")).groupBy("package_id").agg(
-        F.array_sort(F.collect_set("category")).alias("signals")
-    )
-    return (
-        packages.join(voted, "package_id", "left").join(decided, "package_id", "left").join(meta, "package_id", "left")
-        .withColumn("outcome", F.coalesce("outcome", F.lit("safe"))).withColumn("reason", F.coalesce("reason", F.lit("No risk signals detected")))
-        .withColumn("exit_code", F.coalesce("exit_code", F.lit(0))).withColumn("should_block_install", F.coalesce("should_block_install", F.lit(False)))
-        .withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
-        .withColumn("level", F.lit("LOW")).withColumn("passed", F.lit(True)).withColumn("source_unavailable", F.col("k") % 19 == 0)
-        .withColumn("prefilter_reason", F.concat(F.lit("Found "), F.size("signals").cast("string"), F.lit(" risk signal(s)")))
-    )
+def chain_reports(spark, sf):
+    """All packages with their prefilter rows, consensus and final decision."""
+    rows, voted, final = _chain(spark, sf)
+    packages = spark_view(spark, sf, "v_packages").select("package_id", "name", "version", "ecosystem", F.floor(F.col("k") / 50).alias("scan_id"), F.col("k").alias("ord"))
+    meta = PF.metadata_anomalies(spark_view(spark, sf, "v_packages")).groupBy("package_id").agg(F.array_sort(F.collect_set("category")).alias("signals"))
+    scanned = rows.select("package_id", "level", "passed", F.col("reason").alias("prefilter_reason"), "source_unavailable")
+    joined = packages.join(scanned, "package_id").join(voted.select("package_id", "verdict", F.round("confidence", 3).alias("confidence")), "package_id", "left")
+    joined = joined.join(final, "package_id").join(meta, "package_id", "left")
+    error = F.when(F.col("outcome") == "error", F.col("reason"))
+    return joined.withColumn("signals", F.coalesce("signals", F.array().cast("array<string>"))).withColumn("error", error)
 
 
 @query
 def report_json(spark, sf):
-    return DC.report_json(_report_rows(spark, sf))
+    return DC.report_json(chain_reports(spark, sf))
 
 
 @query
 def report_sarif(spark, sf):
-    return DC.report_sarif(_report_rows(spark, sf))
+    return DC.report_sarif(chain_reports(spark, sf))
 
 
 @query
 def sarif_result(spark, sf):
-    return DC.sarif_result(DC.report_sarif(_report_rows(spark, sf)))
+    return DC.sarif_result(DC.report_sarif(chain_reports(spark, sf)))

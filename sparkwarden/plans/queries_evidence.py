@@ -174,3 +174,16 @@ def publish_files(spark, sf):
     reports = _publish_reports(spark, sf).withColumn("signals", F.array().cast("array<string>"))
     plan = S.publish_plan(reports, paths, files, published)
     return S.published_files(plan, files).select("package_id", "file_path", F.sha2("content", 256).alias("digest"))
+
+
+def publish_inputs(spark, sf):
+    """Reports, storage paths, files, URLs and names of all packages: what publishing takes."""
+    p = _packages(spark, sf)
+    # One package a path: the first of those that share a repository and version.
+    path = N.storage_path(p.name, p.version, p.ecosystem, p.repository)
+    paths = p.select("package_id", "k", path.alias("path")).groupBy("path").agg(F.min_by("package_id", "k").alias("package_id"))
+    files = spark_view(spark, sf, "v_files")
+    reports = _publish_reports(spark, sf).withColumn("signals", F.array().cast("array<string>"))
+    urls = p.select("package_id", F.col("homepage").alias("url"))
+    packages = p.select("package_id", "name", "version", F.col("ecosystem").alias("registry"))
+    return reports, paths, files, urls, packages

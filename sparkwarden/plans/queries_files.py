@@ -54,9 +54,13 @@ def classify_files(spark, sf):
     return FL.classify_files(spark_view(spark, sf, "v_files"))
 
 
+#: Size limits of a file and of a package that the queries set.
+MAX_FILE, BUDGET = 30_000, 60_000
+
+
 @query
 def admit_files(spark, sf):
-    admitted = FL.admit_files(spark_view(spark, sf, "v_files"), max_file=30_000, budget=60_000)
+    admitted = FL.admit_files(spark_view(spark, sf, "v_files"), max_file=MAX_FILE, budget=BUDGET)
     return admitted.select("package_id", "path", "size", "ord", "refused")
 
 

@@ -253,6 +253,16 @@ def views(engine: str) -> dict[str, str]:
         CASE WHEN min(user_id) % 29 = 0 THEN 'parser_partial_drift' ELSE '' END AS skipped_unexpected,
         CASE WHEN min(user_id) % 2 = 0 THEN 'Darwin' ELSE 'Linux' END AS platform
       FROM v_trace_events GROUP BY run_id)"""
+    # All orders are votes on some package: order numbers wrap round the parts.
+    v["v_package_votes"] = """v_package_votes AS (
+      SELECT concat('pkg', cast(1 + package_id % (SELECT count(*) FROM part) AS varchar(20))) AS package_id, model, weight, verdict, confidence,
+        package_id * 10 + pos AS pos, signal, k
+      FROM v_votes)"""
+    # A run belongs to the package that its user's number wraps to.
+    v["v_package_runs"] = """v_package_runs AS (
+      SELECT run_id, concat('pkg', cast(1 + user_id % (SELECT count(*) FROM part) AS varchar(20))) AS package_id, min(seq) AS ord
+      FROM v_trace_events GROUP BY run_id, user_id)"""
+
     sq = f"concat({q}, target, {q})"
     v["v_syscalls"] = f"""v_syscalls AS (
       WITH calls AS (
