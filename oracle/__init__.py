@@ -6,10 +6,10 @@ ORACLES: dict[str, str] = {}
 
 
 def all_oracles() -> dict[str, str]:
-    from oracle import decisions, evidence, files, names, traces
+    from oracle import decisions, evidence, files, names, sinks, traces
 
     out: dict[str, str] = {}
-    for module in (files, names, decisions, evidence, traces):
+    for module in (files, names, decisions, evidence, traces, sinks):
         out.update(module.sql())
     return out
 

@@ -66,7 +66,7 @@ def rows() -> str:
     )
 
 
-SARIF_RESULT = """'{"ruleId":"' || rule_id || '","level":"' || level || '","message":{"text":' || to_json(message) || '},"properties":{"verdict":"' || verdict || '","confidence":' || confidence || ',"ecosystem":"' || ecosystem || '"}}'"""
+SARIF_RESULT = """'{"ruleId":"' || s.rule_id || '","level":"' || s.level || '","message":{"text":' || to_json(s.message) || '},"properties":{"verdict":"' || s.verdict || '","confidence":' || s.confidence || ',"ecosystem":"' || s.ecosystem || '"}}'"""
 
 
 def first_word(text: str) -> str:
@@ -112,5 +112,5 @@ def sql() -> dict[str, str]:
         rows(),
     )
     q["report_sarif"] = with_views("SELECT * FROM o_sarif", rows())
-    q["sarif_result"] = with_views(f"SELECT package_id, {SARIF_RESULT} AS result FROM o_sarif", rows())
+    q["sarif_result"] = with_views(f"SELECT package_id, {SARIF_RESULT} AS result FROM o_sarif s", rows())
     return q

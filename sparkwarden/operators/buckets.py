@@ -35,7 +35,9 @@ class BucketTable:
             return 0, {}
         commits = self.spark.read.schema("bucket int, version string, seq int").parquet(f"{self.target}/commits")
         last = commits.agg(F.max("seq")).first()[0]
-        return (0, {}) if last is None else (last, {r["bucket"]: r["version"] for r in commits.where(F.col("seq") == last).collect()})
+        if last is None:
+            return 0, {}
+        return last, {r["bucket"]: r["version"] for r in commits.where((F.col("seq") == last) & (F.col("bucket") >= 0)).collect()}
 
     def read(self, only: set[int] | None = None) -> DataFrame:
         """The rows as last committed, of all buckets or some."""
@@ -57,6 +59,7 @@ class BucketTable:
         # A bucket whose rows are all gone has no folder.
         left = {b for b in touched if self._exists(f"{self.target}/data/version={version}/bucket={b}")}
         now = {b: v for b, v in versions.items() if b not in touched} | dict.fromkeys(left, version)
-        rows_now = self.spark.createDataFrame([(b, v) for b, v in sorted(now.items())], "bucket int, version string")
+        # Bucket -1 stands for the commit itself, which may hold no bucket.
+        rows_now = self.spark.createDataFrame([(-1, version), *sorted(now.items())], "bucket int, version string")
         rows_now.coalesce(1).write.parquet(f"{self.target}/commits/seq={seq + 1}")
         return len(touched)

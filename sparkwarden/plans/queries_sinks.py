@@ -13,7 +13,7 @@ from sparkwarden.plans.queries import query
 from sparkwarden.plans.queries_decisions import chain_reports, scans_of
 from sparkwarden.plans.queries_evidence import publish_inputs
 from sparkwarden.plans.views import AS_OF, spark_view
-from sparkwarden.streaming.runs import shared_folder
+from sparkwarden.streaming.runs import shared_folder, written
 
 #: Few items a part, so that the scans of 50 packages have several.
 WIDTH = 16
@@ -21,7 +21,7 @@ WIDTH = 16
 
 def _scan_documents(spark, sf):
     """Scans, half of them without packages, and their packages with the decisions of the whole chain."""
-    rows = chain_reports(spark, sf)
+    rows = written(chain_reports(spark, sf))
     scans = scans_of(spark_view(spark, sf, "v_packages"))
     decisions = rows.select("scan_id", "ord", "outcome", "reason")
     counts = DC.scan_summary(decisions)

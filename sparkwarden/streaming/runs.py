@@ -41,6 +41,13 @@ def discard(spark: SparkSession, folder: str) -> None:
         return
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for a result that several branches of a plan need."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def n_slices(source: DataFrame, batches: int) -> int:
     """As many slices as keep a micro-batch within ``BATCH_ROWS``, so that what one of them holds has a bound at any size."""
     return max(batches, -(-source.count() // BATCH_ROWS))
