@@ -6,7 +6,8 @@ import atexit
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,13 +33,29 @@ def scratch_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths made inside the innermost :func:`scope`, if there is one.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the application ends normally."""
+    """A new path in the shared folder; removed when the application ends normally, or by the owner of its scope."""
     path = f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     atexit.register(discard, spark, path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The list of scratch paths made inside, for whoever knows when they are no longer read."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through the file system that holds it."""
     try:
