@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import copies, mixing, packing, quality, substrings
-from sparkwarden.llm.common import stored
+from sparkwarden.llm.common import discard, scope, stored
 from sparkwarden.llm.queries import tokenizer_path
 
 #: The columns that documents keep from stage to stage.
@@ -51,12 +52,31 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("repeated_substrings", repeated_substrings),
-    ("mixed_sources", mixed_sources),
-    ("packed_sequences", packed_sequences),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Scratch paths of the stages that have run, by place in the pipeline.
+_scratch: dict[int, list[str]] = {}
+
+
+def tidy(place: int, stage: Stage) -> Stage:
+    """``stage``, whose docs are the written result of the stage before it: scratch of all stages before goes when it starts."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for earlier in [p for p in _scratch if p < place]:
+            for path in _scratch.pop(earlier):
+                discard(spark, path)
+        with scope() as paths:
+            out = stage(spark, docs, sf_dir)
+        _scratch.setdefault(place, []).extend(paths)
+        return out
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    (stage.__name__, tidy(place, stage))
+    for place, stage in enumerate((quality_rules, near_duplicates, repeated_substrings, mixed_sources, packed_sequences))
 ]
 
 #: Exact substring removal and tokenizer ids are beyond SQL; tests hold each stage against brute force.
