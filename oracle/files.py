@@ -344,6 +344,17 @@ def sql() -> dict[str, str]:
         FROM (SELECT p.*, k.name, k.k % 23 = 0 AS o, k.k % 19 = 0 AS u FROM o_pref p JOIN v_packages k USING (package_id)) t""",
         pre,
     )
+    words = "array_to_string(list_transform(json_extract(value, '$.args[*]'), lambda a: CASE json_type(a) WHEN 'VARCHAR' THEN a->>'$' WHEN 'BOOLEAN' THEN CASE a::VARCHAR WHEN 'true' THEN 'True' ELSE 'False' END WHEN 'NULL' THEN 'None' ELSE a::VARCHAR END), ' ')"
+    hits = " UNION ALL ".join(
+        f"SELECT config_id, 'MCP server ' || path || ': ' || {lit(d)} || ' in command: ' || command AS finding FROM o_commands WHERE {m('command', p, 'i')}" for d, _, p in V.SUSPICIOUS_TEXT
+    )
+    q["command_findings"] = with_views(
+        hits,
+        f"""o_commands AS (SELECT config_id, CASE WHEN fullkey = '$' THEN 'root' ELSE replace(substr(fullkey, 3), '"', '') END AS path,
+          (value->>'$.command') || CASE WHEN json_type(value, '$.args') IS NULL THEN ' ' WHEN json_type(value, '$.args') = 'ARRAY' THEN ' ' || {words} ELSE '' END AS command
+          FROM (SELECT config_id, t.value, t.fullkey FROM v_configs, json_tree(CASE WHEN json_valid(content) THEN content ELSE '[]' END) t WHERE t.type = 'OBJECT') x
+          WHERE json_type(value, '$.command') = 'VARCHAR' AND value->>'$.command' <> '')""",
+    )
     q["suspicious_text"] = with_views("SELECT package_id, path, description, n FROM o_susp", suspicious("v_files", "package_id, path", "content"))
     hidden = "[\\x{200b}\\x{200c}\\x{200d}\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{feff}]"
     q["hidden_text"] = with_views(

@@ -53,3 +53,23 @@ def carried(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
         .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_earlier"))["v"])
         .drop("_range", "_value", "_earlier")
     )
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, width: int = WIDTH) -> DataFrame:
+    """Row number (from 1) per key in ascending ``order``, whose last column is an integer and makes rows different.
+
+    The window runs inside ranges of that integer (of equal other order columns); one count per range carries over.
+    """
+    *coarse, fine = order
+    ranged = df.withColumn("_range", F.floor(F.col(fine) / width))
+    groups = [*keys, *coarse, "_range"]
+    before = Window.partitionBy(*keys).orderBy(*coarse, "_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*groups).orderBy(fine)
+    return (
+        ranged.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, groups)
+        .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
+        .drop("_range", "_local", "_before")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden import values as V
 from sparkwarden.functions import patterns as P
+from sparkwarden.functions.ordered import row_numbers
 from sparkwarden.functions.ordered import previous
 
 
@@ -193,10 +194,13 @@ def top_mentions(mentions: DataFrame, keep: int | None = None) -> DataFrame:
     scored = mentions.filter(~F.col("author_query")).select(
         "package_id", "pos", "title", relevance(F.col("title"), F.col("description"), F.col("package")).alias("relevance")
     )
-    order = Window.partitionBy("package_id").orderBy(F.desc("relevance"), "pos")
     # Irrelevant mentions rank below all relevant ones, so they may go before anything is shuffled.
-    top = scored.filter(F.col("relevance") > 10).withColumn("rank", F.row_number().over(order))
-    return top if keep is None else top.filter(F.col("rank") <= keep)
+    found = scored.filter(F.col("relevance") > 10)
+    if keep is None:  # all ranks, however many mentions one package has
+        ranked = row_numbers(found.withColumn("_below", -F.col("relevance")), ["package_id"], ["_below", "pos"], "rank")
+        return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_below")
+    order = Window.partitionBy("package_id").orderBy(F.desc("relevance"), "pos")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
 def author_mentions(mentions: DataFrame, look: int | None = None) -> DataFrame:

@@ -115,8 +115,10 @@ def _commands(value: object, path: str, out: list[dict]) -> None:
 
 
 def _config_walk(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def walk(text: str) -> list[dict]:
+    def walk(text: str | None) -> list[dict]:
         out: list[dict] = []
+        if text is None:
+            return out
         try:
             _commands(json.loads(text), "", out)
         except (ValueError, RecursionError):  # not JSON, or nested beyond what can be walked: no commands
@@ -127,26 +129,35 @@ def _config_walk(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(walk)
 
 
-def config_commands(configs: DataFrame) -> DataFrame:
+def config_commands(configs: DataFrame, limit: int | None = None) -> DataFrame:
     """Findings in agent configs: commands first, then raw text whose prefix is new.
 
     Command findings all start with the server name, so a raw finding, which starts with its
     pattern description, is new exactly when no such server name exists.
     """
+    return command_findings(configs, limit).unionByName(suspicious_findings(configs))
+
+
+def command_findings(configs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Suspicious commands of agent configs: whole, or their first ``limit`` characters and how many are left out."""
     keys = [c for c in configs.columns if c != "content"]
     walked = configs.select(*keys, "content", F.pandas_udf(_config_walk, "array<struct<path:string,command:string>>")("content").alias("commands"))
+    def shown(command: Column) -> Column:
+        if limit is None:
+            return command
+        more = F.concat(F.substring(command, 1, limit), F.lit("... ["), (F.length(command) - limit).cast("string"), F.lit(" more characters]"))
+        return F.when(F.length(command) > limit, more).otherwise(command)
+
     tests = lambda c: F.array_compact(
         F.array(*[
             F.when(
                 P.found(c["command"], p, ignore_case=True),
-                F.concat(F.lit("MCP server "), c["path"], F.lit(f": {d} in command: "), F.substring(c["command"], 1, 80)),
+                F.concat(F.lit("MCP server "), c["path"], F.lit(f": {d} in command: "), shown(c["command"])),
             )
             for d, _, p in V.SUSPICIOUS_TEXT
         ])
     )
-    structured = walked.select(*keys, F.explode(F.flatten(F.transform("commands", tests))).alias("finding"))
-    raw = suspicious_findings(configs)
-    return structured.unionByName(raw)
+    return walked.select(*keys, F.explode(F.flatten(F.transform("commands", tests))).alias("finding"))
 
 
 # -- files ------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkwarden import values as V
 from sparkwarden.functions import patterns as P
 from sparkwarden.functions.ordered import previous
+from sparkwarden.operators import detectors as DT
 from sparkwarden.operators import evasion as EV
 
 CANARY_MARKER = "/observer-canary"
@@ -212,24 +213,17 @@ def orphan_clones(events: DataFrame) -> DataFrame:
 
 
 # -- runs -------------------------------------------------------------------------------
-#: What a kind of event adds to a run: the events of a run are first reduced to one row per kind, then to one per run.
-def kind_aggregates() -> list[Column]:
-    kind, target = F.col("kind"), F.coalesce("target", F.lit(""))
-    lower, real = F.lower(target), is_real(F.col("source"))
+def kind_aggregates(detectors: list[DT.Detector]) -> list[Column]:
+    """What the events of a kind add to a run: runs are first reduced to one row per kind, then to one."""
     rank = P.severity_rank(F.col("severity"))
     return [
-        F.count_if(real).alias("n_real"),
+        F.count_if(is_real(F.col("source"))).alias("n_real"),
         F.max(F.struct(rank.alias("rank"), (-F.col("seq")).alias("earlier"), "kind")).alias("worst"),
-        F.bool_or((kind == "exec") & lower.contains("postinstall")).alias("hook_exec"),
-        F.bool_or(kind == "connect").alias("connects"),
-        F.bool_or((kind == "write") & target.startswith("/tmp")).alias("tmp_write"),
-        F.bool_or((kind == "connect") & lower.contains("dbus")).alias("dbus"),
-        F.bool_or((kind == "exec") & lower.contains("ptrace")).alias("ptrace"),
-        F.coalesce(F.bool_or((kind == "sleep") & (target.try_cast("bigint") > V.LONG_SLEEP_SECONDS)), F.lit(False)).alias("long_sleep"),
+        *DT.mark_tests(detectors),
     ]
 
 
-def run_aggregates() -> list[Column]:
+def run_aggregates(detectors: list[DT.Detector]) -> list[Column]:
     """The run-level facts from the rows per kind; however many kinds a trace makes up, none is collected."""
     kind, real = F.col("kind"), F.col("n_real") > 0
     some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
@@ -240,35 +234,22 @@ def run_aggregates() -> list[Column]:
         some(real & kind.isin(*V.WRITE_KINDS)).alias("has_write"),
         F.coalesce(F.sum(F.when(kind == "exec", F.col("n_real"))), F.lit(0)).alias("n_exec"),
         F.max("worst").alias("worst"),
-        *[F.bool_or(c).alias(c) for c in ("hook_exec", "connects", "tmp_write", "dbus", "ptrace", "long_sleep")],
+        *DT.mark_sums(detectors),
     ]
 
 
-def observed_categories(drift: Column) -> Column:
-    """Evasion categories a run shows; co-occurrence is enough, order is not considered."""
-    tests = [
-        ("time_bomb", F.col("long_sleep")),
-        ("build_hooks", F.col("hook_exec") & F.col("connects")),
-        ("derived_exfil", F.col("tmp_write") & F.col("connects")),
-        ("direct_xpc", F.col("dbus")),
-        ("anti_debug", F.col("ptrace")),
-        ("parser_partial_drift", drift),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests]))
-
-
-def run_facts(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs with their aggregates; runs without any event stay."""
-    per_kind = events.groupBy("run_id", "kind").agg(*kind_aggregates())
-    facts = runs.join(per_kind.groupBy("run_id").agg(*run_aggregates()), "run_id", "left")
-    facts = facts.fillna(0, ["n_real", "n_kinds", "n_exec"])
-    return facts.fillna(False, ["has_net", "has_write", "hook_exec", "connects", "tmp_write", "dbus", "ptrace", "long_sleep"])
+def run_facts(events: DataFrame, runs: DataFrame, detectors: list[DT.Detector] = DT.PAIRS) -> DataFrame:
+    """Runs with their aggregates and observed categories; runs without any event stay."""
+    per_kind = events.groupBy("run_id", "kind").agg(*kind_aggregates(detectors))
+    facts = runs.join(per_kind.groupBy("run_id").agg(*run_aggregates(detectors)), "run_id", "left")
+    facts = facts.fillna(0, ["n_real", "n_kinds", "n_exec"]).fillna(False, ["has_net", "has_write", *DT.mark_names(detectors)])
+    drift = F.contains("skipped_unexpected", F.lit("parser_partial_drift"))
+    return facts.withColumn("drift", drift).withColumn("categories", DT.observed(detectors)).drop("drift")
 
 
-def trace_correlation(events: DataFrame, runs: DataFrame) -> DataFrame:
+def trace_correlation(events: DataFrame, runs: DataFrame, detectors: list[DT.Detector] = DT.PAIRS) -> DataFrame:
     """Evasion categories confirmed at run time."""
-    drift = F.contains("skipped_unexpected", F.lit("parser_partial_drift"))
-    return run_facts(events, runs).select("run_id", F.explode(observed_categories(drift)).alias("category"))
+    return run_facts(events, runs, detectors).select("run_id", F.explode("categories").alias("category"))
 
 
 def observation_failed() -> Column:
@@ -403,13 +384,14 @@ def first_touches(events: DataFrame, keep: int = 3) -> DataFrame:
     return first.groupBy("run_id").agg(F.array_join(names, ", ").alias("touches"))
 
 
-def decide_trace(events: DataFrame, runs: DataFrame, static: DataFrame | None = None) -> DataFrame:
+def decide_trace(
+    events: DataFrame, runs: DataFrame, static: DataFrame | None = None, detectors: list[DT.Detector] = DT.PAIRS
+) -> DataFrame:
     """Outcome per run, in order of precedence; runs without opinion are left out.
 
     ``static`` may add ``run_id, category, severity`` from the sources of the traced package.
     """
-    drift = F.contains("skipped_unexpected", F.lit("parser_partial_drift"))
-    facts = run_facts(events, runs).withColumn("categories", observed_categories(drift))
+    facts = run_facts(events, runs, detectors)
     if static is None:
         counted = facts.withColumn("n_high", F.lit(0)).withColumn("n_confirmed_high", F.lit(0)).withColumn(
             "n_medium", F.size("categories")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,20 +20,21 @@ def _embedded_objects(replies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first JSON object inside each text, or None.
 
     A JSON object that starts at a given brace ends at one place only, so decoding from each
-    opening brace finds what trying every closing brace would.
+    opening brace finds what trying every closing brace would.  A brace without a key or its closing brace
+    after it starts no object and is passed over, so a run of open braces costs one search.
     """
     decoder = json.JSONDecoder()
+    start = re.compile(r'\{(?=[ \t\n\r]*["}])')
 
     def find(text: str | None) -> str | None:
-        at = -1 if text is None else text.find("{")
-        while at >= 0:
+        for brace in start.finditer(text or ""):
             try:
-                _, end = decoder.raw_decode(text, at)
-                return text[at:end]
+                _, end = decoder.raw_decode(text, brace.start())
+                return text[brace.start() : end]
             except RecursionError:  # nested beyond what a reply may be: no object
                 return None
             except ValueError:
-                at = text.find("{", at + 1)
+                continue
         return None
 
     for batch in replies:

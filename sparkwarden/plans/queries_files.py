@@ -305,6 +305,11 @@ def encoded_runs(spark, sf):
     return TX.encoded_runs(docs.unionByName(pages))
 
 
+@query
+def command_findings(spark, sf):
+    return TX.command_findings(spark_view(spark, sf, "v_configs"))
+
+
 @query
 def config_commands(spark, sf):
     return TX.config_commands(spark_view(spark, sf, "v_configs"))
