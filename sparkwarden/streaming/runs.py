@@ -41,6 +41,12 @@ def discard(spark: SparkSession, folder: str) -> None:
         return
 
 
+def stateful(stream: DataFrame) -> DataFrame:
+    """``stream``, whose session is told to keep state in the store that timers and times to live need."""
+    stream.sparkSession.conf.set(*STATE_STORE)
+    return stream
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, for a result that several branches of a plan need."""
     folder = shared_folder(df.sparkSession)
@@ -72,7 +78,6 @@ def run_available(
     checkpoint between them, so what a later range needs of an earlier one is in the state.
     """
     folder = shared_folder(spark)
-    spark.conf.set(*STATE_STORE)
     for part in slices(source, order, batches):
         part.write.mode("append").parquet(f"{folder}/in")
         out = transform(spark.readStream.schema(source.schema).parquet(f"{folder}/in"))
@@ -101,7 +106,6 @@ def run_updates(
     failure replaces what it wrote before.
     """
     folder = shared_folder(spark)
-    spark.conf.set(*STATE_STORE)
 
     def store(updates: DataFrame, batch: int) -> None:
         updates.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkwarden import values as V
 from sparkwarden.operators import traces as T
+from sparkwarden.streaming.runs import stateful
 
 STITCHED = "run_id string, line_no bigint, pid bigint, tail string"
 
@@ -80,7 +81,7 @@ def stream_stitch(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         T.P.first(F.col("tail"), V.TRACE_RESUMED, 1, dotall=True).alias("call"),
         T.P.first(F.col("tail"), V.TRACE_RESUMED, 2, dotall=True).alias("rest"),
     )
-    whole = split.groupBy("run_id", "pid").transformWithStateInPandas(
+    whole = stateful(split).groupBy("run_id", "pid").transformWithStateInPandas(
         Stitcher(ttl_ms), STITCHED, "Append", "None" if ttl_ms is None else "ProcessingTime"
     )
     return whole.filter(T.P.found(F.col("tail"), V.TRACE_CALL, dotall=True))
@@ -148,7 +149,7 @@ def stream_stuck(ticks: DataFrame, timeout_s: int = V.STUCK_SECONDS, live: bool
     low, high = V.STUCK_SECONDS_RANGE
     limit = max(low, min(timeout_s, high))
     seconds = ticks.select("run_id", F.floor(F.col("ts_ms") / 1000).alias("sec"), F.col("is_event").cast("bigint").alias("n_events"))
-    return seconds.groupBy("run_id").transformWithStateInPandas(
+    return stateful(seconds).groupBy("run_id").transformWithStateInPandas(
         StuckSeconds(limit, live), "run_id string, reason string", "Append", "ProcessingTime" if live else "None"
     )
 
@@ -223,5 +224,5 @@ def stream_run_health(arrivals: DataFrame, runs: DataFrame, idle_ms: int = 600_0
         (F.length(T.P.strip(text)) > 0).alias("is_line"), T.json_event(text).isNotNull().alias("parsed"),
         (event & T.is_real(F.col("source"))).alias("real"), F.col("kind"),
     )
-    kept = marked.groupBy("run_id").transformWithStateInPandas(RunHealth(idle_ms), HEALTH, "Update", "EventTime")
+    kept = stateful(marked).groupBy("run_id").transformWithStateInPandas(RunHealth(idle_ms), HEALTH, "Update", "EventTime")
     return T.with_health(kept.join(runs, "run_id")).select("run_id", "n_real", "n_kinds", "n_exec", "n_lines", "n_events", "failed", "quiet", "drift", "closed")

@@ -21,7 +21,6 @@ class Restarted:
 
     def __init__(self, spark, schema, transform, live=False):
         self.spark, self.schema, self.transform, self.live, self.folder = spark, schema, transform, live, R.shared_folder(spark)
-        spark.conf.set(*R.STATE_STORE)
 
     def feed(self, rows):
         self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
