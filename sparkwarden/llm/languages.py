@@ -9,6 +9,7 @@ spans; the language with most letters is the text's.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,9 @@ SCRIPTS = [
 _FIRST = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({s for _, s in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+#: Number characters that regular expressions take for word characters though they are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def letters_of(text: str | None) -> list[str]:
