@@ -7,12 +7,16 @@ bits, as many keys as give RECALL (an estimate over independent bits) for a pair
 distances, one per fingerprint, discard pairs before sketches are compared: the largest coordinate differences of the
 fingerprints add up to a bound of the differing bits.  Survivors are proposals only; each is verified over the whole sets, and
 only verified pairs link.
+
+A group of n near copies has some n * n / 2 pairs, but n - 1 links connect it.  So a first pass over the keys hands each
+sketch only its nearest earlier one: at most one pair a sketch, verified, and contracted to parts.  A second pass proposes
+all remaining pairs of sketches in different parts, under the same keys, so that no link between parts is lost.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +27,14 @@ from pyspark.sql import functions as F
 from sparkwarden.llm.common import components, stored
 from sparkwarden.llm.simhash import BITS, SEED, majority, pivots
 
-#: Fingerprints of a sketch; bits of a key.
-WORDS, KEY_BITS = 4, 16
+#: Fingerprints of a sketch; bits of a key at least, and sketches that would share a key of random bits at most.
+WORDS, KEY_BITS, SHARE = 4, 16, 4
 #: Share of pairs of just the similarity asked for that meet under a key, and that lie within the radius.
 RECALL, WITHIN = 0.95, 0.99
-#: Rows of a key whose pairs are all proposed.  In larger keys each row proposes its NEAREST, and a tree of shortest links connects them.
-ALL_PAIRS, NEAREST = 64, 4
 #: Rows of a key that are compared in one place; larger keys are cut into blocks, and blocks meet in pairs.
 BLOCK = 2048
-FAR = np.uint16(1 << 15)
+#: Pairs that are compared at a time; groups of up to SMALL rows go through the comparison side by side.
+AT_ONCE, SMALL = 1 << 17, 16
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -57,13 +60,18 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def plan(similarity: float) -> tuple[int, int]:
-    """Radius in bits, and number of keys, for pairs of this similarity."""
+def key_bits(n: int) -> int:
+    """Bits of a key for ``n`` sketches: they grow with the logarithm, so that keys don't fill up."""
+    return max(KEY_BITS, math.ceil(math.log2(max(1, n / SHARE))))
+
+
+def plan(similarity: float, width: int = KEY_BITS) -> tuple[int, int]:
+    """Radius in bits, and number of keys of ``width`` bits, for pairs of this similarity."""
     bits = WORDS * BITS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     share = [math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)]
     radius = next(r for r in range(bits + 1) if sum(share[: r + 1]) >= WITHIN)
-    agree = [math.comb(bits - d, KEY_BITS) / math.comb(bits, KEY_BITS) for d in range(bits + 1)]
+    agree = [math.comb(bits - d, width) / math.comb(bits, width) for d in range(bits + 1)]
     tables = 1
     while sum(s * (1 - (1 - a) ** tables) for s, a in zip(share, agree, strict=True)) < RECALL:
         tables += 1
@@ -91,36 +99,37 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, set binary, {SKETCH}")
 
 
-def _keys(words: np.ndarray, tables: int) -> np.ndarray:
+def _keys(words: np.ndarray, tables: int, width: int) -> np.ndarray:
     """The keys (columns) of each sketch (rows)."""
     rng = np.random.default_rng(SEED)
     bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
-    weights = 1 << np.arange(KEY_BITS)
-    return np.stack([(t << KEY_BITS) + bits[:, rng.choice(WORDS * BITS, KEY_BITS, replace=False)] @ weights for t in range(tables)], axis=1).astype(np.int32)
+    weights = 1 << np.arange(width, dtype=np.int64)
+    return np.stack([(t << width) + bits[:, rng.choice(WORDS * BITS, width, replace=False)] @ weights for t in range(tables)], axis=1)
 
 
 def _words(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(w).to_numpy().view(np.uint64) for w in WORD_NAMES], axis=1)
 
 
-def keyed(classes: DataFrame, tables: int) -> DataFrame:
-    """k, block, other, side, first and the sketch: every class under each of its keys; blocks as in :func:`simhash.link_keys`."""
+def keyed(classes: DataFrame, tables: int, width: int) -> DataFrame:
+    """k, block, other, side, first, part and the sketch: every class under each of its keys; blocks as in :func:`simhash.link_keys`."""
+    carried = ["first", "part", *WORD_NAMES]
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, n = np.unique(_keys(_words(batch), tables), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.int64())], ["k", "n"])
+            k, n = np.unique(_keys(_words(batch), tables, width), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["k", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 again = np.repeat(np.arange(batch.num_rows), tables)
-                columns = [batch.column(c).take(pa.array(again)) for c in ("first", *WORD_NAMES)]
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(_words(batch), tables).ravel(), pa.int32()), *columns], ["k", "first", *WORD_NAMES])
+                columns = [batch.column(c).take(pa.array(again)) for c in carried]
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(_words(batch), tables, width).ravel(), pa.int64()), *columns], ["k", *carried])
 
-    heavy = stored(classes.select(*WORD_NAMES).mapInArrow(sizes, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK), "heavy-keys")
-    rows = classes.select("first", *WORD_NAMES).mapInArrow(run, f"k int, first long, {SKETCH}").join(heavy, "k", "left")
+    heavy = stored(classes.select(*WORD_NAMES).mapInArrow(sizes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK), "heavy-keys")
+    rows = classes.select(*carried).mapInArrow(run, f"k long, first long, part long, {SKETCH}").join(heavy, "k", "left")
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("first"), count).cast("int")
     met = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(-1).alias("b"), F.lit(-1).alias("o"), F.lit(0).alias("s")))).otherwise(
@@ -129,7 +138,7 @@ def keyed(classes: DataFrame, tables: int) -> DataFrame:
             lambda o: F.struct(F.least(block, o).alias("b"), F.greatest(block, o).alias("o"), F.when(block <= o, 0).otherwise(1).alias("s")),
         )
     )
-    return rows.select("k", F.explode(met).alias("m"), "first", *WORD_NAMES).select("k", F.col("m.b").alias("block"), F.col("m.o").alias("other"), F.col("m.s").alias("side"), "first", *WORD_NAMES)
+    return rows.select("k", F.explode(met).alias("m"), *carried).select("k", F.col("m.b").alias("block"), F.col("m.o").alias("other"), F.col("m.s").alias("side"), *carried)
 
 
 def _tables(words: np.ndarray) -> np.ndarray:
@@ -137,108 +146,125 @@ def _tables(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words[:, :, None] ^ pivots()[None, None, :]).astype(np.int8)
 
 
-def _close(words: np.ndarray, tables: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs (i, j) are within ``radius`` bits: first by the tables, then bit by bit."""
-    out = np.abs(tables[i] - tables[j]).max(axis=2).sum(axis=1, dtype=np.int64) <= radius
-    out[out] = np.bitwise_count(words[i[out]] ^ words[j[out]]).sum(axis=1, dtype=np.int64) <= radius
-    return out
-
-
-def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(left), len(right)), np.uint16)
+def _close(words: np.ndarray, tables: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those pairs (i, j) within ``radius`` bits, and their distances: first by the tables, then bit by bit."""
+    near = np.zeros(len(i), np.int64)
     for w in range(WORDS):
-        out += np.bitwise_count(left[:, w][:, None] ^ right[:, w][None, :])
-    return out
-
-
-def _proposed(distance: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a symmetric table: each row's NEAREST within the radius, and a tree of shortest links of each connected part."""
-    m = len(distance)
-    near = np.argpartition(distance, min(NEAREST, m) - 1, axis=1)[:, :NEAREST]
-    i, j = np.repeat(np.arange(m), near.shape[1]), near.ravel()
-    keep = distance[i, j] <= radius
-    best, source, left = np.full(m, FAR), np.zeros(m, np.int64), np.ones(m, bool)
-    a, b = [], []
-    for _ in range(m):
-        x = int(np.argmin(np.where(left, best, FAR + 1)))
-        if best[x] <= radius:
-            a.append(source[x])
-            b.append(x)
-        left[x] = False
-        closer = left & (distance[x] < best)
-        best[closer], source[closer] = distance[x][closer], x
-    return np.concatenate((i[keep], np.array(a, np.int64))), np.concatenate((j[keep], np.array(b, np.int64)))
-
-
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a < b) of classes (first, sketch) to verify."""
-    radius, tables = plan(similarity)
+        near += np.abs(tables[i, w] - tables[j, w]).max(axis=1)
+    i, j = i[near <= radius], j[near <= radius]
+    distance = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+    keep = distance <= radius
+    return i[keep], j[keep], distance[keep]
+
+
+def _met(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Close pairs (i, j, distance) of columns of ``rows`` (k, block, other, side, first, part, sketch), sorted by group; of different parts."""
+    if not rows.shape[1]:
+        return
+    part, words = rows[5], np.ascontiguousarray(rows[6:].T).view(np.uint64)
+    tables = _tables(words)
+    starts = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
+    sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
+    apart = rows[1, starts] != rows[2, starts]
+    group = np.repeat(np.arange(len(starts)), sizes)
+    small = (sizes <= SMALL) & ~apart
+    index = np.flatnonzero(np.repeat(small & (sizes > 1), sizes))
+    for shift in range(1, SMALL):  # the small groups, side by side
+        at = np.flatnonzero(group[index[:-shift]] == group[index[shift:]])
+        if not len(at):
+            break
+        for x in range(0, len(at), AT_ONCE):
+            i, j = index[at[x : x + AT_ONCE]], index[at[x : x + AT_ONCE] + shift]
+            other = part[i] != part[j]
+            yield _close(words, tables, i[other], j[other], radius)
+    for s, size, two in zip(starts[~small].tolist(), sizes[~small].tolist(), apart[~small].tolist(), strict=True):
+        at = np.arange(s, s + size)
+        left, right = (at[rows[3, at] == 0], at[rows[3, at] == 1]) if two else (at, at)
+        if not len(left) or not len(right):
+            continue
+        step = max(1, AT_ONCE // len(right))
+        for x in range(0, len(left), step):
+            some = left[x : x + step]
+            differ = part[some][:, None] != part[right][None, :]
+            if not two:
+                differ &= some[:, None] < right[None, :]
+            i, j = np.nonzero(differ)
+            yield _close(words, tables, some[i], right[j], radius)
+
+
+def _passed(classes: DataFrame, bits: tuple[int, int, int], found: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``found`` over the sorted rows of whole keys (or blocks of them); ``bits`` are the keys, their width and the radius."""
+    tables, width, _ = bits
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5 + WORDS, 0), np.int64)
+        held = np.zeros((6 + WORDS, 0), np.int64)
         for batch in batches:
             rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
             # The last group may go on in the next batch.
             changes = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
             cut = int(changes[-1]) + 1 if len(changes) else 0
-            yield found(rows[:, :cut])
+            yield from found(rows[:, :cut])
             held = rows[:, cut:]
-        yield found(held)
-
-    def found(rows: np.ndarray) -> pa.RecordBatch:
-        first, words = rows[4], np.ascontiguousarray(rows[5:].T).view(np.uint64)
-        starts = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))) if rows.shape[1] else np.zeros(0, int)
-        sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
-        apart = rows[1, starts] != rows[2, starts]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        all_pairs = (sizes <= ALL_PAIRS) & ~apart
-        group = np.repeat(np.arange(len(starts)), sizes)
-        index = np.flatnonzero(np.repeat(all_pairs & (sizes > 1), sizes))
-        some = words[index]
-        tables = _tables(some)
-        for shift in range(1, ALL_PAIRS):  # all pairs of the small groups, side by side
-            i = np.flatnonzero(group[index[:-shift]] == group[index[shift:]])
-            if not len(i):
-                break
-            for at in range(0, len(i), 1 << 16):
-                x = i[at : at + (1 << 16)]
-                x = x[_close(some, tables, x, x + shift, radius)]
-                a.append(first[index[x]])
-                b.append(first[index[x + shift]])
-        for s, size, two in zip(starts[~all_pairs].tolist(), sizes[~all_pairs].tolist(), apart[~all_pairs].tolist(), strict=True):
-            at = np.arange(s, s + size)
-            if two:
-                side = rows[3, at]
-                at = np.concatenate((at[side == 0], at[side == 1]))
-                k = int((side == 0).sum())
-                distance = np.full((size, size), FAR)
-                distance[:k, k:] = _distances(words[at[:k]], words[at[k:]])
-                distance[k:, :k] = distance[:k, k:].T
-            else:
-                distance = _distances(words[at], words[at])
-                np.fill_diagonal(distance, FAR)
-            i, j = _proposed(distance, radius)
-            a.append(first[at[i]])
-            b.append(first[at[j]])
-        x, y = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+        yield from found(held)
 
     order = ["k", "block", "other"]
-    return keyed(classes, tables).repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return keyed(classes, tables, width).repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def nearest(classes: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
+    """first, near: every class (first, part, sketch) with another close one, and the nearest of these with a smaller ``first``, or null."""
+    radius = bits[2]
 
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = rows[4]
+        best: list[np.ndarray] = []  # first, distance, near; radius + 1 and itself where there is only a later one
+        for i, j, distance in _met(rows, radius):
+            a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
+            some = np.concatenate((np.stack((b, distance, a)), np.stack((a, np.full(len(a), radius + 1), a))), axis=1)
+            best.append(_lowest(some))
+            if sum(x.shape[1] for x in best) > 4 * AT_ONCE:
+                best = [_lowest(np.concatenate(best, axis=1))]
+        if best:
+            out = _lowest(np.concatenate(best, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["first", "distance", "near"])
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose sets of shingles have the similarity."""
+    rows = _passed(classes, bits, found, "first long, distance long, near long")
+    least = rows.groupBy("first").agg(F.min(F.struct("distance", "near")).alias("m"))
+    return least.select("first", F.when(F.col("m.near") < F.col("first"), F.col("m.near")).alias("near"))
+
+
+def _lowest(rows: np.ndarray) -> np.ndarray:
+    """The smallest (distance, near) of each first."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))] if rows.shape[1] else rows
+
+
+def between(classes: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
+    """Pairs (a < b) of close classes (first, part, sketch) in different parts."""
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = rows[4]
+        for i, j, _ in _met(rows, bits[2]):
+            pairs = np.unique(np.stack((np.minimum(first[i], first[j]), np.maximum(first[i], first[j]))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+
+    return _passed(classes, bits, found, "a long, b long").distinct()
+
+
+def hashed(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, hashes: the set of shingles of those documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = stored(docs.select("doc_id", "text").join(met, "doc_id").mapInArrow(run, "doc_id long, hashes array<long>"), "shingles")
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def verified(whole: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of doc_ids whose sets of shingles (``whole``: doc_id, hashes) have the similarity."""
     sides = [whole.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"_{c}")) for c in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     shared = F.size(F.array_intersect("_a", "_b"))
@@ -251,6 +277,15 @@ def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFram
     ``docs`` has a doc_id of its own for each row; a null text is empty, and texts without a word are one set.
     """
     classes = stored(sets(docs, width).groupBy("set").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in WORD_NAMES]), "sets")
-    pairs = stored(candidates(classes, similarity), "candidates")
-    joined = components(verified(docs, pairs, width, similarity))
+    own = classes.select("first", F.col("first").alias("part"), *WORD_NAMES)
+    bits = key_bits(classes.count())
+    radius, tables = plan(similarity, bits)
+    near = stored(nearest(own, (tables, bits, radius)), "nearest")
+    whole = stored(hashed(docs, near.select(F.col("first").alias("doc_id")), width), "shingles")
+    links = stored(verified(whole, near.where("near is not null").select(F.col("near").alias("a"), F.col("first").alias("b")), similarity), "links")
+    parts = components(links).select(F.col("node").alias("first"), F.col("component").alias("_part"))
+    met = own.join(near.select("first"), "first", "left_semi").join(parts, "first", "left")
+    met = stored(met.select("first", F.coalesce("_part", "part").alias("part"), *WORD_NAMES), "parts")
+    rest = stored(between(met, (tables, bits, radius)), "candidates")
+    joined = components(links.unionByName(verified(whole, rest, similarity)))
     return classes.select("first").join(joined.withColumnRenamed("node", "first"), "first", "left").select("first", F.coalesce("component", "first").alias("component_id"))

@@ -60,27 +60,91 @@ def test_only_verified_pairs_link(spark):
     a = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(0, a), (1, a.replace("ten", "x")), (2, a.upper()), (3, ""), (4, None), (5, "one")], "doc_id long, text string")
     pairs = spark.createDataFrame([(0, 1), (0, 5)], "a long, b long")
-    assert copies.verified(docs, pairs, 5, 0.8).count() == 0 and copies.verified(docs, pairs, 5, 0.7).count() == 1
+    whole = copies.hashed(docs, docs.select("doc_id"), 5)
+    assert copies.verified(whole, pairs, 0.8).count() == 0 and copies.verified(whole, pairs, 0.7).count() == 1
     group = {r["first"]: r["component_id"] for r in copies.groups(docs).collect()}
     assert group == {0: 0, 1: 1, 3: 3, 5: 5}
 
 
-def test_large_keys_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(copies, "BLOCK", 40)
-    monkeypatch.setattr(copies, "ALL_PAIRS", 16)
-    rng = random.Random(2)
+def edited(n, seed=2):
+    """A text of 400 words, and n copies of it with one word replaced."""
+    rng = random.Random(seed)
     base = [f"w{rng.randrange(4000)}" for _ in range(400)]
     texts = [" ".join(base)]
-    for i in range(250):
+    for i in range(n):
         copy = list(base)
         copy[rng.randrange(400)] = f"new{i}"
         texts.append(" ".join(copy))
+    return texts
+
+
+def own_classes(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    classes = copies.sets(docs, 5).groupBy("set").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in copies.WORD_NAMES])
-    assert copies.candidates(classes, 0.8).count() < 15_000  # all pairs are 31,375
+    found = copies.sets(docs, 5).groupBy("set").agg(F.min("doc_id").alias("first"), *[F.first(w).alias(w) for w in copies.WORD_NAMES])
+    return docs, found.withColumn("part", F.col("first"))
+
+
+def test_large_keys_meet_in_blocks(spark, monkeypatch):
+    radius, tables = copies.plan(0.8)
+    docs, own = own_classes(spark, edited(250))
+    expected = {tuple(r) for r in copies.between(own, (tables, 16, radius)).collect()}
+    assert len(expected) == 251 * 250 / 2
+    monkeypatch.setattr(copies, "BLOCK", 40)
+    monkeypatch.setattr(copies, "AT_ONCE", 100)
+    assert {tuple(r) for r in copies.between(own, (tables, 16, radius)).collect()} == expected
+    near = copies.nearest(own, (tables, 16, radius)).collect()
+    assert len(near) == 251 and [r["first"] for r in near if r["near"] is None] == [0]
+    assert {r["component_id"] for r in copies.groups(docs).collect()} == {0}
+
+
+def test_close_pairs_against_brute_force(spark):
+    """Groups of all sizes, parts respected: the pairs under a shared key and within the radius, and each one's nearest earlier."""
+    docs, own = own_classes(spark, planted(7)[:240] + edited(60))
+    radius, tables = copies.plan(0.8)
+    own = own.withColumn("part", F.when(F.col("first") % 3 == 0, 0).otherwise(F.col("first")))
+    rows = own.select("first", "part", *copies.WORD_NAMES).collect()
+    keys = copies._keys(copies.np.array([r[2:] for r in rows], copies.np.int64).view(copies.np.uint64), tables, 16)
+    bits = lambda r: sum((w & ((1 << 64) - 1)) << (64 * i) for i, w in enumerate(r[2:]))
+    close, least = set(), {}
+    for i, x in enumerate(rows):
+        for j in range(i):
+            y = rows[j]
+            d = (bits(x) ^ bits(y)).bit_count()
+            if x[1] != y[1] and d <= radius and (keys[i] == keys[j]).any():
+                a, b = sorted((x[0], y[0]))
+                close.add((a, b))
+                least[b] = min(least.get(b, (d, a)), (d, a))
+    assert len(close) > 1000
+    assert {tuple(r) for r in copies.between(own, (tables, 16, radius)).collect()} == close
+    assert {r["first"]: r["near"] for r in copies.nearest(own, (tables, 16, radius)).collect()} == {x: least[x][1] if x in least else None for p in close for x in p}
+
+
+def test_a_large_group_proposes_few_pairs(spark, monkeypatch):
+    """A thousand near copies: one pair each, none left between parts."""
+    tried = []
+    real = copies.verified
+    monkeypatch.setattr(copies, "verified", lambda whole, pairs, s: (tried.append(pairs.count()), real(whole, pairs, s))[1])
+    docs, _ = own_classes(spark, edited(1000))
     assert {r["component_id"] for r in copies.groups(docs).collect()} == {0}
+    assert tried == [1000, 0]
+
+
+def test_second_pass_loses_no_link(spark, monkeypatch):
+    """Where no nearest link verifies, the second pass alone gives the same groups."""
+    docs = spark.createDataFrame(list(enumerate(planted(9)[:150] + edited(30))), "doc_id long, text string")
+    expected = {r["first"]: r["component_id"] for r in copies.groups(docs).collect()}
+    real = copies.nearest
+    monkeypatch.setattr(copies, "nearest", lambda *a: real(*a).withColumn("near", F.lit(None).cast("long")))
+    assert {r["first"]: r["component_id"] for r in copies.groups(docs).collect()} == expected
+
+
+def test_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert copies.groups(docs).count() == 0
 
 
 def test_plan():
     radius, tables = copies.plan(0.8)
     assert 40 < radius < 64 and 30 < tables < 80 and copies.plan(0.9)[1] < tables
+    assert copies.key_bits(0) == copies.key_bits(4 << 16) == 16 and copies.key_bits(4 << 20) == 20
+    assert copies.plan(0.8, 20)[0] == radius and tables < copies.plan(0.8, 20)[1] < 2.5 * tables
