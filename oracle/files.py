@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle import lit, lits, lst, m, name, oname, orank, rank, rx
+from oracle.names import typos
 from sparkwarden import values as V
 from sparkwarden.plans.views import AS_OF, with_views
 
@@ -169,8 +170,9 @@ def counted(src: str = "o_signals") -> str:
         WHERE z.hi = 0 AND z.n >= {V.COLLAPSE_THRESHOLD} GROUP BY s.package_id, s.category),
     o_counts AS (SELECT package_id, count(*) AS n_signals, count(*) FILTER (WHERE NOT evasion AND severity IN ('HIGH', 'CRITICAL')) AS n_high,
         count(DISTINCT key) FILTER (WHERE severity = 'MEDIUM' OR (evasion AND severity IN ('HIGH', 'CRITICAL'))) AS n_medium,
-        count(DISTINCT category) FILTER (WHERE evasion AND severity IN ('MEDIUM', 'HIGH', 'CRITICAL')) AS ev_medium FROM o_kept GROUP BY package_id),
-    o_levels AS (SELECT *, CASE WHEN n_high >= 2 THEN 'CRITICAL' WHEN n_high = 1 THEN 'HIGH' WHEN n_medium >= 3 THEN 'HIGH' WHEN n_medium >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM o_counts)"""
+        count(DISTINCT category) FILTER (WHERE evasion AND severity IN ('MEDIUM', 'HIGH', 'CRITICAL')) AS ev_medium,
+        count(*) FILTER (WHERE category = 'typosquat_candidate') AS n_typo FROM o_kept GROUP BY package_id),
+    o_levels AS (SELECT *, CASE WHEN n_high >= 2 THEN 'CRITICAL' WHEN n_high = 1 THEN 'HIGH' WHEN n_medium >= 3 OR n_medium + n_typo >= 4 THEN 'HIGH' WHEN n_medium + n_typo >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM o_counts)"""
 
 
 DECIDE = """SELECT package_id, level, reason, {oname} AS outcome, o AS exit_code, o = 2 AS should_block_install FROM (
@@ -194,8 +196,9 @@ META = """o_meta(package_id, category, severity, text) AS (
 def prefiltered() -> str:
     return ", ".join(
         [
-            signals(), LISTED, META,
-            """o_all AS (SELECT s.* FROM (SELECT * FROM o_signals UNION ALL SELECT package_id, category, severity, text, false FROM o_meta) s
+            signals(), LISTED, META, typos(),
+            """o_all AS (SELECT s.* FROM (SELECT * FROM o_signals UNION ALL SELECT package_id, category, severity, text, false FROM o_meta
+                UNION ALL SELECT package_id, 'typosquat_candidate', 'MEDIUM', text, false FROM o_typos) s
               WHERE s.package_id IN (SELECT package_id FROM o_listed WHERE level IS NULL))""",
             counted("o_all"),
             """o_pre AS (SELECT l.package_id, coalesce(l.level, v.level, 'NONE') AS level,

@@ -16,6 +16,37 @@ def popular() -> str:
       WHERE updated_at >= {AS_OF} - 7 * 86400 AND ecosystem IN (SELECT ecosystem FROM o_builtin))"""
 
 
+def candidates() -> str:
+    """Pairs of a package's name and a popular one whose lengths and shared characters allow the similarity."""
+    t = V.TYPO_SIMILARITY
+    return f"""{popular()}, o_cand AS (SELECT ecosystem, compared, known FROM (
+          SELECT p.ecosystem, p.name AS compared, k.name AS known, list_reduce([0] || list_transform(list_distinct(string_split(lower(p.name), '')),
+            lambda c: least(length(p.name) - length(replace(lower(p.name), c, '')), length(k.name) - length(replace(lower(k.name), c, '')))::INT), lambda a, b: a + b) AS overlap
+          FROM (SELECT DISTINCT ecosystem, name FROM v_packages) p JOIN o_popular k USING (ecosystem)
+          WHERE p.name <> k.name AND 2.0 * least(length(p.name), length(k.name)) / (length(p.name) + length(k.name)) >= {t}) z
+        WHERE 2.0 * overlap / (length(compared) + length(known)) >= {t})"""
+
+
+def typos() -> str:
+    """Packages with look-alike names.
+
+    Matching characters of two names: those of the longest common run (the earliest one in the first name, then in the
+    second), and those of what is left and right of it, level by level.  ``best`` holds a run's length and place in one number.
+    """
+    best = """list_max(list_transform(range(1, length(a) + 1), lambda i: coalesce(list_max(list_filter(range(1, length(a) - i + 2),
+            lambda n: contains(b, substr(a, i, n)))), 0) * 1000 - i))"""
+    return f"""{candidates()}, o_matched AS (WITH RECURSIVE o_cut AS (
+          SELECT ecosystem, compared, known, lower(compared) AS a, lower(known) AS b, 0 AS matched FROM o_cand
+          UNION ALL SELECT ecosystem, compared, known, CASE s WHEN 1 THEN substr(a, 1, i - 1) ELSE substr(a, i + run) END,
+            CASE s WHEN 1 THEN substr(b, 1, j - 1) ELSE substr(b, j + run) END, CASE s WHEN 1 THEN run ELSE 0 END
+          FROM (SELECT *, strpos(b, substr(a, i, run)) AS j FROM (SELECT *, (best + 999) // 1000 AS run, (best + 999) // 1000 * 1000 - best AS i FROM (
+            SELECT *, {best} AS best FROM o_cut WHERE a <> '' AND b <> '') x) y WHERE run > 0) z, (VALUES (1), (2)) v(s))
+        SELECT ecosystem, compared, known, 2.0 * sum(matched) / (length(compared) + length(known)) AS similarity FROM o_cut GROUP BY ecosystem, compared, known),
+      o_typos AS (SELECT package_id, name, n_matches, 'typosquat_candidate: similar to [''' || names || ''']' AS text FROM v_packages JOIN (
+        SELECT ecosystem, compared AS name, count(*) AS n_matches, array_to_string(list_sort(list(known || ' (' || round_even(similarity * 100, 0)::INT || '%)')), ''', ''') AS names
+        FROM o_matched WHERE similarity >= {V.TYPO_SIMILARITY} GROUP BY ALL) l USING (ecosystem, name))"""
+
+
 def numbered(file_name: str) -> str:
     """Lines of one kind of manifest with their numbers."""
     return f"""o_lines AS (SELECT lock_id, unnest(generate_series(1, len(p))) AS n, unnest(p) AS l FROM (
@@ -127,17 +158,8 @@ def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["popular_dim"] = with_views("SELECT ecosystem, name FROM o_popular", popular())
     q["popular_union"] = with_views("SELECT ecosystem, count(*) AS n_names FROM o_popular GROUP BY ecosystem", popular())
-    half, t = "0.425", V.TYPO_SIMILARITY
-    q["typosquat_candidates"] = with_views(
-        f"""SELECT ecosystem, compared, known FROM (
-          SELECT p.ecosystem, p.name AS compared, k.name AS known, list_reduce([0] || list_transform(list_distinct(string_split(lower(p.name), '')),
-            lambda c: least(length(p.name) - length(replace(lower(p.name), c, '')), length(k.name) - length(replace(lower(k.name), c, '')))::INT), lambda a, b: a + b) AS overlap
-          FROM (SELECT DISTINCT ecosystem, name FROM v_packages) p JOIN o_popular k USING (ecosystem)
-          WHERE p.name <> k.name AND 2.0 * least(length(p.name), length(k.name)) / (length(p.name) + length(k.name)) >= {t}) z
-        WHERE 2.0 * overlap / (length(compared) + length(known)) >= {t}""",
-        popular(),
-    )
-    del half
+    q["typosquat_candidates"] = with_views("SELECT ecosystem, compared, known FROM o_cand", candidates())
+    q["typosquat"] = with_views("SELECT package_id, name, n_matches, text FROM o_typos", typos())
     q["normalise_refs"] = with_views(
         """SELECT package_id, CASE WHEN name LIKE '@%' THEN '@jsr/' || replace(substring(name, 2), '/', '__') ELSE name END AS npm_name,
           CASE kind WHEN 0 THEN 'github.com/acme/' || base WHEN 1 THEN 'gitlab.com/g/' || base WHEN 2 THEN '' ELSE CASE WHEN repository = '' THEN '' ELSE 'github.com/acme/' || repo END END AS archive_repo,

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from sparkwarden import rules as R
 from sparkwarden.operators import evasion as EV
 from sparkwarden.operators import files as FL
+from sparkwarden.operators import names as N
 from sparkwarden.operators import prefilter as PF
 from sparkwarden.operators import scan as SC
 from sparkwarden.operators import texts as TX
 from sparkwarden.sources import archives as AR
 from sparkwarden.sources import trees as TR
 from sparkwarden.plans.queries import query
+from sparkwarden.plans.queries_names import popular_names
 from sparkwarden.plans.views import AS_OF, spark_view, tables
 
 # Prose lines stay below the default of 5.5 bits; 4.5 makes the query say something.
@@ -243,11 +245,14 @@ def metadata_anomalies(spark, sf):
 
 
 def prefiltered(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefilter rows of every package: files, metadata, lists and look-alike names."""
+    packages = spark_view(spark, sf, "v_packages")
     return PF.prefilter(
-        spark_view(spark, sf, "v_packages"),
+        packages,
         spark_view(spark, sf, "v_files"),
         spark_view(spark, sf, "v_lists"),
         AS_OF,
+        typosquats=N.typosquat(packages, popular_names(spark, sf)),
         entropy_threshold=QUERY_ENTROPY,
     )
 

@@ -10,28 +10,29 @@ from sparkwarden.plans.queries import query
 from sparkwarden.plans.views import AS_OF, spark_view
 
 
-def _popular(spark, sf):
+def popular_names(spark, sf):
+    """Built-in and fresh popular names."""
     return N.popular_dim(N.builtin_popular(spark), spark_view(spark, sf, "v_popular"), AS_OF)
 
 
 @query
 def popular_dim(spark, sf):
-    return _popular(spark, sf)
+    return popular_names(spark, sf)
 
 
 @query
 def popular_union(spark, sf):
-    return _popular(spark, sf).groupBy("ecosystem").agg(F.count("*").alias("n_names"))
+    return popular_names(spark, sf).groupBy("ecosystem").agg(F.count("*").alias("n_names"))
 
 
 @query
 def typosquat_candidates(spark, sf):
-    return N.typosquat_candidates(spark_view(spark, sf, "v_packages"), _popular(spark, sf))
+    return N.typosquat_candidates(spark_view(spark, sf, "v_packages"), popular_names(spark, sf))
 
 
 @query
 def typosquat(spark, sf):
-    return N.typosquat(spark_view(spark, sf, "v_packages"), _popular(spark, sf))
+    return N.typosquat(spark_view(spark, sf, "v_packages"), popular_names(spark, sf))
 
 
 @query

@@ -10,7 +10,7 @@ from sparkwarden.plans.queries import all_queries
 SF = "/root/testdata/sf0.001"
 ORACLES = all_oracles()
 QUERIES = all_queries()
-ROWS_ONLY = {"suspicious_findings", "config_commands", "typosquat"}
+ROWS_ONLY = {"suspicious_findings", "config_commands"}
 
 
 @pytest.fixture(scope="module")
