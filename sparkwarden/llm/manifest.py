@@ -9,7 +9,7 @@ its block, and only the block's top goes on to the next pass, which has ``BLOCK`
 
 Proofs are octopus multiproofs.  Per leaf partition, the wanted leaves are the known nodes of the lowest level; per level,
 what is missing to derive all parents is the union of their siblings less what is known.  The coordinates of that union are joined with
-the stored nodes once; every shared interior node is then derived once, and each leaf's own proof is read off.
+the stored nodes once; every shared interior node is then derived once, and each leaf's own proof is read off and folded up to the root, whether the leaf was changed or not.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def nodes(leaves: DataFrame) -> DataFrame:
 
 
 def proofs(leaves: DataFrame, tree: DataFrame, upper: DataFrame | None = None) -> DataFrame:
-    """PROOFS of the leaves: their siblings in turn, level by level up to the root, and the root that ``other`` gives with them.
+    """PROOFS of the leaves: their siblings in turn, level by level up to the root, and the root that ``other`` folds to with them.
 
     ``leaves`` has id, tree, pos, digest, other (the digest to be checked) and n: all leaves of ``tree`` or any part of them.
     ``upper`` has a row per tree: its root's place ``pos`` of ``n`` in a tree of roots, and that tree's ``siblings`` and ``root``;
@@ -184,8 +184,8 @@ def proofs(leaves: DataFrame, tree: DataFrame, upper: DataFrame | None = None) -
         rows = []
         for key, p, d, other in zip(ids, pos, digests, others, strict=True):
             found = siblings(0, p)
-            # A leaf as it was gives the root that the partition derived; another one is folded by itself.
-            folded = top if other == d else fold(fold(other, p, n, found), up_pos, m, up)
+            # Every proof is checked by itself: the root it gives owes nothing to the root it is compared with.
+            folded = fold(fold(other, p, n, found), up_pos, m, up)
             rows.append((key, d, subroot, top, found, folded))
         return _table(rows, [pa.int64(), *[pa.binary()] * 5], [c.split()[0] for c in PROOFS.split(", ")])
 

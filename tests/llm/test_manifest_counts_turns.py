@@ -220,6 +220,20 @@ def test_proofs_of_some_leaves(spark):
     assert {r["id"]: (r["siblings"].hex(), r["root"].hex()) for r in found} == {p: ("".join(walk(levels, p, "")[0]), levels[-1][0]) for p in (3, 4, 77)}
 
 
+def test_unchanged_leaves_are_folded_too(spark):
+    """A root that the tree does not have is found out by proofs of leaves that nobody changed."""
+    data = [(i, "s", "en", i, f"text {i}") for i in range(20)]
+    leaves = manifest.placed(stored(frame(spark, data).select(
+        F.col("doc_id").alias("id"), manifest.tree_name(F.col("source")).alias("tree"),
+        manifest.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]).alias("digest")).withColumn("other", F.col("digest")), "leaves"))
+    up, forged = hashlib.sha256(b"beside").digest(), hashlib.sha256(b"forged").digest()
+    upper = spark.createDataFrame([("=s", 0, 2, up, forged)], "tree string, pos long, n long, siblings binary, root binary")
+    found = manifest.proofs(leaves, manifest.nodes(leaves), upper).collect()
+    subroot = climb([leaf_of(r) for r in data])[-1][0]
+    assert len(found) == 20
+    assert {(r["root"].hex(), r["folded"].hex()) for r in found} == {(forged.hex(), H(subroot, up.hex()))}
+
+
 # -- conversations --------------------------------------------------------------------------
 def damage_truth(data):
     out = []
