@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.joins import many
 from sparkwarden.operators import decisions as DC
 from sparkwarden.operators import documents as DO
 from sparkwarden.operators import names as N
@@ -25,7 +26,7 @@ def _scan_documents(spark, sf):
     scans = scans_of(spark_view(spark, sf, "v_packages"))
     decisions = rows.select("scan_id", "ord", "outcome", "reason")
     counts = DC.scan_summary(decisions)
-    found = scans.join(counts, "scan_id", "left").fillna(0).join(DC.scan_decisions(scans, decisions), "scan_id")
+    found = scans.join(many(counts), "scan_id", "left").fillna(0).join(many(DC.scan_decisions(scans, decisions)), "scan_id")
     return found.withColumn("lockfile", F.concat(F.lit("scan-"), F.col("scan_id").cast("string"))).withColumn("ecosystem", F.lit("mixed")), rows
 
 
@@ -38,7 +39,7 @@ def scan_payload(spark, sf):
 @query
 def sarif_document(spark, sf):
     scans, rows = _scan_documents(spark, sf)
-    results = DC.sarif_result(DC.report_sarif(rows)).join(rows.select("package_id", "scan_id", "ord"), "package_id")
+    results = DC.sarif_result(DC.report_sarif(rows)).join(many(rows.select("package_id", "scan_id", "ord")), "package_id")
     parts = DO.sarif_parts(scans, results, "sparkwarden", "1.0", "https://example.org/sparkwarden", "supply-chain-risk", "Supply chain risk detection", WIDTH)
     return DO.numbered_parts(parts)
 

@@ -12,6 +12,7 @@ from sparkwarden.operators import decisions as DC
 from sparkwarden.operators import dependencies as D
 from sparkwarden.operators import evasion as EV
 from sparkwarden.operators import names as N
+from sparkwarden.operators import prefilter as PF
 from sparkwarden.operators import traces as T
 from sparkwarden.operators import votes as VT
 from sparkwarden.streaming import traces as ST
@@ -115,6 +116,32 @@ def test_equal_decisions_keep_the_first(spark):
     assert DC.strongest(df, "scan_id", "ord").first()["reason"] == "first"
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_with_a_row_per_package_is_broadcast(spark):
+    """Small as these tables look, they stand for those whose files compress to a few bytes a package."""
+    packages = spark.createDataFrame(
+        [("p0", "npm", "lodash", "a", "", "h", 500, False), ("p1", "npm", "lodashh", "", "", "", 50, False), ("p2", "npm", "blocked", "a", "r", "h", 500, False)],
+        "package_id string, ecosystem string, name string, author string, repository string, homepage string, download_count bigint, has_install_scripts boolean",
+    )
+    files = spark.createDataFrame([("p0", "npm", "p/a.js", "eval(x)"), ("p2", "npm", "p/b.js", "eval(x)"), ("p9", "npm", "p/c.js", "eval(x)")], "package_id string, ecosystem string, path string, content string")
+    lists = spark.createDataFrame([("blocked", "block")], "name string, list string")
+    squats = N.typosquat(packages, spark.createDataFrame([("npm", "lodash")], "ecosystem string, name string"))
+    flags = spark.createDataFrame([("p1", "too large", None)], "package_id string, oversized string, unavailable string")
+    rows = PF.uninspected_override(PF.prefilter(packages, files, lists, 0, typosquats=squats), flags, decide=True)
+    voted = spark.createDataFrame([("p0", "malicious", "v")], "package_id string, outcome string, reason string")
+    final = DC.decide_packages(rows, voted, voted.limit(0), voted.limit(0))
+    assert "BroadcastHashJoin" not in physical(final)
+    scans = spark.createDataFrame([(1,), (2,)], "scan_id bigint")
+    joined = DC.scan_decisions(scans, spark.createDataFrame([(1, 0, "safe", "r")], "scan_id bigint, ord bigint, outcome string, reason string"))
+    assert "BroadcastHashJoin" not in physical(joined)
+    # Files of listed packages and of packages nobody knows fall away where the counts meet the packages.
+    assert sorted((r["package_id"], r["level"], r["outcome"]) for r in rows.collect()) == [("p0", "LOW", "safe"), ("p1", "MEDIUM", "needs_review"), ("p2", "CRITICAL", "malicious")]
+    assert {(r["package_id"], r["outcome"]) for r in final.collect()} == {("p0", "malicious"), ("p1", "needs_review"), ("p2", "malicious")}
+
+
 def test_gate_never_lowers(spark):
     rows = [(v, h, c, m, x, d) for v in range(3) for h in range(3) for c in range(h + 1) for m in range(h, 4) for x in (True, False) for d in (True, False)]
     df = spark.createDataFrame(rows, "v int, h int, c int, m int, x boolean, d boolean")
