@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden import values as V
+from sparkwarden.functions.joins import many
 from sparkwarden.operators.buckets import BucketTable
 from sparkwarden.operators.files import admit_files, tree_hash
 
@@ -77,7 +78,7 @@ def collision_policy(incoming: DataFrame, published: DataFrame, policy: str = "r
     null where the directory carries no provenance of ours.
     """
     taken = published.select("path", F.col("sha256").alias("_sha"), F.lit(True).alias("_taken"))
-    joined = incoming.join(taken, "path", "left")
+    joined = incoming.join(many(taken), "path", "left")
     action = (
         F.when(F.col("verdict") == "malicious", "verdict_malicious")
         .when(F.col("_taken").isNull(), "fresh_directory")
@@ -98,7 +99,7 @@ def publish_plan(
     allowed = publish_gate(reports).filter("publish").select("package_id")
     verdicts = reports.select("package_id", "verdict")
     hashes = tree_hash(files).withColumnRenamed("tree_sha256", "sha256")
-    incoming = hashes.join(allowed, "package_id", "left_semi").join(paths, "package_id").join(verdicts, "package_id")
+    incoming = hashes.join(many(allowed), "package_id", "left_semi").join(many(paths), "package_id").join(many(verdicts), "package_id")
     return collision_policy(incoming, published, policy)
 
 
@@ -112,7 +113,7 @@ def published_files(plan: DataFrame, files: DataFrame) -> DataFrame:
 
 def provenance_rows(plan: DataFrame, urls: DataFrame) -> DataFrame:
     """One provenance record per written package."""
-    return plan.filter("write").join(urls, "package_id", "left").select(
+    return plan.filter("write").join(many(urls), "package_id", "left").select(
         "package_id", "path", "sha256", F.coalesce("verdict", F.lit("unanalyzed")).alias("scan_verdict"), "url"
     )
 
@@ -146,7 +147,7 @@ def publish_files(plan: DataFrame, files: DataFrame, urls: DataFrame, packages:
     staged.write.partitionBy("shard").parquet(f"{target}/files/publish={publish}")
     latest = lambda old, new: old.join(new.select("path"), "path", "left_anti").unionByName(new.select(*old.columns))
     provenance_table(spark, target).upsert(written, latest)
-    seen = plan.filter(F.col("write") | F.col("touch")).select("package_id", "path").join(packages, "package_id")
+    seen = plan.filter(F.col("write") | F.col("touch")).select("package_id", "path").join(many(packages), "package_id")
     fetched = seen.groupBy("name", "version", "registry").agg(F.max("path").alias("path")).withColumn("fetched_at", F.lit(now).cast("bigint"))
     entry_table(spark, target).upsert(fetched, source_index)
 

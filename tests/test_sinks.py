@@ -133,6 +133,14 @@ def test_publish_and_publish_again(spark, tmp_path):
     assert now[0][:2] == ("repos/a/m/f1", "changed") and now[1:] == first[1:]  # only the last publish of a path counts
 
 
+def test_publishing_broadcasts_no_side_with_a_row_per_package(spark):
+    files, reports, paths, urls, packages = publish_tables(spark)
+    plan = S.publish_plan(reports, paths, files, spark.createDataFrame([("repos/a", "0")], "path string, sha256 string"))
+    for df in (plan, S.provenance_rows(plan, urls)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["package_id"], r["reason"]) for r in plan.collect()) == [("a", "reemit"), ("b", "fresh_directory")]
+
+
 def test_failed_publish_leaves_the_old_state(spark, tmp_path, monkeypatch):
     target = str(tmp_path / "store")
     publish(spark, target, 1)
