@@ -44,12 +44,16 @@ _NAMES = sorted({s for _, s in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 #: Number characters that regular expressions take for word characters though they are no letters.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_RUN, _WORD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def letters_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    words = _RUN.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # The set with the number characters is slow to look up, so only runs that hold one are split by it.
+    return [part for word in words for part in ([word] if word.isalpha() else _WORD.findall(word))]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

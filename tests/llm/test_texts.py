@@ -126,6 +126,15 @@ def test_number_characters_are_no_letters():
     assert languages._WORD.findall("x²y 漢字 é½") == ["x", "y", "漢字", "é"]
 
 
+def test_plain_words_skip_the_slow_set(monkeypatch):
+    """The set with the number characters only splits runs that hold one; results are those of the set alone."""
+    texts = ["Mixed ÉCOLE, 漢字 x_y 12a", "x²y 漢字 é½ plain", "ⅷ ² a", "", None]
+    strict = languages._WORD
+    assert [languages.letters_of(t) for t in texts] == [strict.findall((t or "").lower()) for t in texts]
+    monkeypatch.setattr(languages, "_WORD", None)
+    assert languages.letters_of(texts[0]) == ["mixed", "école", "漢字", "x", "y", "a"]
+
+
 def test_languages(docs, small):
     got = languages.predicted(small).join(small.select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got["held_out"]]
