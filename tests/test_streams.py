@@ -132,3 +132,17 @@ def test_slices_bound_a_micro_batch(spark, monkeypatch):
     monkeypatch.setattr(R, "BATCH_ROWS", 50)
     parts = [p.count() for p in R.slices(spark.range(1000).withColumnRenamed("id", "k"), "k", 4)]
     assert len(parts) >= 20 and sum(parts) == 1000 and max(parts) <= 60
+
+
+def test_slices_run_the_plan_once(spark):
+    """What a table is made from is worked out once, however many ranges it arrives in; nulls come first and no row is lost."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return None if x == 7 else x
+
+    source = spark.range(200).select(F.udf(seen, "bigint")("id").alias("k"))
+    parts = [sorted(r["k"] if r["k"] is not None else -1 for r in p.collect()) for p in R.slices(source, "k", 4)]
+    assert made.value == 200
+    assert sum(parts, []) == sorted([-1, *(k for k in range(200) if k != 7)]) and len(parts) >= 4
