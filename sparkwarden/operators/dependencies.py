@@ -298,13 +298,15 @@ def registry_packages(documents: DataFrame) -> DataFrame:
             eco == "pub", F.when(version == "", F.coalesce(at("$.latest"), F.lit("{}"))).otherwise(doc)
         ),
     )
+    # Columns of their own, so that each is worked out once a row and not for every field taken from it.
+    staged = staged.withColumn("_number", F.when(eco == "crates", latest_crate_version(doc, version)))
+    number = F.col("_number")
+    entries = F.from_json(at("$.versions"), "array<string>")
+    found = F.get(F.filter(entries, lambda e: F.get_json_object(e, "$.num") == number), 0)
+    staged = staged.withColumn("_entry", F.when(eco == "crates", F.when(version != "", at("$.version")).otherwise(found)))
+    crate_entry = F.col("_entry")
     release = F.col("_release")
     r = lambda path: F.get_json_object(release, path)
-    entries = F.from_json(at("$.versions"), "array<string>")
-    number = latest_crate_version(doc, version)
-    crate_entry = F.when(version != "", at("$.version")).otherwise(
-        F.get(F.filter(entries, lambda e: F.get_json_object(e, "$.num") == number), 0)
-    )
     c = lambda path: F.get_json_object(crate_entry, path)
     crate_authors = F.array_join(F.from_json(c("$.authors"), "array<string>"), ", ")
     pypi_urls = F.from_json(at("$.info.project_urls"), "map<string,string>")
