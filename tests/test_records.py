@@ -2,11 +2,13 @@
 
 import json
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkwarden import values as V
 from sparkwarden.operators import commands as C
 from sparkwarden.operators import decisions as DC
 from sparkwarden.operators import dependencies as D
@@ -294,3 +296,32 @@ def test_secrets_leave_every_field(spark):
     rows = {r["run_id"]: r for r in T.scrub_tokens(events, tokens).collect()}
     assert (rows["r"]["target"], rows["r"]["raw"], rows["r"]["argv"]) == ("a/[REDACTED]", "x [REDACTED]", ["--key", "k=[REDACTED]"])
     assert rows["q"]["argv"] == ["s3cret"]
+
+
+def test_names_under_a_frequent_token_are_dealt_to_tasks(spark):
+    """Names that all hold the same marks: the pairs are those of all against all, and no side of names is sorted by token."""
+    popular = [f"{a}-{b}" for a in ("left", "right", "lodash") for b in ("pad", "core")]
+    own = popular + [p + "s" for p in popular] + [p.replace("-", "_") for p in popular] + [f"left-pad-{i}" for i in range(40)]
+    df = spark.createDataFrame([("npm", n) for n in own], "ecosystem string, name string")
+    known = spark.createDataFrame([("npm", n) for n in popular], "ecosystem string, name string")
+    pairs = N.typosquat_candidates(df, known)
+    got = {(r["compared"], r["known"]) for r in pairs.collect()}
+
+    def close(a, b):
+        shared = sum((Counter(a) & Counter(b)).values())
+        return a != b and 2 * min(len(a), len(b)) / (len(a) + len(b)) >= V.TYPO_SIMILARITY and 2 * shared / (len(a) + len(b)) >= V.TYPO_SIMILARITY
+
+    assert got == {(a, b) for a in own for b in popular if close(a, b)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "_part" in plan
+
+
+def test_registry_rows_are_dealt_to_all_tasks(spark):
+    """One file of parts is not one task; the rows are those of the view."""
+    from sparkwarden.plans.queries_names import registry_packages
+    from sparkwarden.plans.views import spark_view
+
+    folder = "/root/testdata/sf0.001"
+    assert "RoundRobinPartitioning" in registry_packages(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    plain, dealt = spark_view(spark, folder, "v_registry"), spark_view(spark, folder, "v_registry", dealt="part")
+    assert Counter(plain.collect()) == Counter(dealt.collect())
