@@ -11,7 +11,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ from sparkwarden import values as V
 from sparkwarden.operators.files import basename, content_type, path_suffix
 
 MEMBERS = "archive string, path string, content string, size bigint, ord bigint, error string"
-ROWS = 256
+#: Rows, and characters or bytes, that a task gathers before it hands them on.
+ROWS, HELD = 256, 4 << 20
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,25 +78,37 @@ def _heads(archive: str, data: bytes, max_members: int, budget: int) -> Iterator
         yield archive, name, head.decode("utf-8", errors="replace"), size, i, None
 
 
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of at most ROWS rows, each ended by the row that brings its texts and bytes to HELD."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str | bytes))
+        if len(held) >= ROWS or size >= HELD:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _unpacked(archives: DataFrame, walk, *limits: int) -> DataFrame:
-    columns = [c.split(" ")[0] for c in MEMBERS.split(", ")]
+    types = {"string": pa.string(), "bigint": pa.int64()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split(" ") for c in MEMBERS.split(", "))])
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for archive, data in zip(batch["archive"], batch["content"]):
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):  # one archive at a time leaves Arrow
+                archive = name.as_py()
                 try:
-                    for row in walk(archive, bytes(data), *limits):
-                        rows.append(row)
-                        if len(rows) >= ROWS:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
+                    yield from walk(archive, bytes(content.as_py()), *limits)
                 except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
-                    rows.append((archive, None, None, None, None, f"Failed to extract {archive}: {e}"))
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
+                    yield archive, None, None, None, None, f"Failed to extract {archive}: {e}"
 
-    return archives.select("archive", "content").mapInPandas(unpack, MEMBERS)
+    return archives.select("archive", "content").mapInArrow(lambda batches: batched(rows(batches), schema), MEMBERS)
 
 
 def unpack_archives(

@@ -6,6 +6,7 @@ import re
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from sparkwarden import values as V
@@ -231,6 +232,19 @@ def test_archives(spark):
     assert AR.archive_manifest(df.filter("archive = 'y.tgz'")).count() == 3
 
 
+def test_archives_leave_a_task_in_small_batches(spark):
+    """What a task holds of unpacked members is bounded by their size, not by a number of rows alone; nothing is lost."""
+    rows = [("a", "p", "x" * n, n, i, None) for i, n in enumerate([10, 3 << 20, 2 << 20, 5 << 20, *[1] * 600])]
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("content", pa.string()), ("size", pa.int64()), ("ord", pa.int64()), ("error", pa.string())])
+    batches = list(AR.batched(iter(rows), schema))
+    assert [b.num_rows for b in batches] == [3, 1, 256, 256, 88] and [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows
+    tar = tarball(*((f"p/{i}.py", b"x" * (512 * 1024)) for i in range(40)))
+    held = [(b.num_rows, b.nbytes) for b in AR.batched(AR._files("y.tgz", tar, 512 * 1024, 100 << 20), schema)]
+    assert sum(n for n, _ in held) == 40 and max(size for _, size in held) < 5 << 20
+    df = spark.createDataFrame([(f"{i}.tgz", tar) for i in range(3)], "archive string, content binary").coalesce(1)
+    assert AR.unpack_archives(df).count() == 120
+
+
 def test_tree(spark, tmp_path):
     for name, text in {"p/z.py": "x", "p/a/b.py": "yy", "p/.git/c.py": "x", "p/LICENSE": "words", "p/run": "#!/bin/sh\n", "p/d.md": "text"}.items():
         f = tmp_path / name
