@@ -9,8 +9,12 @@ fingerprints add up to a bound of the differing bits.  Survivors are proposals o
 only verified pairs link.
 
 A group of n near copies has some n * n / 2 pairs, but n - 1 links connect it.  So a first pass over the keys hands each
-sketch only its nearest earlier one: at most one pair a sketch, verified, and contracted to parts.  A second pass proposes
-all remaining pairs of sketches in different parts, under the same keys, so that no link between parts is lost.
+sketch only its nearest earlier one: at most one pair a sketch, verified, and contracted to parts.  A second pass compares
+all remaining pairs of sketches in different parts, under the same keys, so that no link between parts is lost.  There a pair
+is proposed once, under the first key it shares, and only if it may be similar enough: MARKS bits of a set say whether an odd or
+even number of its hashes falls to each bit's place, and each bit in which two sets differ is a hash that only one of them has.
+That bound is exact, so it drops pairs that can't link and no others; a group of texts that are all a bit too different to link
+is still compared all with all, but hands on few rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from sparkwarden.llm.simhash import BITS, SEED, majority, pivots
 WORDS, KEY_BITS, SHARE = 4, 16, 4
 #: Share of pairs of just the similarity asked for that meet under a key, and that lie within the radius.
 RECALL, WITHIN = 0.95, 0.99
+#: Bits of a set's parities.
+MARKS = 1024
 #: Rows of a key that are compared in one place; larger keys are cut into blocks, and blocks meet in pairs.
 BLOCK = 2048
 #: Pairs that are compared at a time; groups of up to SMALL rows go through the comparison side by side.
@@ -79,6 +85,7 @@ def plan(similarity: float, width: int = KEY_BITS) -> tuple[int, int]:
 
 
 WORD_NAMES = [f"w{i}" for i in range(WORDS)]
+MARK_NAMES = ["n_hashes", *[f"m{i}" for i in range(MARKS // 64)]]
 SKETCH = ", ".join(f"{w} long" for w in WORD_NAMES)
 
 
@@ -99,21 +106,63 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, set binary, {SKETCH}")
 
 
+def marked(whole: DataFrame) -> DataFrame:
+    """doc_id, n_hashes and the parities of every set of ``whole`` (doc_id, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.zeros((batch.num_rows, MARKS // 64), np.int64)
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for i, found in enumerate(batch.column(1)):
+                hashes = found.values.to_numpy()
+                sizes[i] = len(hashes)
+                odd = (np.bincount(hashes & (MARKS - 1), minlength=MARKS) & 1).astype(np.uint8)
+                marks[i] = np.packbits(odd).view(np.int64)
+            columns = [pa.array(sizes), *[pa.array(np.ascontiguousarray(m)) for m in marks.T]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *MARK_NAMES])
+
+    return whole.select("doc_id", "hashes").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MARK_NAMES))
+
+
+def _may_link(marks: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) of columns of ``marks`` (n_hashes, parities) can have the similarity: hashes of one set only are at least the bits that differ."""
+    apart = np.bitwise_count((marks[1:, i] ^ marks[1:, j]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+    apart = np.maximum(apart, np.abs(marks[0, i] - marks[0, j]))
+    both = marks[0, i] + marks[0, j]
+    return both - apart + 1e-6 >= similarity * (both + apart)
+
+
+def _drawn(tables: int, width: int) -> list[np.ndarray]:
+    """The bits of each key."""
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(WORDS * BITS, width, replace=False) for _ in range(tables)]
+
+
 def _keys(words: np.ndarray, tables: int, width: int) -> np.ndarray:
     """The keys (columns) of each sketch (rows)."""
-    rng = np.random.default_rng(SEED)
     bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1)
     weights = 1 << np.arange(width, dtype=np.int64)
-    return np.stack([(t << width) + bits[:, rng.choice(WORDS * BITS, width, replace=False)] @ weights for t in range(tables)], axis=1)
+    return np.stack([(t << width) + bits[:, drawn] @ weights for t, drawn in enumerate(_drawn(tables, width))], axis=1)
+
+
+def _met_first(words: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, tables: int, width: int) -> np.ndarray:
+    """Which pairs (i, j) of sketches share no key before that of ``table``."""
+    differ, alone = words[i] ^ words[j], np.ones(len(i), bool)
+    for t, drawn in enumerate(_drawn(tables, width)):
+        bits = np.zeros(WORDS * BITS, np.uint8)
+        bits[drawn] = 1
+        mask = np.packbits(bits).view(">u8").astype(np.uint64)
+        alone &= (table <= t) | (differ & mask).any(axis=1)
+    return alone
 
 
 def _words(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(w).to_numpy().view(np.uint64) for w in WORD_NAMES], axis=1)
 
 
-def keyed(classes: DataFrame, tables: int, width: int) -> DataFrame:
-    """k, block, other, side, first, part and the sketch: every class under each of its keys; blocks as in :func:`simhash.link_keys`."""
-    carried = ["first", "part", *WORD_NAMES]
+def keyed(classes: DataFrame, tables: int, width: int, marks: list[str]) -> DataFrame:
+    """k, block, other, side, first, part, the sketch and ``marks``: every class under each of its keys; blocks as in :func:`simhash.link_keys`."""
+    carried = ["first", "part", *WORD_NAMES, *marks]
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +178,7 @@ def keyed(classes: DataFrame, tables: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(_words(batch), tables, width).ravel(), pa.int64()), *columns], ["k", *carried])
 
     heavy = stored(classes.select(*WORD_NAMES).mapInArrow(sizes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK), "heavy-keys")
-    rows = classes.select(*carried).mapInArrow(run, f"k long, first long, part long, {SKETCH}").join(heavy, "k", "left")
+    rows = classes.select(*carried).mapInArrow(run, "k long, " + ", ".join(f"{c} long" for c in carried)).join(heavy, "k", "left")
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("first"), count).cast("int")
     met = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(-1).alias("b"), F.lit(-1).alias("o"), F.lit(0).alias("s")))).otherwise(
@@ -157,11 +206,15 @@ def _close(words: np.ndarray, tables: np.ndarray, i: np.ndarray, j: np.ndarray,
     return i[keep], j[keep], distance[keep]
 
 
+def _sketches(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[6 : 6 + WORDS].T).view(np.uint64)
+
+
 def _met(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Close pairs (i, j, distance) of columns of ``rows`` (k, block, other, side, first, part, sketch), sorted by group; of different parts."""
     if not rows.shape[1]:
         return
-    part, words = rows[5], np.ascontiguousarray(rows[6:].T).view(np.uint64)
+    part, words = rows[5], _sketches(rows)
     tables = _tables(words)
     starts = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     sizes = np.diff(np.concatenate((starts, [rows.shape[1]])))
@@ -192,13 +245,13 @@ def _met(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray
             yield _close(words, tables, some[i], right[j], radius)
 
 
-def _passed(classes: DataFrame, bits: tuple[int, int, int], found: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _passed(classes: DataFrame, bits: tuple[int, int, int], found: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, marks: list[str]) -> DataFrame:
     """``found`` over the sorted rows of whole keys (or blocks of them); ``bits`` are the keys, their width and the radius."""
     tables, width, _ = bits
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((6 + WORDS, 0), np.int64)
+        held = np.zeros((6 + WORDS + len(marks), 0), np.int64)
         for batch in batches:
             rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
             # The last group may go on in the next batch.
@@ -209,7 +262,7 @@ def _passed(classes: DataFrame, bits: tuple[int, int, int], found: Callable[[np.
         yield from found(held)
 
     order = ["k", "block", "other"]
-    return keyed(classes, tables, width).repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return keyed(classes, tables, width, marks).repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def nearest(classes: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
@@ -229,7 +282,7 @@ def nearest(classes: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
             out = _lowest(np.concatenate(best, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["first", "distance", "near"])
 
-    rows = _passed(classes, bits, found, "first long, distance long, near long")
+    rows = _passed(classes, bits, found, "first long, distance long, near long", [])
     least = rows.groupBy("first").agg(F.min(F.struct("distance", "near")).alias("m"))
     return least.select("first", F.when(F.col("m.near") < F.col("first"), F.col("m.near")).alias("near"))
 
@@ -240,16 +293,26 @@ def _lowest(rows: np.ndarray) -> np.ndarray:
     return rows[:, np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))] if rows.shape[1] else rows
 
 
-def between(classes: DataFrame, bits: tuple[int, int, int]) -> DataFrame:
-    """Pairs (a < b) of close classes (first, part, sketch) in different parts."""
+def between(classes: DataFrame, bits: tuple[int, int, int], similarity: float | None = None) -> DataFrame:
+    """Pairs (a < b) of close classes (first, part, sketch) in different parts, each once.
+
+    With a ``similarity`` the classes have the columns of :func:`marked` too, and pairs that can't have it are left out.
+    """
+    tables, width, radius = bits
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = rows[4]
-        for i, j, _ in _met(rows, bits[2]):
-            pairs = np.unique(np.stack((np.minimum(first[i], first[j]), np.maximum(first[i], first[j]))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+        first, words = rows[4], _sketches(rows)
+        for i, j, _ in _met(rows, radius):
+            if similarity is not None:
+                kept = _may_link(rows[6 + WORDS :], i, j, similarity)
+                i, j = i[kept], j[kept]
+            alone = _met_first(words, i, j, rows[0, i] >> width, tables, width)
+            i, j = i[alone], j[alone]
+            if len(i):
+                pairs = [np.minimum(first[i], first[j]), np.maximum(first[i], first[j])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
 
-    return _passed(classes, bits, found, "a long, b long").distinct()
+    return _passed(classes, bits, found, "a long, b long", [] if similarity is None else MARK_NAMES)
 
 
 def hashed(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -284,8 +347,8 @@ def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFram
     whole = stored(hashed(docs, near.select(F.col("first").alias("doc_id")), width), "shingles")
     links = stored(verified(whole, near.where("near is not null").select(F.col("near").alias("a"), F.col("first").alias("b")), similarity), "links")
     parts = components(links).select(F.col("node").alias("first"), F.col("component").alias("_part"))
-    met = own.join(near.select("first"), "first", "left_semi").join(parts, "first", "left")
-    met = stored(met.select("first", F.coalesce("_part", "part").alias("part"), *WORD_NAMES), "parts")
-    rest = stored(between(met, (tables, bits, radius)), "candidates")
+    met = own.join(marked(whole).withColumnRenamed("doc_id", "first"), "first").join(parts, "first", "left")
+    met = stored(met.select("first", F.coalesce("_part", "part").alias("part"), *WORD_NAMES, *MARK_NAMES), "parts")
+    rest = stored(between(met, (tables, bits, radius), similarity), "candidates")
     joined = components(links.unionByName(verified(whole, rest, similarity)))
     return classes.select("first").join(joined.withColumnRenamed("node", "first"), "first", "left").select("first", F.coalesce("component", "first").alias("component_id"))

@@ -129,6 +129,51 @@ def test_a_large_group_proposes_few_pairs(spark, monkeypatch):
     assert tried == [1000, 0]
 
 
+def apart(n, words, seed=3):
+    """n copies of a text of 400 words that isn't among them, each with some words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(400), words[i % len(words)]):
+            copy[at] = f"new{i}-{at}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_a_large_group_just_too_different_proposes_few_pairs(spark, monkeypatch):
+    """Close sketches of texts a bit less similar than asked for are compared but not handed on, and no pair twice."""
+    texts = apart(150, [6])
+    found = word_sets(texts)
+    links = [(i, j) for i in range(150) for j in range(i) if similar(found[i], found[j]) >= 0.8]
+    docs, own = own_classes(spark, texts)
+    radius, tables = copies.plan(0.8)
+    close = copies.between(own, (tables, 16, radius))
+    assert close.count() == close.distinct().count() > 5000
+    tried = []
+    real = copies.verified
+    monkeypatch.setattr(copies, "verified", lambda whole, pairs, s: (tried.append(pairs.count()), real(whole, pairs, s))[1])
+    group = {r["first"]: r["component_id"] for r in copies.groups(docs).collect()}
+    assert all(group[i] == group[j] for i, j in links) and len(set(group.values())) >= 150 - len(links) > 50
+    assert tried[1] < 1000
+
+
+def test_the_bound_loses_no_similar_pair(spark):
+    """Around the similarity, with sets of any size: each similar close pair is among those that may link, at every similarity."""
+    texts = apart(60, [1, 3, 4, 5]) + planted(11)[:120] + ["", "one", "one two", "one two three four five six"]
+    found = word_sets(texts)
+    docs, own = own_classes(spark, texts)
+    whole = copies.hashed(docs, docs.select("doc_id"), 5)
+    own = own.join(copies.marked(whole).withColumnRenamed("doc_id", "first"), "first")
+    radius, tables = copies.plan(0.8)
+    close = {tuple(r) for r in copies.between(own, (tables, 16, radius)).collect()}
+    for similarity in (0.8, 0.9):
+        kept = {tuple(r) for r in copies.between(own, (tables, 16, radius), similarity).collect()}
+        true = {(a, b) for a, b in close if similar(found[a], found[b]) >= similarity}
+        assert len(true) > 100 and true <= kept < close
+
+
 def test_second_pass_loses_no_link(spark, monkeypatch):
     """Where no nearest link verifies, the second pass alone gives the same groups."""
     docs = spark.createDataFrame(list(enumerate(planted(9)[:150] + edited(30))), "doc_id long, text string")
