@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.joins import many
+
 #: Characters that separate words, as SQL escapes see them, and the class of all others.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -129,7 +131,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Alternating stars: every node hands its larger neighbours to its smallest one, then its smaller
     ones too, until each node hangs on its component's smallest node.  Each round is two equi-joins
-    (which adaptive execution may split) over a stored table; rounds grow with the logarithm of the
+    (which adaptive execution may split; no side is broadcast) over a stored table; rounds grow with the logarithm of the
     longest chain.  Nodes without an edge to another node have no row.
     """
     now = stored(
@@ -141,9 +143,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).distinct()
+        large = both.where("v > u").join(many(least), "u").select("v", F.col("m").alias("u")).distinct()
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(lowest, "v")
+        joined = large.join(many(lowest), "v")
         small = joined.select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         now = stored(small.select("e.v", "e.u").where("v <> u").distinct(), "stars")
         last, mark = mark, _mark(now)

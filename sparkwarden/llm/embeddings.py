@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.joins import many
 from sparkwarden.llm.common import components, numbered, stored
 
 COSINE = 0.95
@@ -103,7 +104,7 @@ def lists(descriptions: DataFrame) -> DataFrame:
 
     rows = descriptions.mapInArrow(run, "k long, rid long")
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, "k")
+    rows = rows.join(many(sizes), "k")
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("rid"), count).cast("int"))
     met = F.transform(
@@ -232,13 +233,13 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     grouped = fine.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
     reps = stored(numbered(grouped, [], ["first", "h1", "h2"], "rid", "vector-order"), "vector-classes")
     near = stored(described(reps, pivots(reps)), "pivot-permutations")
-    rows_of = lists(near).join(near.join(reps.select("rid", "n", "embedding"), "rid"), "rid")
+    rows_of = lists(near).join(many(near.join(many(reps.select("rid", "n", "embedding")), "rid")), "rid")
     found = stored(compared(rows_of, least), "vector-links")
     degree = found.where("to is null").groupBy("rid").agg(F.sum("links").alias("links"))
     joined = components(found.where("to is not null").select(F.col("rid").alias("a"), F.col("to").alias("b")))
-    member = reps.select("rid", "h1", "h2", "first", "n").join(degree, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    member = reps.select("rid", "h1", "h2", "first", "n").join(many(degree), "rid", "left").join(many(joined.withColumnRenamed("node", "rid")), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = member.join(lowest, "component").select("h1", "h2", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    linked = rows.where("h1 is not null").select("vec_id", "h1", "h2").join(label, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    label = member.join(many(lowest), "component").select("h1", "h2", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = rows.where("h1 is not null").select("vec_id", "h1", "h2").join(many(label), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

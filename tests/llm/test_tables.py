@@ -11,7 +11,7 @@ import pytest
 from cases import COLUMNS, PLAIN, documents, rows
 
 import corpus_pipeline
-from sparkwarden.llm import embeddings, mixing, packing, quality, simhash, substrings, urls
+from sparkwarden.llm import common, embeddings, mixing, packing, quality, simhash, substrings, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,6 +92,23 @@ def test_vector_recall_in_blocks(spark, monkeypatch):
     assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
 
 
+def test_vectors_broadcast_no_side_with_a_row_per_vector(spark, monkeypatch):
+    """Small as the tables are here, no side that grows with the vectors goes through the driver; the rows per range of ``numbered`` may."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    for module in (embeddings, common):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: f(plan(df), name))
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(10, 8))
+    data = [(i, (centres[i % 10] + 0.05 * rng.normal(size=8)).tolist()) for i in range(60)]
+    out = plan(embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    assert out.where("n_links > 0").count() > 30
+    kinds = [set(re.findall(r"(BroadcastHashJoin|BroadcastNestedLoopJoin|SortMergeJoin|ShuffledHashJoin) (\[\w+)", p)) for p in plans]
+    met = set().union(*kinds)
+    assert {("SortMergeJoin", k) for k in ("[rid", "[k", "[u", "[v", "[component", "[h1")} <= met, met
+    assert {k for kind, k in met if kind.startswith("Broadcast")} <= {"[_part"}
+
+
 def test_mixing_hard_cases(spark):
     docs = documents(spark)
     got = mixing.copies(docs).collect()
