@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import patterns as P
+from sparkwarden.functions.joins import many
 from sparkwarden.operators import commands as C
 from sparkwarden.operators import traces as T
 from sparkwarden.plans.queries import query
 from sparkwarden.plans.views import spark_view
 from sparkwarden.streaming import commands as SC
 from sparkwarden.streaming import traces as ST
-from sparkwarden.streaming.runs import run_available, run_updates
+from sparkwarden.streaming.runs import run_available, run_updates, written
 
 
 def _events(spark, sf):
@@ -209,7 +210,7 @@ def _arrivals(spark, sf):
     """Events and raw lines of all runs in one table, each at its time."""
     events = _events(spark, sf).select("run_id", "ts_ms", "seq", "kind", "source")
     none = F.lit(None).cast("string")
-    lines = spark_view(spark, sf, "v_trace_json").withColumnRenamed("line_no", "seq").join(events.select("run_id", "seq", "ts_ms"), ["run_id", "seq"])
+    lines = spark_view(spark, sf, "v_trace_json").withColumnRenamed("line_no", "seq").join(many(events.select("run_id", "seq", "ts_ms")), ["run_id", "seq"])
     both = events.withColumn("line", none).unionByName(lines.withColumn("kind", none).withColumn("source", none))
     return both.select("run_id", "ts_ms", F.timestamp_millis("ts_ms").alias("event_time"), "kind", "source", "line")
 
@@ -221,5 +222,5 @@ def run_health(spark, sf):
 
 @query
 def stream_run_health(spark, sf):
-    runs = _runs(spark, sf)
+    runs = written(_runs(spark, sf))  # every micro-batch reads them
     return run_updates(spark, _arrivals(spark, sf), lambda rows: ST.stream_run_health(rows, runs), ["run_id"], "ts_ms").drop("closed")

@@ -3,6 +3,7 @@
 import random
 import time
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +244,24 @@ def test_stuck_runs_keep_state_by_group(spark):
         assert kept <= ST.GROUPS
 
 
+def test_run_health_keeps_state_by_group(spark):
+    """Far more runs than groups are a few state rows per group, and each run is counted and closed by itself; runs without times stay."""
+    n = 3 * ST.GROUPS
+    runs = spark.range(n).selectExpr("concat('r', id) AS run_id", "true AS ran", "5000L AS duration_ms", "false AS timeout", "cast(null AS string) AS error", "'' AS skipped_unexpected")
+    stream = Grouped(spark, ARRIVALS, lambda a: ST.stream_run_health(a, runs, idle_ms=10_000, delay="1 second"))
+    at = lambda run, ms, kind, source=None, line=None: (f"r{run}", ms, None if ms is None else datetime.fromtimestamp(ms / 1000), kind, source, line)
+    first = [at(i, None if i % 5 == 0 else 1000, k, s) for i in range(n) for k, s in (("exec", None), (f"k{i % 4}", None), (f"k{i % 3}", None), ("x", "resource_probe"))]
+    first += [at(i, 1000 + i % 2, None, None, "broken") for i in range(0, n, 5) if i % 2]
+    rows, kept = stream.feed([*first, (None, 1000, datetime.fromtimestamp(1), "exec", None, None)])
+    assert {(r["run_id"], r["n_real"], r["n_kinds"], r["n_exec"], r["n_lines"], r["closed"]) for r in rows} == {(f"r{i}", 3, 2 + (i % 4 != i % 3), 1, int(i % 10 == 5), False) for i in range(n)}
+    assert len(rows) == n and kept <= 3 * ST.GROUPS
+    second, _ = stream.feed([at(1, 50_000, "connect")])  # the watermark passes all others that have a time
+    assert {(r["run_id"], r["n_real"]) for r in second if not r["closed"]} == {("r1", 4)}
+    assert {(r["run_id"], r["n_kinds"]) for r in second if r["closed"]} == {(f"r{i}", 2 + (i % 4 != i % 3)) for i in range(n) if i != 1 and (i % 5 or i % 2)}
+    third, _ = stream.feed([at(i, 50_500, "open") for i in (0, 1, 2, 7)])
+    assert {(r["run_id"], r["n_real"], r["closed"]) for r in third} == {("r0", 4, False), ("r1", 5, False), ("r2", 1, False), ("r7", 1, False)}
+
+
 def test_micro_batches_have_a_bounded_number_of_state_tasks(spark):
     """A session's many shuffle partitions are not so many tasks in every micro-batch, and are as before afterwards."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
