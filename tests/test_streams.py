@@ -254,7 +254,7 @@ def test_run_health_keeps_state_by_group(spark):
     first += [at(i, 1000 + i % 2, None, None, "broken") for i in range(0, n, 5) if i % 2]
     rows, kept = stream.feed([*first, (None, 1000, datetime.fromtimestamp(1), "exec", None, None)])
     assert {(r["run_id"], r["n_real"], r["n_kinds"], r["n_exec"], r["n_lines"], r["closed"]) for r in rows} == {(f"r{i}", 3, 2 + (i % 4 != i % 3), 1, int(i % 10 == 5), False) for i in range(n)}
-    assert len(rows) == n and kept <= 3 * ST.GROUPS
+    assert len(rows) == n and kept <= ST.GROUPS
     second, _ = stream.feed([at(1, 50_000, "connect")])  # the watermark passes all others that have a time
     assert {(r["run_id"], r["n_real"]) for r in second if not r["closed"]} == {("r1", 4)}
     assert {(r["run_id"], r["n_kinds"]) for r in second if r["closed"]} == {(f"r{i}", 2 + (i % 4 != i % 3)) for i in range(n) if i != 1 and (i % 5 or i % 2)}
